@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         stars = small.select("u", F.col("m").alias("v"))
         work = cut(stars.unionByName(moved).where("u <> v").distinct())
         now = work.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     else:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, mixing, pii, quality, simhash
+from . import ann, bpe, embed_dedup, html, langid, mixing, paragraphs, pii, quality, simhash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("simhash")).alias("fingerprint"), "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
@@ -55,6 +59,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = langid.fold("doc_id", 3)
@@ -101,13 +109,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_paragraphs": op5_paragraphs,
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
     "op8_html": op8_html,
     "op9_quality": op9_quality,
+    "op10_ann": op10_ann,
 }
 ORACLE_SQL = {"op7_mixing": OP7_SQL}
