@@ -41,6 +41,7 @@ _CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table body html article section div main aside nav footer form blockquote".split())
 _WORDS = re.compile(r"[a-z0-9]+")
+_UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")  # a page cut off inside a tag
 
 
 class _Lines(HTMLParser):
@@ -159,7 +160,7 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str) -> str:
     """The text of a page's content region, a line for each block; empty if there is none."""
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_UNFINISHED.sub("", html))
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[4]]

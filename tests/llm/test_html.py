@@ -39,7 +39,7 @@ def test_page_without_an_article_element():
 
 @pytest.mark.parametrize("raw", ["", "   ", "<html></html>", "<!-- only -->", "<script>x</script>", "<nav><a>m</a></nav>", "<", "<a", "&", "<p", "</p></p>", "<!DOCTYPE"])
 def test_no_content(raw):
-    assert html.main_text(raw) in ("", "<", "&", "<a", "<p")
+    assert html.main_text(raw) in ("", "<", "&")
 
 
 def test_malformed_markup_and_long_pages():
