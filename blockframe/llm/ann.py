@@ -234,8 +234,11 @@ def _scored(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _truth(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, list[float]]]:
-    """(query, id, vector) of a bounded sample of queries' true nearest, over all rows; each task sends k per query."""
+def _truth(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of a bounded sample of queries' true nearest, over all rows.
+
+    Each task keeps k per query; Spark merges them, and the driver gets the k vectors of each sampled query only.
+    """
 
     def run(batches):
         best = None
@@ -245,32 +248,31 @@ def _truth(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> list[tupl
                 order = np.argsort(own, kind="stable")
                 x, own = x[order], own[order]
                 a, b = _best(q @ x.T, ids, own, k)
-                new = (a, own[b], dots(q[a], x[b]), x[b].astype(np.float32))
+                new = (a, own[b], dots(q[a], x[b]))
                 best = new if best is None else tuple(np.concatenate([o, n]) for o, n in zip(best, new, strict=True))
                 order = np.lexsort((best[1], -best[2], best[0]))
                 best = tuple(c[order] for c in best)
                 keep = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
                 best = tuple(c[keep] for c in best)
         if best is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(best[0], pa.int32()), pa.array(best[1], pa.int64()), pa.array(best[2]), pa.array(list(best[3]), pa.list_(pa.float32()))],
-                names=["q", "id", "score", "vector"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(best[0], pa.int32()), pa.array(best[1]), pa.array(best[2])], names=["q", "id", "score"])
 
-    found = rows.mapInArrow(run, "q int, id long, score double, vector array<float>").toPandas()
-    found = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-    return [(int(a), int(b), v) for a, b, v in zip(found.q, found.id, found.vector, strict=True)]
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    top = rows.mapInArrow(run, "q int, id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+    found = top.select("q", "id").join(rows, "id").select("q", "vector").coalesce(8).toArrow().combine_chunks()
+    if not found.num_rows:
+        return np.empty(0, np.int64), np.empty((0, q.shape[1]), np.float32)
+    return found["q"].to_numpy().astype(np.int64), _matrix(found["vector"].combine_chunks()).astype(np.float32)
 
 
-def measure_ratio(lists: Lists, q: np.ndarray, truth: list, target: float = TARGET) -> float:
-    """The least ratio that finds the target's share of the true neighbours of sampled queries."""
-    if not truth:
+def measure_ratio(lists: Lists, q: np.ndarray, asked: np.ndarray, x: np.ndarray, target: float = TARGET) -> float:
+    """The least ratio that finds the target's share of the true neighbours x of sampled queries q[asked]."""
+    if not len(x):
         return 1.0
-    x = np.array([v for _, _, v in truth], dtype=np.float32)
     e = lists.extend(q, query=True)
     far = np.sqrt(((e[:, None, :] - lists.centroids[None]) ** 2).sum(axis=2))
     row, chosen = postings(lists, x)
-    query = np.array([a for a, _, _ in truth])[row]
+    query = asked[row]
     need = np.full(len(x), np.inf)
     np.minimum.at(need, row, far[query, chosen] / np.maximum(far[query].min(axis=1), 1e-12))
     return float(np.quantile(need, target, method="higher"))
@@ -297,14 +299,17 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str =
     squares = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     total, top = rows.agg(F.count("*"), F.max(squares)).first()
     order = F.xxhash64("id")
-    drawn = rows.orderBy(order).limit(SAMPLE_ROWS).select("vector").toArrow()["vector"]
+    # the threshold is found over hashes alone; the vectors below it come to the driver from few tasks
+    border = rows.select(order.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    drawn = rows.where(order <= border).select("vector").coalesce(16).toArrow()["vector"]
     sample = _matrix(drawn.combine_chunks()).astype(np.float32)
+    sample = sample[np.lexsort(sample.T)]  # they come in any order
     lists = fit(sample, total, top)
     asked = rows.where("asked").select("id", "vector")
     audit = asked.orderBy(order).limit(AUDITED).toArrow()
     ids, q = audit["id"].to_numpy(), np.array(audit["vector"].to_pylist(), dtype=np.float64).reshape(audit.num_rows, dim["d"])
     bound_batches(spark, 4096)
-    ratio = measure_ratio(lists, q, _truth(rows.select("id", "vector"), ids, q, k)) if len(ids) else 1.0
+    ratio = measure_ratio(lists, q, *_truth(rows.select("id", "vector"), ids, q, k)) if len(ids) else 1.0
     sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids and their links
     posted = cut(_dealt(rows.select("id", "vector"), "id", sent, postings))
     probed = cut(_dealt(asked, "query", sent, lambda own, x: probes(own, x, ratio)))
