@@ -155,8 +155,9 @@ def flatten_frames(traces: DataFrame, max_depth: int = 8) -> DataFrame:
         path = F.when(F.col("above") == "", F.col("i").cast("string")).otherwise(F.concat_ws(",", "above", "i"))
         level = below.select("tx_hash", "block_number", "timestamp", path.alias("trace_address"), "frame")
         if depth > max_depth:
-            deep = F.raise_error(F.concat(F.lit(f"a frame deeper than {max_depth} in "), F.col("tx_hash")))
-            level = level.withColumn("trace_address", deep.cast("string"))
+            # the message names the frame, so that the error can't be raised for a row without calls
+            deep = F.raise_error(F.concat(F.lit(f"a frame deeper than {max_depth}: "), F.col("tx_hash"), F.lit(" "), path)).cast("string")
+            level = below.select("tx_hash", "block_number", "timestamp", deep.alias("trace_address"), "frame")
         found = level if found is None else found.unionByName(level)
     kind = F.lower(text("$.type"))
     return found.select(

@@ -18,6 +18,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Keys that all sizes of the tables hold.
 ADDRESS = "0x" + "1".rjust(40, "0")
+HOLDER = "0x" + "120".rjust(40, "0")
 ADDRESS2 = "0x" + "2".rjust(40, "0")
 UNKNOWN = "0x" + "f" * 40
 TOKEN = "0x70c" + "7".rjust(37, "0")
@@ -120,15 +121,15 @@ query("token_lookup", f"SELECT {', '.join(TOKEN_COLUMNS)} FROM tokens WHERE addr
 query("token_browse", f"SELECT {', '.join(TOKEN_COLUMNS)}, (SELECT count(*) FROM tokens WHERE token_type = 'ERC20' AND contains(lower(symbol), 'k1')) AS total FROM tokens WHERE token_type = 'ERC20' AND contains(lower(symbol), 'k1') ORDER BY holder_count DESC, address LIMIT 5")(
     lambda c: feeds.token_browse(c.tokens, "ERC20", "K1", 1, 5).select(*TOKEN_COLUMNS, "total")
 )
-query("token_holders", f"""SELECT address, balance, CAST(round(CAST(balance AS DECIMAL(28,10)) * 100 / (SELECT sum(balance) FROM balances WHERE token_address = '{TOKEN}' AND balance > 0), 4) AS DOUBLE) AS percentage,
+query("token_holders", f"""SELECT address, balance, CAST((balance * 2000000 + h) // (h * 2) AS DOUBLE) / 10000 AS percentage,
     EXISTS (SELECT 1 FROM contracts c WHERE c.address = b.address) AS is_contract, (SELECT count(*) FROM balances WHERE token_address = '{TOKEN}' AND balance > 0) AS total
-    FROM balances b WHERE token_address = '{TOKEN}' AND balance > 0 ORDER BY balance DESC, address LIMIT 50""")(
+    FROM balances b, (SELECT CAST(sum(balance) AS BIGINT) AS h FROM balances WHERE token_address = '{TOKEN}' AND balance > 0) WHERE token_address = '{TOKEN}' AND balance > 0 ORDER BY balance DESC, address LIMIT 50""")(
     lambda c: feeds.token_holders(c.balances, c.contracts, TOKEN, 50).withColumn("percentage", F.col("percentage").cast("double"))
 )
 query("nft_inventory", f"SELECT token_address, token_id, owner, block_number, (SELECT count(*) FROM nfts, zero WHERE token_address = '{NFT}' AND owner <> z) AS total FROM nfts, zero WHERE token_address = '{NFT}' AND owner <> z ORDER BY token_id LIMIT 25")(
     lambda c: feeds.nft_inventory(c.nfts, NFT, None, 25)
 )
-query("holder_balances", f"SELECT token_address, address, balance, block_number FROM balances WHERE address = '{ADDRESS}' AND balance > 0")(lambda c: feeds.holder_balances(c.balances, ADDRESS))
+query("holder_balances", f"SELECT token_address, address, balance, block_number FROM balances WHERE address = '{HOLDER}' AND balance > 0")(lambda c: feeds.holder_balances(c.balances, HOLDER))
 query("balance_history", f"SELECT token_address, address, block_number, balance FROM history WHERE address = '{ADDRESS}' AND token_address = '{TOKEN}' ORDER BY block_number DESC LIMIT 20")(
     lambda c: feeds.balance_history(c.history, ADDRESS, TOKEN, 20)
 )
@@ -241,10 +242,10 @@ query("creations_report", "SELECT coalesce(l.a, f.address) AS address, CASE WHEN
 query("token_discovery", f"SELECT address, token_type, CAST(decimals AS BIGINT) AS decimals, block_number, creation_tx FROM tokens WHERE address <> '{TOKEN}'")(
     lambda c: decode.token_discovery(c.transfers, c.rows("address string", (TOKEN,)))
 )
-query("token_merge", f"SELECT address, CASE WHEN address = '{TOKEN}' THEN 'ERC721' ELSE token_type END AS token_type, CASE WHEN address = '{TOKEN}' THEN 'NEW' ELSE symbol END AS symbol, name, CASE WHEN address = '{TOKEN}' THEN 1 ELSE block_number END AS block_number, CASE WHEN address = '{TOKEN}' THEN '0xnew' ELSE creation_tx END AS creation_tx FROM tokens")(
+query("token_merge", f"SELECT address, CASE WHEN address = '{TOKEN}' THEN 'ERC721' ELSE token_type END AS token_type, CASE WHEN address = '{TOKEN}' THEN 'NEW' ELSE symbol END AS symbol, name, CASE WHEN address = '{TOKEN}' THEN 0 ELSE block_number END AS block_number, CASE WHEN address = '{TOKEN}' THEN '0xnew' ELSE creation_tx END AS creation_tx FROM tokens")(
     lambda c: decode.token_merge(
         c.tokens.select("address", "token_type", "symbol", "name", "decimals", "block_number", "creation_tx"),
-        c.rows("address string, token_type string, symbol string, name string, decimals int, block_number long, creation_tx string", (TOKEN, "ERC721", "NEW", None, None, 1, "0xnew"), (NFT, "ERC20", None, None, None, 10**9, "0xlate")),
+        c.rows("address string, token_type string, symbol string, name string, decimals int, block_number long, creation_tx string", (TOKEN, "ERC721", "NEW", None, None, 0, "0xnew"), (NFT, "ERC20", None, None, None, 10**9, "0xlate")),
     ).drop("decimals")
 )
 query("address_view", "SELECT address, tx_count, sent_count, greatest(tx_count - sent_count, 0) AS received_count, is_contract, a.timestamp AS first_at, z.timestamp AS last_at FROM stats JOIN f_blocks a ON a.number = first_seen JOIN f_blocks z ON z.number = last_seen")(

@@ -13,7 +13,11 @@ def raw_block_scan(spark: SparkSession, path: str) -> DataFrame:
 
     A missing difficulty is "0x0"; a nonce that isn't eight bytes is zero.
     """
-    raw = spark.read.schema(schemas.RAW_BLOCK).json(path)
+    return tidy_blocks(spark.read.schema(schemas.RAW_BLOCK).json(path))
+
+
+def tidy_blocks(raw: DataFrame) -> DataFrame:
+    """Raw blocks with the defaults of raw_block_scan."""
     zero = "0x" + "0" * 16
     return raw.withColumns(
         {
@@ -33,7 +37,12 @@ def trace_scan(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
     An entry with an error, without a result or without a call type is left out; with strict it fails the read.
     """
-    raw = spark.read.schema(schemas.TRACE).json(path).withColumn("frame", F.try_parse_json("result"))
+    return tidy_traces(spark.read.schema(schemas.TRACE).json(path), strict)
+
+
+def tidy_traces(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """(tx_hash, block_number, timestamp, frame) of raw traces, by the rules of trace_scan."""
+    raw = raw.withColumn("frame", F.try_parse_json("result"))
     kind = F.try_variant_get("frame", "$.type", "string")
     good = F.col("error").isNull() & F.col("frame").isNotNull() & F.coalesce(kind != "", F.lit(False))
     if strict:
@@ -46,7 +55,11 @@ def trace_scan(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 def creations_csv(spark: SparkSession, path: str) -> DataFrame:
     """(address, creation_tx, block_number, creator) from CSV with or without a header; a bad row fails the read."""
-    rows = spark.read.schema(schemas.CREATIONS).option("mode", "PERMISSIVE").csv(path)
+    return tidy_creations(spark.read.schema(schemas.CREATIONS).option("mode", "PERMISSIVE").csv(path))
+
+
+def tidy_creations(rows: DataFrame) -> DataFrame:
+    """Checked rows of creations, by the rules of creations_csv."""
     rows = rows.where(~F.lower(F.coalesce("address", F.lit(""))).isin("address", "contract_address"))
     good = F.lower("address").rlike("^0x[0-9a-f]{40}$") & F.lower("creation_tx").rlike("^0x[0-9a-f]{64}$") & F.col("block_number").rlike("^[0-9]+$")
     good = good & (F.col("creator").isNull() | F.lower("creator").rlike("^0x[0-9a-f]{40}$"))
