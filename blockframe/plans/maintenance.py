@@ -69,6 +69,9 @@ query("day_spans_inferred", "SELECT CAST(day AS DATE) AS day, lo, inferred FROM
 query("stale_days", "SELECT DISTINCT day FROM days WHERE number <= 300 AND dayofmonth(day) = 2")(
     lambda c: daily.stale_days(c.blocks, daily.daily_blocks(c.blocks.where("number <= 300")).withColumn("blocks", F.col("blocks") - (F.dayofmonth("day") == 2).cast("int")), 300)
 )
+query("late_days", "SELECT DISTINCT day FROM days WHERE number IN (40, 200, 201)")(
+    lambda c: daily.stale_days(c.blocks, daily.daily_blocks(c.blocks.where("number not in (40, 200)")), 10**9)
+)
 query("recount_days", f", {D_ALL} SELECT day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, first_block, tx_count, price_sum, success, failed, active_addresses, transfer_count FROM parts WHERE day = DATE '{DAY}'")(
     lambda c: daily.recount_days(c.blocks, c.txs, c.transfers, c.blocks.where("number = 200").select(fn.day_of(F.col("timestamp")).alias("day")), 10**9)
 )
@@ -303,7 +306,7 @@ def _ranges(c: Chain) -> DataFrame:
 
 query("range_complete", f", {RANGES} SELECT lo, hi, stored, stored >= {SPAN} - CASE WHEN lo = 0 THEN 1 ELSE 0 END AS complete FROM ranges")(lambda c: retention.range_complete(c.blocks, _ranges(c)))
 query("prune_day_floor", f"SELECT min(number) AS floor_block FROM days WHERE day = (SELECT max(day) FROM days WHERE number <= 340 - {FLOOR_GAP})")(lambda c: retention.prune_day_floor(c.blocks, 340, FLOOR_GAP))
-query("prunable_ranges", f", {RANGES} SELECT lo, hi, false AS prunable, CASE WHEN hi > 3000 - 1000 THEN 'retained' WHEN stored < {SPAN} - CASE WHEN lo = 0 THEN 1 ELSE 0 END THEN 'incomplete' END AS reason FROM ranges")(
+query("prunable_ranges", f", {RANGES} SELECT lo, hi, false AS prunable, CASE WHEN hi > 3000 - 1000 THEN 'retained' WHEN hi > 2800 THEN 'above the reorg floor' WHEN hi > (SELECT min(number) FROM days WHERE day = (SELECT max(day) FROM days WHERE number <= 2800)) THEN 'reaches the reorg day' WHEN stored < {SPAN} - CASE WHEN lo = 0 THEN 1 ELSE 0 END THEN 'incomplete' END AS reason FROM ranges")(
     lambda c: retention.prunable_ranges(_ranges(c), c.blocks, _ranges(c).withColumn("state", F.lit("ok")), 3000, 1000, FLOOR_GAP)
 )
 

@@ -163,6 +163,10 @@ query("search_hex", """(SELECT 'transaction' AS kind, hash AS value, concat(left
     UNION ALL (SELECT 'address', address, concat(left(address, 10), '...', right(address, 6)) FROM stats WHERE starts_with(address, '0x00000') ORDER BY address LIMIT 5)""")(
     lambda c: feeds.search(c.blocks, c.txs, c.stats, c.tokens, "0x00000", 5)
 )
+query("search", """(SELECT 'address' AS kind, address AS value, concat(left(address, 10), '...', right(address, 6)) AS label FROM stats WHERE starts_with(address, '0x') ORDER BY address LIMIT 3)
+    UNION ALL (SELECT 'transaction', hash, concat(left(hash, 10), '...', right(hash, 6)) FROM f_tx WHERE starts_with(hash, '0x') ORDER BY hash LIMIT 3)""")(
+    lambda c: feeds.search(c.blocks, c.txs, c.stats, c.tokens, "0x", 3)
+)
 query("search_text", "SELECT 'token' AS kind, address AS value, concat(symbol, ' (', name, ')') AS label FROM tokens WHERE starts_with(lower(symbol), 'tk1') OR contains(lower(name), 'tk1') ORDER BY holder_count DESC, address LIMIT 5")(
     lambda c: feeds.search(c.blocks, c.txs, c.stats, c.tokens, "TK1", 5)
 )
@@ -299,6 +303,12 @@ query("counters", "SELECT address, type, CAST(sum(n) AS BIGINT) AS count FROM (S
         c.transfers.select(F.col("from_address").alias("address"), F.lit("transfers").alias("type"), F.lit(1).cast("long").alias("count")),
     )
 )
+query("counter_merge", "SELECT from_address AS address, 'transactions' AS type, count(*) + 1 AS count FROM f_tx GROUP BY from_address")(
+    lambda c: rollups.counter_merge(
+        c.txs.groupBy(F.col("from_address").alias("address")).agg(F.count("*").alias("count")).select("address", F.lit("transactions").alias("type"), "count"),
+        c.txs.select(F.col("from_address").alias("address"), F.lit("transactions").alias("type"), F.lit(1).cast("long").alias("count")).distinct(),
+    )
+)
 query("chain_stats", "SELECT (SELECT count(*) FROM f_blocks) AS total_blocks, (SELECT count(*) FROM f_tx) AS total_txs, (SELECT count(*) FROM f_transfers) AS total_transfers, (SELECT count(*) FROM stats) AS total_addresses, (SELECT count(*) FROM totals) AS total_tokens, (max(timestamp) - min(timestamp)) / (count(*) - 1) AS avg_block_time, max(number) AS latest_block FROM (SELECT * FROM f_blocks ORDER BY number DESC LIMIT 100)")(
     lambda c: rollups.chain_stats(c.counters, c.blocks)
 )
