@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,7 +17,15 @@ BATCH_BYTES = 32 * 1024 * 1024
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches of this session small enough for a Python worker."""
+    """Keep the Arrow batches of this session small enough for a Python worker, and let workers import this package.
+
+    A driver may have put the package's folder on its own path only; workers look where PYTHONPATH of the context says. On
+    a cluster the package is installed or shipped, and a folder that isn't there is ignored.
+    """
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
