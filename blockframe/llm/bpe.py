@@ -27,12 +27,33 @@ from pyspark.sql import types as T
 
 from .runtime import add_columns, bound_batches, texts
 
-#: Matches and pairs remembered in a worker; a memo is emptied when full, which changes no result.
-MEMO = 600_000
+#: Matches, and pairs, in one of a memo's two generations. A worker keeps both at most, so its memory is bounded.
+MEMO = 120_000
 #: Longer matches (in characters) are rare and long; they are encoded but not remembered.
 MEMO_CHARS = 48
 
 
+class Memo:
+    """A mapping that forgets: when the young generation is full it becomes the old one, and what is asked for again in
+    the old one is young again. What is forgotten is computed anew, so no result depends on it."""
+
+    def __init__(self, size: int = MEMO):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Bpe:
     """A vocabulary, ready to encode and decode."""
 
@@ -52,8 +73,8 @@ class Bpe:
                     self.shorter[rank] = prefix
                     break
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, array] = {}
+        self.pairs = Memo()
+        self.memo = Memo()
         self.made: dict[int, tuple[int, int] | None] = {}
         self.unmade: set[int] = set()
         self.joined = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
@@ -91,8 +112,6 @@ class Bpe:
         known = self.pairs.get(key)
         if known is not None:
             return known
-        if len(self.pairs) >= MEMO:
-            self.pairs.clear()
         tokens, ranks, halves = self.tokens, self.ranks, self.halves
         left, right = halves(a), halves(b)
         good = a not in self.unmade and b not in self.unmade
@@ -109,7 +128,7 @@ class Bpe:
                 right = halves(b)
             else:
                 break
-        self.pairs[key] = good
+        self.pairs.put(key, good)
         return good
 
     def cover(self, data: bytes) -> list[int]:
@@ -128,7 +147,7 @@ class Bpe:
             while rank >= 0:
                 if before < 0:
                     fits = True
-                elif (fits := pairs.get(before << 24 | rank)) is None:
+                elif (fits := pairs.young.get(before << 24 | rank)) is None:
                     fits = compatible(before, rank)
                 if fits and not (dead and (place + length[rank], rank) in dead):
                     break
@@ -153,14 +172,14 @@ class Bpe:
         """Ids of a whole text, appended to into; special tokens are ordinary text. Lone surrogates become '?'."""
         ids, memo = array("i") if into is None else into, self.memo
         for piece in self.pattern.findall(text):
-            got = memo.get(piece)
+            got = memo.young.get(piece)
             if got is None:
-                got = array("i", self.cover(piece.encode("utf-8", "replace")))
-                if len(piece) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = got
-            ids.extend(got)
+                got = memo.get(piece)
+                if got is None:
+                    got = array("i", self.cover(piece.encode("utf-8", "replace"))).tobytes()
+                    if len(piece) <= MEMO_CHARS:
+                        memo.put(piece, got)
+            ids.frombytes(got)
         return ids
 
     def decode(self, ids) -> bytes:
