@@ -32,7 +32,9 @@ BANDS = 12
 ROWS = 3
 #: Nodes of a band that are compared in one task.
 BLOCK = 128
-_MEMO = 400_000
+#: Rows of two or three longs up to which a table is broadcast to spare the other side an exchange.
+BROADCAST = 500_000
+_MEMO = 200_000
 _SPLIT = re.compile(r"[^\n]+")
 
 
@@ -98,30 +100,49 @@ class _Banding:
         return key.view(np.int64)
 
 
-def _node(words: list[str]) -> bytes:
-    return xxhash.xxh128_digest(" ".join(words).encode("utf-8", "replace"))
+def _node(words: list[str]) -> int:
+    """A paragraph's number: 64 bits of its words' hash, signed. Two of 10^9 paragraphs share one with odds of 1 in 40."""
+    h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, line, start, end, words, node, bands) of each paragraph."""
+    """(id, line, start, end, words, node) of each paragraph."""
 
     def run(batches):
-        banding = _Banding()
         for batch in batches:
             rows = [
-                (i, number, start, end, len(words), _node(words), banding.keys(words))
+                (i, number, start, end, len(words), _node(words))
                 for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
                 for number, start, end, words in paragraphs(text, min_words)
             ]
             if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["id", "line", "start", "end", "words", "node", "bands"],
+                    [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    names=["id", "line", "start", "end", "words", "node"],
                 )
 
-    return docs.mapInArrow(run, "id long, line int, start int, end int, words int, node binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, line int, start int, end int, words int, node long")
+
+
+def _banded(docs: DataFrame, min_words: int) -> DataFrame:
+    """(node, bands) of each distinct paragraph."""
+
+    def run(batches):
+        banding = _Banding()
+        for batch in batches:
+            found = {}
+            for text in texts(batch.column(0)):
+                for *_, words in paragraphs(text, min_words):
+                    node = _node(words)
+                    if node not in found:
+                        found[node] = banding.keys(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "bands"]
+            )
+
+    return docs.mapInArrow(run, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
 
 
 def _contents(docs: DataFrame, min_words: int) -> DataFrame:
@@ -134,10 +155,10 @@ def _contents(docs: DataFrame, min_words: int) -> DataFrame:
                 for *_, words in paragraphs(text, min_words):
                     found[_node(words)] = " ".join(words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["node", "content"]
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["node", "content"]
             )
 
-    return docs.mapInArrow(run, "node binary, content string")
+    return docs.mapInArrow(run, "node long, content string")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -150,7 +171,7 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
                 good = pa.array([len(x & y) >= similarity * len(x | y) for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield batch.select(["src", "dst"]).filter(good)
 
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
@@ -159,7 +180,7 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         rows = sorted(table.select(["node", "part", "component", "content"]).to_pylist(), key=lambda r: r["node"])
-        group: dict[bytes, bytes] = {}
+        group: dict[int, int] = {}
 
         def top(x):
             while group.get(x, x) != x:
@@ -181,9 +202,9 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
                     group[max(a, b)] = min(a, b)
                     src.append(r["node"])
                     dst.append(s["node"])
-        return pa.table({"src": pa.array(src, pa.binary()), "dst": pa.array(dst, pa.binary())})
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "src binary, dst binary")
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long")
 
 
 def _on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -192,14 +213,36 @@ def _on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.withColumn("k_", k).join(right.withColumn("k_", k), ["k_", key]).drop("k_")
 
 
-def clusters(docs: DataFrame, nodes: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the nodes(node, bands) that are linked; docs(id, text) holds their contents."""
-    banded = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = cut(_on(banded, shared, "band"))
-    wanted = members.select("node").distinct()
-    contents = _contents(docs.select("text"), min_words).groupBy("node").agg(F.first("content").alias("content"))
-    contents = cut(contents.join(wanted, "node"))
+def _members(banded: DataFrame) -> DataFrame:
+    """(band, node, n, least) of the bands that several nodes share.
+
+    A band is first summed up on one row: how many nodes, the least, the greatest, and all of them in an exclusive or.
+    That is all there is to know of two or three nodes; only the nodes of larger bands are looked up again.
+    """
+    rows = banded.select(F.explode("bands").alias("band"), "node")
+    summed = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("node").alias("all"))
+    shared = cut(summed.where("n > 1"))
+    third = F.col("all").bitwiseXOR(F.col("least")).bitwiseXOR(F.col("most"))
+    few = F.when(F.col("n") == 2, F.array("least", "most")).otherwise(F.array(F.col("least"), third, F.col("most")))
+    small = shared.where("n <= 3").select("band", F.explode(few).alias("node"), "n", "least")
+    large = shared.where("n > 3").select("band", "n", "least")
+    if large.limit(BROADCAST + 1).count() <= BROADCAST:
+        found = rows.join(F.broadcast(large), "band")
+    else:
+        found = _on(rows, large, "band")
+    return small.unionByName(found.select("band", "node", "n", "least"))
+
+
+def clusters(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the paragraphs of docs(id, text) that are linked."""
+    members = cut(_members(cut(_banded(docs.select("text"), min_words))))
+    wanted = cut(members.select("node").distinct())
+    contents = _contents(docs.select("text"), min_words)
+    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
+        contents = contents.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
+    else:
+        contents = contents.groupBy("node").agg(F.first("content").alias("content")).join(wanted, "node")
+    contents = cut(contents)
     stars = members.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
     a = contents.select(F.col("node").alias("src"), F.col("content").alias("a"))
     b = contents.select(F.col("node").alias("dst"), F.col("content").alias("b"))
@@ -220,7 +263,7 @@ def clusters(docs: DataFrame, nodes: DataFrame, min_words: int = MIN_WORDS, simi
 def duplicate_paragraphs(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each paragraph that occurs again, exactly or nearly, in the same or another document.
 
-    id_col, line, start, end (code points, end exclusive), n_words; cluster_id (hex, the least node of its cluster),
+    id_col, line, start, end (code points, end exclusive), n_words; cluster_id (16 hex digits, the least node of its cluster),
     keeper (the id of the cluster's first occurrence: least id, then least line), removed (false for that one only).
     Null and empty texts have no paragraphs; a null id comes last in its cluster. Repeated rows are occurrences of
     their own, but of rows that share id and line in a cluster all first ones stay. Other columns aren't read.
@@ -229,12 +272,12 @@ def duplicate_paragraphs(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     found = cut(_occurrences(docs, min_words))
     place = F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("line"))
-    nodes = cut(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    groups = clusters(docs, nodes.select("node", "bands"), min_words, similarity)
+    nodes = cut(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    groups = clusters(docs, min_words, similarity)
     named = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("cluster"))
     whole = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.sum("n").alias("size")).where("size > 1")
     named = _on(named.select("node", "cluster"), whole, "cluster")
-    rows = _on(found.drop("bands"), named, "node")
+    rows = _on(found, named, "node")
     kept = (F.col("keeper.id").eqNullSafe(F.col("id"))) & (F.col("keeper.line") == F.col("line"))
     return rows.select(
         F.col("id").alias(id_col), "line", "start", "end", F.col("words").cast("long").alias("n_words"),
