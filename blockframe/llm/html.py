@@ -143,8 +143,13 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The border of two clusters on a line: halfway between their means, from the extremes on."""
+    """The border of two clusters on a line: halfway between their means, from the extremes on.
+
+    Values (logarithms) that all lie within a factor of two are one cluster.
+    """
     low, high = float(values.min()), float(values.max())
+    if high - low < np.log(2):
+        return low
     border = (low + high) / 2
     for _ in range(50):
         above = values >= border
@@ -182,8 +187,9 @@ def main_text(html: str) -> str:
             for element in path:
                 if element in parser.marked_article:
                     marked[element] = marked.get(element, 0) + len(text)
-    if marked:
-        region = max(marked, key=lambda e: (marked[e], -e))
+    if marked:  # the innermost of those that hold nearly as much as any
+        most = max(marked.values())
+        region = max(e for e, n in marked.items() if n >= 0.8 * most)
     else:  # the deepest element with most of the content; a page without any is its own region
         depth = {e: i for _, _, _, path, _ in lines for i, e in enumerate(path) if votes.get(e, 0) >= 0.8 * total}
         region = _whole(max(depth, key=lambda e: (depth[e], e), default=0), lines)

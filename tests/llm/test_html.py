@@ -37,6 +37,14 @@ def test_page_without_an_article_element():
     assert text.split("\n") == ["Head", BODY.strip(), (BODY * 2).strip(), "Mid.", BODY.strip()]
 
 
+def test_innermost_marked_element():
+    inner = f"<article><header><h1>Head</h1></header><p>{BODY}</p><p>{BODY}</p></article>"
+    text = html.main_text(page(f"<main><div><span>Home</span> &gt; <span>News</span></div>{inner}<p>See also</p></main>"))
+    assert text.split("\n") == ["Head", BODY.strip(), BODY.strip()]
+    two = html.main_text(page(f"<main><article><p>{BODY}</p></article><article><p>{BODY}x</p></article></main>"))
+    assert two.split("\n") == [BODY.strip(), f"{BODY}x"]
+
+
 @pytest.mark.parametrize("raw", ["", "   ", "<html></html>", "<!-- only -->", "<script>x</script>", "<nav><a>m</a></nav>", "<", "<a", "&", "<p", "</p></p>", "<!DOCTYPE"])
 def test_no_content(raw):
     assert html.main_text(raw) in ("", "<", "&")
