@@ -238,7 +238,11 @@ def token_holders(balances: DataFrame, contracts: DataFrame, token: str, n: int,
     """Positive balances of a token, largest first, with their share of all in per cent and a contract flag."""
     rows = balances.where((F.col("token_address") == token) & (F.col("balance") > 0))
     totals = rows.agg(F.sum("balance").alias("held"), F.count("*").alias("total"))
-    share = F.when(F.col("held") > 0, F.round(F.col("balance").cast("decimal(38,10)") * 100 / F.col("held").cast("decimal(38,0)"), 4))
+    # rounded once, from the exact remainder: a decimal quotient would be cut to six digits before
+    scaled, held = (F.col("balance") * 1_000_000).cast("decimal(38,0)"), F.col("held").cast("decimal(38,0)")
+    rest = F.pmod(scaled, held)
+    whole = ((scaled - rest) / held).cast("decimal(38,0)") + F.when(rest >= held - rest, 1).otherwise(0)
+    share = F.when(F.col("held") > 0, whole.cast("decimal(12,0)") / 10_000)
     top = page(rows, [F.desc("balance"), F.asc("address")], n, number)
     flagged = top.join(contracts.select("address", F.lit(True).alias("known")).distinct(), "address", "left")
     return flagged.crossJoin(F.broadcast(totals)).select(
