@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .runtime import add_columns, bound_batches, texts
 
 #: Matches, and pairs, in one of a memo's two generations. A worker keeps both at most, so its memory is bounded.
-MEMO = 120_000
+MEMO = 80_000
 #: Longer matches (in characters) are rare and long; they are encoded but not remembered.
 MEMO_CHARS = 48
 
