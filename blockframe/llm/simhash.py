@@ -172,23 +172,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(small: DataFrame) -> DataFrame:
-    """(simhash, component_id, stays) for each distinct fingerprint of small(id, simhash).
+    """(simhash, component_id, first) for each distinct fingerprint of small(id, simhash, content).
 
-    component_id is the least id of the fingerprint's group, null if it has none. stays marks the one fingerprint of a
-    group whose row with that id represents it.
+    component_id is the least id of the fingerprint's group, null if it has none. first is (none, id, simhash, content)
+    of the row that represents the group: the least id, then fingerprint, then content hash.
     """
-    nodes = cut(small.groupBy("simhash").agg(F.min("id").alias("least")))
+    least = F.min(F.struct(F.isnull("id").alias("none"), "id", "simhash", "content")).alias("best")
+    nodes = cut(small.groupBy("simhash").agg(least))
     groups = connected_components(links(nodes)).withColumnRenamed("node", "simhash")
     named = nodes.join(groups, "simhash", "left").select(
-        "simhash", "least", F.coalesce("component", "simhash").alias("component")
+        "simhash", "best", F.coalesce("component", "simhash").alias("component")
     )
-    first = F.min(F.struct(F.isnull("least").alias("none"), "least", "simhash")).alias("first")
-    chosen = named.groupBy("component").agg(first)
+    chosen = named.groupBy("component").agg(F.min("best").alias("first"))
     left = named.select(F.xxhash64("component").alias("k"), "component", "simhash")
     right = chosen.select(F.xxhash64("component").alias("k"), "component", "first")
-    return left.join(right, ["k", "component"]).select(
-        "simhash", F.col("first.least").alias("component_id"), (F.col("simhash") == F.col("first.simhash")).alias("stays")
-    )
+    return left.join(right, ["k", "component"]).select("simhash", F.col("first.id").alias("component_id"), "first")
+
+
+def _small(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, simhash, content) of each row, content being a hash of its text; written once, texts aren't kept."""
+    pruned = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    return cut(fingerprints(pruned).select("id", "simhash", "content"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,22 +202,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     other. A null id is never the least; a group of null ids only has a null component_id. Repeated rows all get a row.
     An empty table gives an empty result; other columns of df aren't read.
     """
-    pruned = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    small = cut(fingerprints(pruned).select("id", "simhash"))
+    small = _small(df, id_col, text)
     return small.join(components(small), "simhash").select(F.col("id").alias(id_col), "simhash", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay when one of each group is kept: the one with the least id.
 
-    Ties in the id go to the least fingerprint, and of rows that repeat both one stays. Columns are those of df. The
-    texts are read twice and exchanged once; all that is decided is decided over ids and fingerprints.
+    Ties in the id go to the least fingerprint and content hash, and of rows that repeat all three one stays. Columns are
+    those of df. Fingerprints are made once; the rows to keep are then found by id and content hash, a JVM expression.
     """
-    pruned = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    small = cut(fingerprints(pruned).select("id", "simhash"))
-    stay = components(small).where("stays").select(F.col("component_id").alias("id_"), F.col("simhash").alias("bits_"))
-    whole = fingerprints(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", "simhash")
-    whole = whole.select("row", "simhash", F.col(f"row.`{id_col}`").alias("id"))
-    kept = whole.join(stay, (F.col("simhash") == F.col("bits_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("simhash", "id").orderBy("simhash"))
+    first = components(_small(df, id_col, text)).select("first.*").distinct()
+    stay = first.select(F.col("id").alias("id_"), F.col("content").alias("content_"))
+    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("content"))
+    kept = whole.join(stay, (F.col("content") == F.col("content_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("content", "id").orderBy("content"))
     return kept.withColumn("one", one).where("one = 1").select("row.*")

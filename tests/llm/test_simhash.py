@@ -80,7 +80,7 @@ def test_components_match_all_pairs(spark):
     rows = list(enumerate([*prints, *crowd, *chain, 0, 0], start=100))
     random.shuffle(rows)
     rows.append((None, random.getrandbits(64)))
-    df = spark.createDataFrame([(i, signed(p)) for i, p in rows], "id long, simhash long")
+    df = spark.createDataFrame([(i, signed(p)) for i, p in rows], "id long, simhash long").selectExpr("*", "simhash as content")
     got = {r.simhash: r.component_id for r in simhash.components(df).collect()}
     assert [got[signed(p)] for _, p in rows] == naive_components(rows)
 
