@@ -54,30 +54,28 @@ def address_contributions(txs: DataFrame, transfers: DataFrame, frames: DataFram
     Senders, recipients other than the sender, frame callers, frame targets other than the caller, transfer sides
     (a side that both ends share once, the zero address never), and created contracts. keys are further columns kept.
     """
-    no, one, none = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(None).cast("string")
+    no, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def part(df, address, tx, sent=no, internal=no, moved=no, is_contract=False):
-        return df.select(
-            *keys, F.col(address).alias("address"), tx.alias("tx"), F.col("block_number").cast("long").alias("block_number"),
-            sent.alias("sent"), internal.alias("internal"), moved.alias("moved"), F.lit(is_contract).alias("is_contract"),
-        )
+    def side(address, sent=no, internal=no, moved=no, is_contract=False):
+        return F.struct(
+            address.alias("address"), sent.alias("sent"), internal.alias("internal"), moved.alias("moved"), F.lit(is_contract).alias("is_contract")
+        )
 
+    def part(df, tx, *sides):  # one pass over a table gives both of its sides; a side without an address is no row
+        rows = df.select(*keys, tx.alias("tx"), F.col("block_number").cast("long").alias("block_number"), F.explode(F.array(*sides)).alias("side"))
+        rows = rows.where(F.col("side.address").isNotNull())
+        return rows.select(*keys, "side.address", "tx", "block_number", "side.sent", "side.internal", "side.moved", "side.is_contract")
+
+    a, b = F.col("from_address"), F.col("to_address")
+    other = F.when(~a.eqNullSafe(b), b)
     counted = F.col("tx_type").isin(*COUNTED_TYPES).cast("long")
-    other = F.col("to_address").isNotNull() & ~F.col("from_address").eqNullSafe(F.col("to_address"))
-    held = lambda c: F.col(c) != ZERO_ADDRESS
     parts = [
-        part(txs, "from_address", F.col("hash"), sent=counted),
-        part(txs.where(other), "to_address", F.col("hash")),
-        part(frames, "from_address", F.col("tx_hash"), internal=one),
-        part(frames.where(other), "to_address", F.col("tx_hash"), internal=one),
-        part(transfers.where(held("from_address")), "from_address", F.col("tx_hash"), moved=one),
-        part(transfers.where(held("to_address") & other), "to_address", F.col("tx_hash"), moved=one),
-        part(contracts, "address", none, is_contract=True),
+        part(txs, F.col("hash"), side(a, sent=counted), side(other)),
+        part(frames, F.col("tx_hash"), side(a, internal=one), side(other, internal=one)),
+        part(transfers, F.col("tx_hash"), side(F.when(a != ZERO_ADDRESS, a), moved=one), side(F.when(b != ZERO_ADDRESS, other), moved=one)),
+        part(contracts, F.lit(None).cast("string"), side(F.col("address"), is_contract=True)),
     ]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.where(F.col("address").isNotNull())
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def address_stats(contributions: DataFrame, *keys: str) -> DataFrame:
