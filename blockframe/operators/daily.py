@@ -14,15 +14,18 @@ TX_PARTS = ("tx_count", "price_sum", "success", "failed")
 
 def block_time_pairs(blocks: DataFrame) -> DataFrame:
     """(number, timestamp, gap): seconds since the block with the number before, null if that isn't stored."""
+    return _with_gap(blocks.select("number", "timestamp"))
+
+
+def _with_gap(blocks: DataFrame) -> DataFrame:
     previous = blocks.select((F.col("number") + 1).alias("number"), F.col("timestamp").alias("before"))
-    joined = blocks.select("number", "timestamp").join(previous, "number", "left")
-    return joined.select("number", "timestamp", (F.col("timestamp") - F.col("before")).alias("gap"))
+    joined = blocks.join(previous, "number", "left")
+    return joined.withColumn("gap", F.col("timestamp") - F.col("before")).drop("before")
 
 
 def daily_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks, gas, sizes (null ones not counted) and gaps of each day, with its first block."""
-    pairs = block_time_pairs(blocks).select("number", "gap")
-    rows = blocks.join(pairs, "number").withColumn("day", day_of(F.col("timestamp")))
+    rows = _with_gap(blocks).withColumn("day", day_of(F.col("timestamp")))
     return rows.groupBy("day").agg(
         F.count("*").alias("blocks"),
         F.sum("gas_used").cast("long").alias("gas_used"),
