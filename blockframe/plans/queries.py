@@ -29,19 +29,29 @@ AS_OF = 1704067200 + 300 * 600
 DAY = "2024-01-02"
 
 
+#: Queries with a date column, and its name; dates are compared as text, which both engines write alike.
+DATED = {"tx_history_day": "bucket", "tx_history_week": "bucket"} | dict.fromkeys(
+    "daily_blocks daily_txs daily_active daily_transfers daily_stats daily_cumulative day_spans address_day_asof address_day_asof_back "
+    "daily_address_columns daily_recompute daily_refill cumulative_backwards day_spans_inferred stale_days late_days recount_days "
+    "daily_parts_merge active_set_diff invalidate_days daily_fold".split(),
+    "day",
+)
+
+
 def plain(df: DataFrame) -> DataFrame:
-    """Amounts as longs, small integers too, so that a comparison of values doesn't hang on their width."""
+    """Amounts as longs, small integers too, and dates as text, so that a comparison of values doesn't hang on their type."""
     wide = (T.DecimalType, T.ShortType, T.IntegerType)
+    df = df.select(*(F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name) for f in df.schema.fields))
     return df.select(*(F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, wide) and not getattr(f.dataType, "scale", 0) else F.col(f.name) for f in df.schema.fields))
 
 
 def query(name: str, sql: str | None = None):
     def register(f: Callable[[Chain], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: plain(f(Chain(spark, sf_dir)))
-        if sql is not None and sql.lstrip().startswith(","):
-            ORACLE_SQL[name] = f"WITH {CTES}\n{sql}"
-        elif sql is not None:
-            ORACLE_SQL[name] = f"WITH {CTES}\n{sql}" if not sql.lstrip().startswith("--bare") else sql
+        if sql is not None:
+            body = sql if sql.lstrip().startswith("--bare") else f"WITH {CTES}\n{sql}"
+            day = DATED.get(name)
+            ORACLE_SQL[name] = f"SELECT * REPLACE (CAST({day} AS VARCHAR) AS {day}) FROM ({body})" if day else body
         return f
 
     return register
