@@ -248,7 +248,8 @@ def clusters(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     b = contents.select(F.col("node").alias("dst"), F.col("content").alias("b"))
     first = cut(_verified(_on(_on(stars, a, "src"), b, "dst"), similarity))
     groups = connected_components(first)
-    labelled = _on(members.select("band", "node", "n"), wanted.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "node")
+    # of a band with two nodes the one pair has been verified
+    labelled = _on(members.where("n > 2").select("band", "node", "n"), wanted.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "node")
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = _on(labelled, mixed.select("band"), "band")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
