@@ -212,7 +212,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     Ties in the id go to the least fingerprint and content hash, and of rows that repeat all three one stays. Columns are
     those of df. Fingerprints are made once; the rows to keep are then found by id and content hash, a JVM expression.
     """
-    first = components(_small(df, id_col, text)).select("first.*").distinct()
+    return keep_first(df, components(_small(df, id_col, text)), id_col, text)
+
+
+def keep_first(df: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of df that groups(first) name by id and content hash; of rows that repeat both one stays."""
+    first = groups.select("first.*").distinct()
     stay = first.select(F.col("id").alias("id_"), F.col("content").alias("content_"))
     whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("content"))
     kept = whole.join(stay, (F.col("content") == F.col("content_")) & F.col("id").eqNullSafe(F.col("id_")), "left_semi")

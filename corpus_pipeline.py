@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm import bpe, langid, mixing, pii, simhash
+from blockframe.llm import bpe, langid, mixing, paragraphs, pii
 from blockframe.llm.queries import VOCABULARY
 
 #: Calibrated probability below which a language isn't taken as identified.
@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """One row of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8: the one with the least id."""
+    return paragraphs.drop_near_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
