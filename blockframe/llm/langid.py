@@ -2,8 +2,9 @@
 
 Features are the 1- to 3-grams of the lower-cased letters of a whole text (all else is one space), hashed to
 `BUCKETS` columns. Document frequencies are counted over all rows to learn from. The weights are trained by
-follow-the-regularised-leader (FTRL-proximal) with an elastic-net penalty on a bounded sample of those rows, and a
-temperature fitted on a held-out fifth of the sample calibrates the probabilities.
+follow-the-regularised-leader (FTRL-proximal) with an elastic-net penalty on a bounded sample of each language's rows,
+and a temperature fitted on a held-out fifth of the sample calibrates the probabilities. Languages are counted over all
+rows; where the sample holds more of a rare one than its share, the biases are corrected to the true shares.
 
 A text's term frequencies are relative to its number of n-grams, so its score is the mean, over its places, of
 idf x weight of the n-gram there: linear in the text, without a table per text.
@@ -17,15 +18,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .runtime import add_columns, bound_batches, texts
 
 BUCKETS = 1 << 16
-#: Rows of the labelled sample that the weights are fitted on.
+#: Rows of the labelled sample that the weights are fitted on; each language has its share of them, but
+#: `LANGUAGE_ROWS` at least (or all it has), so that a rare one is learned at any size of the corpus.
 SAMPLE_ROWS = 4000
+LANGUAGE_ROWS = 100
 UNDETERMINED = "und"
 _SCALE = 40.0
 _BLOCK = 1 << 19  # characters hashed at a time
@@ -132,6 +135,53 @@ def sample_features(rows: DataFrame, label: str, size: int, make) -> list[tuple[
     return [r[1:] for r in sorted(rows_, key=lambda r: (r[0], str(r[1]), len(r[2])))]
 
 
+def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
+    """How many rows of each language are sampled: its share of size, but `LANGUAGE_ROWS` at least, or all it has."""
+    total = max(1, sum(counts.values()))
+    return {y: min(n, max(LANGUAGE_ROWS, -(-n * size // total))) for y, n in counts.items()}
+
+
+def _stratified(rows: DataFrame, counts: dict[str, int], quota: dict[str, int]) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, indices, values) of the quota of each language, the least rows(h, text, lang) by h, in their order.
+
+    Hashes are even, so a bound on them leaves some twice the quota; where equal rows make it leave too few, there is none.
+    """
+    if not counts:
+        return []
+    spark, place = rows.sparkSession, F.col("h") / 2.0**64 + 0.5
+
+    def bounded(bound: dict[str, float]) -> DataFrame:
+        table = spark.createDataFrame([(y, quota[y], float(bound[y])) for y in counts], "lang string, quota int, bound double")
+        return rows.join(F.broadcast(table), "lang").where(place <= F.col("bound"))  # a row per language
+
+    bound = {y: min(1.0, (2 * quota[y] + 100) / n) for y, n in counts.items()}
+    if min(bound.values()) < 1:
+        left = dict(bounded(bound).groupBy("lang").count().collect())
+        bound = {y: b if left.get(y, 0) >= quota[y] else 1.0 for y, b in bound.items()}
+
+    def run(batches):
+        features = _counts()
+        for batch in batches:
+            got = [features(x) for x in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    batch.column(3),
+                    pa.array([x[0] for x in got], type=pa.list_(pa.int32())),
+                    pa.array([x[1] for x in got], type=pa.list_(pa.float32())),
+                ],
+                names=["h", "lang", "quota", "at", "x"],
+            )
+
+    made = bounded(bound).select("h", "text", "lang", "quota").mapInArrow(run, "h long, lang string, quota int, at array<int>, x array<float>")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    table = made.withColumn("nth", nth).where(F.col("nth") <= max(quota.values())).where("nth <= quota").toArrow()
+    got = zip(*(table[c] for c in ("h", "lang", "at", "x")), strict=True)
+    rows_ = [(h.as_py(), y.as_py(), a.values.to_numpy(), x.values.to_numpy()) for h, y, a, x in got]
+    return [r[1:] for r in sorted(rows_, key=lambda r: (r[0], r[1], len(r[2])))]
+
+
 def _counts():
     def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         count = np.zeros(BUCKETS, dtype=np.int64)
@@ -183,15 +233,17 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the rows whose text and language aren't null.
 
-    Frequencies are counted over all of them; the weights come from the sample_rows rows with the least hash of id and
-    text. No rows at all give a model that predicts `UNDETERMINED`; one language gives one that always predicts it.
+    Frequencies and languages are counted over all of them; the weights come from the rows of each language with the
+    least hash of id and text, sample_rows in all but for the least number of a language. No rows at all give a model that predicts `UNDETERMINED`; one language gives one that always predicts it.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(id_col, text).alias("h"))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(id_col, text).alias("h"))
     rows = rows.where("text is not null and lang is not null")
     bound_batches(docs.sparkSession)
     frequency, n = _frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
-    sample = [(y, a, x) for y, a, x in sample_features(rows, "lang", sample_rows, _counts) if len(a)]
+    counts = dict(rows.groupBy("lang").count().collect())
+    quota = quotas(counts, sample_rows)
+    sample = [(y, a, x) for y, a, x in _stratified(rows, counts, quota) if len(a)]
     languages = tuple(sorted({y for y, _, _ in sample}))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
@@ -205,6 +257,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     full = np.vstack([w, b])
     logits = np.array([x @ full[a] for _, a, x in held]).reshape(len(held), len(languages))
     t = _temperature(logits, np.array([y for y, _, _ in held], dtype=int))
+    # the sample's shares become the true ones; on the scale of the biases, before the temperature
+    drawn = {y: counts[y] / quota[y] for y in languages}
+    most = max(drawn.values())
+    b = b + t * np.log([drawn[y] / most for y in languages])
     return Model(languages, (w * idf[:, None]).astype(np.float32), b, t)
 
 
