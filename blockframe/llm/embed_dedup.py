@@ -1,6 +1,6 @@
 """Near-duplicates of embeddings with a navigable small-world graph per shard.
 
-Equal vectors are made one first. The distinct ones are dealt to `SHARDS` shards by a hash of their id; each shard's
+Equal vectors are made one first. The distinct ones are dealt to shards of some `SHARD_ROWS` at most (`SHARDS` at least) by a hash of their id; each shard's
 graph is built in one task and written to the shared checkpoint folder. All vectors, in blocks, are then searched in
 every shard. A task holds one block and one shard: it searches with a narrow beam, widens it for queries whose whole
 beam is linked, and audits itself: of a sample of its queries all true links in the shard are computed, and while
@@ -22,9 +22,10 @@ from .runtime import bound_batches, cut
 from .vectors import cosines, distinct, pack, unit
 
 THRESHOLD = 0.9
-#: Graphs that every vector is searched in. More rows call for more shards, so that one fits a task's memory: a shard
-#: of 200,000 vectors of 64 components takes some 70 MB.
+#: Graphs that every vector is searched in, at least.
 SHARDS = 8
+#: Vectors of a shard, so that one fits a task's memory at any number of rows: 200,000 of 64 components take some 70 MB.
+SHARD_ROWS = 200_000
 #: Queries in a block.
 BLOCK = 2048
 #: Tasks that share the work on one shard.
@@ -180,19 +181,25 @@ def _search(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "id long, links long, other long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, shards: int = SHARDS, lanes: int = LANES) -> DataFrame:
+def shards_of(count: int) -> int:
+    """The shards that so many distinct vectors are dealt to."""
+    return max(SHARDS, -(-count // SHARD_ROWS))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, shards: int | None = None, lanes: int = LANES) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of df.
 
     n_links is the number of other rows linked directly, equal vectors included; component_id is the least id reachable,
     a row's own included. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
     and so do rows with a null id (component_id null, kept false). Vectors of different lengths never link. Rows that
     share an id and a vector count as separate rows; an id with several vectors is one node of the components. An empty
-    table gives an empty result; other columns aren't read.
+    table gives an empty result; other columns aren't read. The number of shards follows the count unless it is given.
     """
     spark = df.sparkSession
     bound_batches(spark, 2)  # a row is a block or a graph
     nodes = cut(distinct(df, id_col, vector))
     count = nodes.count()
+    shards = shards or shards_of(count)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     graphs = cut(_graphs(_blocks(nodes.withColumn("shard", shard), "shard").repartition(shards, "shard")))
     n_blocks = max(1, -(-count // BLOCK))
