@@ -36,16 +36,34 @@ MARKS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs header masthead footer related recommended share sharing social "
     "newsletter subscribe signup login modal popup overlay widget pagination pager skip".split()
 )
+#: Those of them that mark what readers wrote; an article among those isn't the page's.
+TALK = frozenset("comment comments disqus respond reply replies".split())
+#: Words that may come before such a word in a name; with others ("has-sidebar", "entry-header") it says something else.
+_PLACES = frozenset("site main primary secondary left right top bottom global".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 _CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table body html article section div main aside nav footer form blockquote".split())
-_WORDS = re.compile(r"[a-z0-9]+")
 _UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")  # a page cut off inside a tag
 
 
+def marks(names: str) -> set[str]:
+    """The words of MARKS that class and id names are, or clearly begin with: "ad", "cookie-notice", "site-footer"."""
+    found = set()
+    for name in names.lower().split():
+        first, *rest = [x for x in re.split("[-_:]+", name) if x] or [""]
+        if first in _PLACES and len(rest) == 1:
+            first = rest[0]
+        if first in MARKS:
+            found.add(first)
+    return found
+
+
 class _Lines(HTMLParser):
-    """Turns a page's events into lines: (text, tags, link characters, path of element numbers, surrounding)."""
+    """Turns a page's events into lines: (text, tags, link characters, path of element numbers, surrounding).
+
+    Elements that only their names mark are kept in `named`, for it takes the whole page to tell whether they surround.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -56,6 +74,7 @@ class _Lines(HTMLParser):
         self.tags = self.linked = self.links = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.marked_article = set()
+        self.named: dict[int, bool] = {}  # whether it is marked as what readers wrote
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -84,13 +103,17 @@ class _Lines(HTMLParser):
         self.number += 1
         said = dict(attrs)
         inside = any(t[0] in ("article", "main") for t in self.stack)
-        names = set(_WORDS.findall(f"{said.get('class') or ''} {said.get('id') or ''}".lower()))
+        names = marks(f"{said.get('class') or ''} {said.get('id') or ''}")
+        if tag in ("article", "main"):
+            names &= TALK if tag == "article" else set()
+        elif inside:
+            names -= {"header"}  # an article's own
+        if names and tag not in ("html", "body"):
+            self.named[self.number] = bool(names & TALK)
         around = (
             around
             or tag in AROUND
             or tag == "header" and not inside
-            or tag not in ("html", "body", "article", "main") and bool(names & MARKS)
-            or tag == "article" and bool(names & {"comment", "comments", "reply"})
             or (said.get("role") or "").lower() in ROLES
             or "hidden" in said
             or (said.get("aria-hidden") or "").lower() == "true"
@@ -162,6 +185,20 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def _surrounding(named: dict[int, bool], articles: set[int], lines: list) -> set[int]:
+    """The named elements that do surround: not those that hold most of the content characters, or the only article."""
+    votes: dict[int, int] = {}
+    for text, _, linked, path, _ in lines:
+        if not any(named.get(e) for e in path):
+            for element in path:
+                votes[element] = votes.get(element, 0) + len(text) - linked
+    around = {e for e, talk in named.items() if talk or 2 * votes.get(e, 0) <= votes.get(0, 0)}
+    held = {e: path[: path.index(e)] for _, _, _, path, _ in lines for e in articles.intersection(path) if e in votes}
+    if held and all(around.intersection(above) for above in held.values()):
+        around.difference_update(held[max(held, key=lambda e: (votes[e], -e))])
+    return around
+
+
 def main_text(html: str) -> str:
     """The text of a page's content region, a line for each block; empty if there is none."""
     parser = _Lines()
@@ -169,6 +206,9 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     lines = [x for x in parser.lines if not x[4]]
+    if parser.named:
+        around = _surrounding(parser.named, parser.marked_article, lines)
+        lines = [x for x in lines if around.isdisjoint(x[3])]
     if not lines:
         return ""
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
