@@ -2,8 +2,10 @@
 
 A document of source s is wanted r(s) times in the mean: (target weight of s) x (rows wanted) / (rows of s). How often
 it comes is a Poisson variable of that mean, inverted at a uniform number that is a hash of seed and id, so a rerun, a
-retried task and a grown table give the same documents the same numbers. Each document is exploded by its count, and
-all copies are put into a global order by a hash of seed, id and copy.
+retried task and a grown table give the same documents the same numbers. A mean too large to invert in double precision
+is split into equal parts, each with a draw of its own, and the draws are added up: a sum of Poisson variables is one of
+the summed mean. Each document is exploded by its count, and all copies are put into a global order by a hash of seed,
+id and copy.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Sources up to which their table (a row of some 30 to 1000 numbers each) is broadcast.
 BROADCAST_SOURCES = 2000
+#: Means up to which one draw is made; e^-mean is a double. A larger one is split into parts of at most `PART`.
+SINGLE = 700
+PART = 500
 #: 52 bits of the hash are used, so the uniform number is exact as a double.
 _DIGITS = 13
 
@@ -26,7 +31,7 @@ def uniform(*parts: Column) -> Column:
 def cumulative(rate: Column) -> Column:
     """Poisson's cumulative distribution for 0, 1, 2, ... up to where it is 1 in double precision, as an array.
 
-    In steps of the recurrence p(k) = p(k-1) r / k. A mean of over 700, whose p(0) is no double, is refused.
+    In steps of the recurrence p(k) = p(k-1) r / k, for a mean of at most `SINGLE`: the p(0) of a larger one is no double.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
@@ -35,8 +40,12 @@ def cumulative(rate: Column) -> Column:
         p = state["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(state["c"], F.array(F.element_at(state["c"], -1) + p)).alias("c"))
 
-    array = F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
-    return F.when(rate <= 700, array).otherwise(F.raise_error(F.lit("a mean repetition rate is over 700")))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
+
+
+def parts(rate: Column) -> Column:
+    """Into how many equal parts a mean is split."""
+    return F.when(rate <= SINGLE, F.lit(1)).otherwise(F.ceil(rate / PART).cast("int"))
 
 
 def rates(docs: DataFrame, source: str = "source", weights: dict[str | None, float] | None = None, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:
@@ -69,13 +78,21 @@ def replicate(docs: DataFrame, source: str = "source", id_col: str = "doc_id", w
     """
     names = [c for c in docs.columns if c.lower() != copy.lower()]
     cdf = rates(docs, source, weights, alpha, epochs).select(
-        F.col("source").alias("source_"), cumulative(F.col("rate")).alias("cdf_")
+        F.col("source").alias("source_"), cumulative(F.col("rate") / parts(F.col("rate"))).alias("cdf_"), parts(F.col("rate")).alias("parts_")
     )
     if cdf.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         cdf = F.broadcast(cdf)  # else exchanged, and adaptive execution splits a hot source's rows over tasks
     rows = docs.select(F.struct(*names).alias("row_"), F.col(source).alias("source"), F.col(id_col).alias("id_"))
     drawn = rows.join(cdf, F.col("source").eqNullSafe(F.col("source_"))).withColumn("u_", uniform(F.lit(seed), F.col("id_")))
-    times = F.size(F.filter("cdf_", lambda c: c <= F.col("u_")))
+    # the first draw is the only one of most sources; further ones are added to it
+    more = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("parts_") - 1))
+
+    def draw(total: Column, part: Column) -> Column:
+        u = uniform(F.lit(f"{seed} part"), F.col("id_"), part)
+        return total + F.size(F.filter("cdf_", lambda c: c <= u))
+
+    once = F.size(F.filter("cdf_", lambda c: c <= F.col("u_")))
+    times = F.when(F.col("parts_") == 1, once).otherwise(F.aggregate(more, once, draw))
     copies = drawn.withColumn("times_", times).where("times_ > 0").select("row_", "id_", F.explode(F.sequence(F.lit(0), F.col("times_") - 1)).alias(copy))
     order = uniform(F.lit(f"{seed} order"), F.col("id_"), F.col(copy))
     return copies.withColumn("order_", order).repartition(F.col("order_")).sortWithinPartitions("order_").select("row_.*", copy)
