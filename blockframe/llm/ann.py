@@ -308,13 +308,13 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str =
     asked = rows.where("asked").select("id", "vector")
     audit = asked.orderBy(order).limit(AUDITED).toArrow()
     ids, q = audit["id"].to_numpy(), np.array(audit["vector"].to_pylist(), dtype=np.float64).reshape(audit.num_rows, dim["d"])
-    bound_batches(spark, 4096)
+    bound_batches(spark)
     ratio = measure_ratio(lists, q, *_truth(rows.select("id", "vector"), ids, q, k)) if len(ids) else 1.0
     sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids and their links
     posted = cut(_dealt(rows.select("id", "vector"), "id", sent, postings))
     probed = cut(_dealt(asked, "query", sent, lambda own, x: probes(own, x, ratio)))
     pairs = cut(_blocks(posted, "id", BLOCK_ROWS, "")).join(cut(_blocks(probed, "query", QUERY_BLOCK, "q_")), "list")
-    bound_batches(spark, 16)  # a row is a pair of blocks
+    bound_batches(spark)
     found = _scored(pairs, k).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(

@@ -196,7 +196,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     table gives an empty result; other columns aren't read. The number of shards follows the count unless it is given.
     """
     spark = df.sparkSession
-    bound_batches(spark, 2)  # a row is a block or a graph
+    bound_batches(spark)
     nodes = cut(distinct(df, id_col, vector))
     count = nodes.count()
     shards = shards or shards_of(count)

@@ -1,201 +1,141 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-Paragraphs are the lines of a text with at least `MIN_WORDS` words, lower-cased with single spaces. Equal ones are
-made one node first, so copies of a paragraph, however many, are one row. A node's 5-word shingles give
-`BANDS` x `ROWS` minimal hashes; nodes that agree on a band collide. Bands are tuned for recall: a pair of similarity
-0.8 collides with probability 1 - (1 - 0.8^3)^12 = 0.9998.
-
-Verification without all pairs of a band. First each node is held against the least node of its band, by the exact
-Jaccard similarity of the shingle sets; of near copies most are linked so already. A band whose nodes all lie in one
-component then needs no more. In the others, all pairs of nodes from different components are compared, in blocks of
-bounded size, where a pair that earlier links of the block have joined is skipped; only a block's forest of links
-leaves its task. So no colliding pair that could change the components is left out.
+Texts are cut into paragraphs and windows of a word stream (see `passages`), so that a passage is found inside longer lines
+and over line breaks too. A unit's 5-word shingles give bands of minimal hashes; units that agree on a band collide.
+
+Verification without all pairs of a band. First each distinct unit ("node") is held against the least node of its band, by
+the exact Jaccard similarity of the shingle sets; of near copies most are linked so already. A band whose nodes all lie in
+one component then needs no more. The nodes of the others are compared by prefix filtering, which is exact: with the
+shingles in order of rarity, two sets of similarity s share one of the first n - ceil(s n) + 1 of each, so nodes that each
+have rare shingles of their own, such as the edited units of a crowd of copies, never meet. Where nodes still share such a
+shingle, those outside the largest component are compared with all others in blocks of bounded size; a pair that earlier
+links have joined is skipped, and only a block's forest of links leaves its task.
+
+Units are written once as a table in the shared checkpoint folder; a second pass over the texts fetches the shingles of
+those units only that a bitmap of fixed size doesn't rule out.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
-from .runtime import add_columns, bound_batches, cut, texts
+from .passages import Cutter, shingle_set
+from .runtime import bound_batches, cut, written
 from .simhash import keep_first
 
-WIDTH = 5
 SIMILARITY = 0.8
-MIN_WORDS = 20
-BANDS = 12
-ROWS = 3
-#: Nodes of a band that are compared in one task.
+#: Nodes that are compared in one task of the last step.
 BLOCK = 128
-#: Rows of two or three longs up to which a table is broadcast to spare the other side an exchange.
-BROADCAST = 500_000
-_MEMO = 200_000
-_SPLIT = re.compile(r"[^\n]+")
-
-
-def paragraphs(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, list[str]]]:
-    """(number of the line, start, end, words) of a text's paragraphs; offsets are code points, end exclusive."""
-    found, number, at = [], 0, 0
-    for m in _SPLIT.finditer(text):
-        number += text.count("\n", at, m.start())
-        at = m.start()
-        words = m.group().lower().split()
-        if len(words) >= min_words:
-            found.append((number, m.start(), m.end(), words))
-    return found
-
-
-def whole(text: str) -> list[tuple[int, int, int, list[str]]]:
-    """A text as a single unit, in the form of paragraphs(); an empty one too."""
-    return [(0, 0, len(text), text.lower().split())]
-
-
-Units = Callable[[str], list[tuple[int, int, int, list[str]]]]
-
-
-def shingles(words: list[str], width: int = WIDTH) -> frozenset[str]:
-    """The distinct runs of width words; a shorter text is one run."""
-    if len(words) <= width:
-        return frozenset([" ".join(words)])
-    return frozenset(map(" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
-
-
-class _Banding:
-    """Band keys of word lists."""
-
-    def __init__(self, width: int = WIDTH):
-        random = np.random.default_rng(23)
-        self.width = width
-        self.mix = random.integers(1, 1 << 63, width, dtype=np.uint64) | np.uint64(1)
-        self.scale = random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        self.shift = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-        self.memo: dict[str, int] = {}
-
-    def words(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        out = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
-
-    def keys(self, words: list[str]) -> np.ndarray:
-        w = self.words(words)
-        n = max(1, len(w) - self.width + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(min(self.width, len(w))):
-            h += w[i : i + n] * self.mix[i]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for i in range(0, n, 4096):  # a paragraph of any length needs little memory
-            np.minimum(least, (h[i : i + 4096, None] * self.scale + self.shift).min(axis=0), out=least)
-        rows = least.reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(ROWS):
-            key = (key ^ rows[:, i]) * np.uint64(0x94D049BB133111EB)
-            key ^= key >> np.uint64(31)
-        return key.view(np.int64)
-
-
-def _node(words: list[str]) -> int:
-    """A paragraph's number: 64 bits of its words' hash, signed. Two of 10^9 paragraphs share one with odds of 1 in 40."""
-    h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace"))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, line, start, end, words, node) of each paragraph."""
+#: Rows of a few longs up to which a table is broadcast to spare the other side an exchange.
+BROADCAST = 200_000
+#: The bitmap that rules out units has 2^BITMAP bits (8 MB), whatever the size of the corpus. A full one rules out nothing.
+BITMAP = 26
+
+
+def _units(docs: DataFrame, whole: bool) -> DataFrame:
+    """(id, content, start, end, first, n, node, check, bands) of the units of docs(id, text), written to the shared folder.
+
+    content is a hash of the text; bands are left out where the task has just met the same node.
+    """
 
     def run(batches):
+        cutter = Cutter(whole)
         for batch in batches:
-            rows = [
-                (i, number, start, end, len(words), _node(words))
-                for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
-                for number, start, end, words in paragraphs(text, min_words)
-            ]
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            ids, content = batch.column(0), batch.column(1)
+            for found in cutter.units(batch.column(2)):
+                rows = pa.array(found["row"], pa.int64())
+                wanted = cutter.news(found["node"])
+                offsets, values = cutter.bands(found, wanted)
+                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+                ints = [pa.array(found[c].astype(np.int32)) for c in ("start", "end", "first", "n")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["id", "line", "start", "end", "words", "node"],
+                    [ids.take(rows), content.take(rows), *ints, pa.array(found["node"]), pa.array(found["check"]), bands],
+                    names=["id", "content", "start", "end", "first", "n", "node", "check", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, line int, start int, end int, words int, node long")
+    schema = "id long, content long, start int, end int, first int, n int, node long, check int, bands array<long>"
+    return written(docs.select("id", F.xxhash64("text").alias("content"), "text").mapInArrow(run, schema))
 
 
-def _banded(docs: DataFrame, units: Units) -> DataFrame:
-    """(node, bands) of each distinct paragraph."""
+def _members(units: DataFrame) -> DataFrame:
+    """(band, node, least) of the bands that several distinct nodes share; one exchange serves both sides of the join."""
+    rows = units.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "node").repartition("band")
+    shared = rows.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    return written(rows.join(shared.select("band", "least"), "band").distinct())
 
-    def run(batches):
-        banding = _Banding()
-        for batch in batches:
-            found = {}
-            for text in texts(batch.column(0)):
-                for *_, words in units(text):
-                    node = _node(words)
-                    if node not in found:
-                        found[node] = banding.keys(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "bands"]
-            )
 
-    return docs.mapInArrow(run, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
+def _bitmap(nodes: DataFrame) -> bytes:
+    """A bitmap of 2^BITMAP bits in which the bit of each node is set."""
+    slot = F.col("node").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
+    rows = nodes.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = np.zeros(1 << (BITMAP - 6), dtype=np.int64)
+    table = rows.toArrow()  # 2^20 rows at most
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return words.tobytes()
 
 
-def _contents(docs: DataFrame, units: Units) -> DataFrame:
-    """(node, content): each paragraph's words, joined by single spaces."""
+def _shingles(docs: DataFrame, whole: bool, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of nodes(node): the sorted distinct shingle hashes, written to the shared folder."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
     def run(batches):
+        cutter = Cutter(whole)
+        bits = np.frombuffer(bitmap.value, dtype=np.uint64)
         for batch in batches:
-            found = {}
-            for text in texts(batch.column(0)):
-                for *_, words in units(text):
-                    found[_node(words)] = " ".join(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["node", "content"]
-            )
+            for found in cutter.units(batch.column(0)):
+                node = found["node"].view(np.uint64)
+                slot = node & np.uint64((1 << BITMAP) - 1)
+                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (node & np.uint64(63))) & np.uint64(1) == 1
+                at = np.flatnonzero(hit)
+                at = at[cutter.news(found["node"][at])]
+                sets = [shingle_set(found["shingles"], a, n) for a, n in zip(found["a"][at].tolist(), found["n"][at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found["node"][at]), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+                )
 
-    return docs.mapInArrow(run, "node long, content string")
+    found = docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    found = _among(found, nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return written(found)
 
 
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs(src, dst, a, b) whose contents a and b are similar."""
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in keys(key), which has distinct keys; keys are broadcast only where they are few."""
+    if keys.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(keys), key)
+    return _on(rows, keys, key)
 
-    def alike(a: str, b: str) -> bool:
-        x, y = shingles(a.split(" ")), shingles(b.split(" "))
-        return len(x & y) >= similarity * len(x | y)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                # pair by pair: the sets of a batch of long texts take many times their bytes
-                good = pa.array([alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-                yield batch.select(["src", "dst"]).filter(good)
+def _on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An equi-join exchanged on a hash besides the key, so that a hot key's rows can be split over tasks."""
+    k = F.xxhash64(key)
+    return left.withColumn("k_", k).join(right.withColumn("k_", k), ["k_", key]).drop("k_")
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)
+
 
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(src, dst) of nodes whose shingle sets have that Jaccard similarity."""
+    a = shingles.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
+    b = shingles.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+    return _on(_on(pairs, a, "src"), b, "dst").where(_alike("a", "b", similarity)).select("src", "dst")
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links between nodes of a band's pair of blocks: rows(band, i, j, part, node, component, content)."""
+    """Links between the two sides of a block: rows(token, block, side, node, component, shingles).
+
+    Side 0 holds the BLOCK nodes at most that are compared with each other and with side 1, which may be of any size:
+    it's read in order and needs a set at a time.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = sorted(table.select(["node", "part", "component", "content"]).to_pylist(), key=lambda r: r["node"])
         group: dict[int, int] = {}
 
         def top(x):
@@ -204,122 +144,134 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
                 x = group[x]
             return x
 
-        sets = [shingles(r["content"].split(" ")) for r in rows]
-        src, dst = [], []
-        for x, r in enumerate(rows):
-            for y in range(x):
-                s = rows[y]
-                if i != j and r["part"] == s["part"]:
-                    continue  # met in the block's own pair
-                a, b = top(r["component"]), top(s["component"])
-                if a == b or min(len(sets[x]), len(sets[y])) < similarity * max(len(sets[x]), len(sets[y])):
+        src, dst, held = [], [], []
+        order = np.argsort(table.column("side").to_numpy(), kind="stable").tolist()
+        nodes, parts, sides, sets = (table.column(c) for c in ("node", "component", "side", "shingles"))
+        for i in order:
+            node, part, mine = nodes[i].as_py(), parts[i].as_py(), set(sets[i].as_py())
+            for other, other_part, theirs in held:
+                a, b = top(part), top(other_part)
+                if a == b or min(len(mine), len(theirs)) < similarity * max(len(mine), len(theirs)):
                     continue
-                if len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]):
+                both = len(mine & theirs)
+                if both >= similarity * (len(mine) + len(theirs) - both):
                     group[max(a, b)] = min(a, b)
-                    src.append(r["node"])
-                    dst.append(s["node"])
+                    src.append(node)
+                    dst.append(other)
+            if sides[i].as_py() == 0:
+                held.append((node, part, mine))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long")
-
-
-def _on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """An equi-join exchanged on a hash besides the key, so that a hot key's rows can be split over tasks."""
-    k = F.xxhash64(key)
-    return left.withColumn("k_", k).join(right.withColumn("k_", k), ["k_", key]).drop("k_")
-
+    return rows.groupBy("token", "block").applyInArrow(compare, "src long, dst long")
 
-def _members(banded: DataFrame) -> DataFrame:
-    """(band, node, n, least) of the bands that several nodes share.
 
-    A band is first summed up on one row: how many nodes, the least, the greatest, and all of them in an exclusive or.
-    That is all there is to know of two or three nodes; only the nodes of larger bands are looked up again.
-    """
-    rows = banded.select(F.explode("bands").alias("band"), "node")
-    summed = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("node").alias("all"))
-    shared = cut(summed.where("n > 1"))
-    third = F.col("all").bitwiseXOR(F.col("least")).bitwiseXOR(F.col("most"))
-    few = F.when(F.col("n") == 2, F.array("least", "most")).otherwise(F.array(F.col("least"), third, F.col("most")))
-    small = shared.where("n <= 3").select("band", F.explode(few).alias("node"), "n", "least")
-    large = shared.where("n > 3").select("band", "n", "least")
-    if large.limit(BROADCAST + 1).count() <= BROADCAST:
-        found = rows.join(F.broadcast(large), "band")
-    else:
-        found = _on(rows, large, "band")
-    return small.unionByName(found.select("band", "node", "n", "least"))
-
-
-def clusters(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, units: Units | None = None) -> DataFrame:
-    """(node, component) of the paragraphs, or other units, of docs(id, text) that are linked."""
-    units = units or partial(paragraphs, min_words=min_words)
-    members = cut(_members(cut(_banded(docs.select("text"), units))))
-    wanted = cut(members.select("node").distinct())
-    contents = _contents(docs.select("text"), units)
-    if wanted.limit(BROADCAST + 1).count() <= BROADCAST:
-        contents = contents.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
-    else:
-        contents = contents.groupBy("node").agg(F.first("content").alias("content")).join(wanted, "node")
-    contents = cut(contents)
-    stars = members.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst")).distinct()
-    a = contents.select(F.col("node").alias("src"), F.col("content").alias("a"))
-    b = contents.select(F.col("node").alias("dst"), F.col("content").alias("b"))
-    first = cut(_verified(_on(_on(stars, a, "src"), b, "dst"), similarity))
-    groups = connected_components(first)
+def _rest(members: DataFrame, shingles: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes of bands that still have several components, found by prefix filtering."""
+    parted = shingles.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labelled = _on(members.select("band", "node"), parted, "node")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     # of a band with two nodes the one pair has been verified
-    labelled = _on(members.where("n > 2").select("band", "node", "n"), wanted.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "node")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = _on(labelled, mixed.select("band"), "band")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rest = rest.select("band", "node", "component", parts.alias("parts"), part.alias("part"))
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rest = rest.select("band", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    second = _compared(_on(rest, contents, "node"), similarity)
+    nodes = _on(labelled, mixed.where("lo <> hi and n > 2").select("band"), "band").select("node", "component").distinct()
+    nodes = written(_on(nodes, shingles, "node"))
+    tokens = nodes.select("node", F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    # shingles of one node only never meet another, but they take their places in its prefix
+    shared = _on(tokens, common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    size = F.size("shingles")
+    prefix = size - F.ceil(F.lit(similarity) * size - 1e-9) + 1 - (size - F.size("shared"))
+    first = nodes.join(shared, "node").where(prefix > 0).select(
+        "node", "component", F.explode(F.transform(F.slice("shared", F.lit(1), prefix.cast("int")), lambda x: x["token"])).alias("token")
+    )
+    first = written(first)
+    sizes = first.groupBy("token", "component").agg(F.count("*").alias("n"))
+    by_token = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+    by_token = by_token.where("most.n < all").select("token", F.col("most.component").alias("major"), ((F.col("all") - F.col("most.n")) / BLOCK).alias("blocks"))
+    met = _on(first, by_token, "token")
+    blocks = F.ceil("blocks").cast("int")
+    own = F.when(F.col("component") != F.col("major"), F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    met = met.select("token", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    # a block's own nodes are one side; nodes of the largest component, and of later blocks, are the other
+    met = met.where(F.col("own").isNull() | (F.col("own") >= F.col("block")))
+    met = met.withColumn("side", F.when(F.col("own") == F.col("block"), 0).otherwise(1))
+    return _compared(_on(met.select("token", "block", "side", "node", "component"), shingles, "node"), similarity)
+
+
+def linked(units: DataFrame, docs: DataFrame, whole: bool = False, similarity: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes of units that are linked. more(src, dst) are further candidate pairs to verify."""
+    members = _members(units)
+    pairs = members.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    if more is not None:
+        pairs = pairs.unionByName(more)
+    pairs = cut(pairs.distinct())
+    nodes = cut(members.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct())
+    shingles = _shingles(docs, whole, nodes)
+    first = cut(_verified(pairs, shingles, similarity))
+    second = _rest(members, shingles, connected_components(first), similarity)
     return connected_components(cut(first.unionByName(second)))
 
 
-def duplicate_paragraphs(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each paragraph that occurs again, exactly or nearly, in the same or another document.
+def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each maximal passage that occurs again, exactly or nearly, in the same or another document.
 
-    id_col, line, start, end (code points, end exclusive), n_words; cluster_id (16 hex digits, the least node of its cluster),
-    keeper (the id of the cluster's first occurrence: least id, then least line), removed (false for that one only).
-    Null and empty texts have no paragraphs; a null id comes last in its cluster. Repeated rows are occurrences of
-    their own, but of rows that share id and line in a cluster all first ones stay. Other columns aren't read.
+    Columns: id_col; start, end (code points of the text, end exclusive); n_words; cluster_id (16 hex digits, the component of
+    the passage's first unit); keeper (the id of the document that has the first occurrence: least id, then least start);
+    removed (false for the first occurrences only: what is removed leaves one copy of each passage); n_rows.
+    Units of a text that overlap or touch are one passage where they have the same keeper and the same fate.
+    Null and empty texts have no passages. A null id comes last in its cluster. Rows that repeat id and text are one row
+    here, counted in n_rows, and of what only they share both are first. Texts of any length are whole. An empty table gives
+    an empty result. Other columns aren't read.
     """
     bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    found = cut(_occurrences(docs, min_words))
-    place = F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("line"))
-    nodes = cut(found.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    groups = clusters(docs, min_words, similarity)
-    named = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("cluster"))
-    whole = named.groupBy("cluster").agg(F.min("first").alias("keeper"), F.sum("n").alias("size")).where("size > 1")
-    named = _on(named.select("node", "cluster"), whole, "cluster")
-    rows = _on(found, named, "node")
-    kept = (F.col("keeper.id").eqNullSafe(F.col("id"))) & (F.col("keeper.line") == F.col("line"))
-    return rows.select(
-        F.col("id").alias(id_col), "line", "start", "end", F.col("words").cast("long").alias("n_words"),
-        F.lower(F.hex("cluster")).alias("cluster_id"), F.col("keeper.id").alias("keeper"), (~kept).alias("removed"),
-    )
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    units = _units(docs, whole=False)
+    groups = linked(units, docs, similarity=similarity)
+    counted = units.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check")).where("n > 1").select("node", "check")
+    again = counted.join(groups, "node", "full").select("node", "check", F.coalesce("component", "node").alias("cluster"))
+    again = written(again)
+    rows = _among(units.drop("bands").withColumnRenamed("check", "own"), again, "node")
+    # two texts that share 64 bits of a hash but not the next 32 are left alone
+    rows = rows.where(F.col("check").isNull() | (F.col("check") == F.col("own")))
+    rows = rows.groupBy("id", "content", "start", "end", "first", "n", "cluster").agg(F.count("*").alias("n_rows"))
+    # units of one text that overlap are alike by that alone: one occurrence
+    rows = written(_joined(rows, ["id", "content", "cluster"], 0))
+    place = F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("start"))
+    whole = rows.groupBy("cluster").agg(F.min(place).alias("keeper"), F.sum("n_rows").alias("size")).where("size > 1")
+    rows = _on(rows, whole.select("cluster", "keeper"), "cluster")
+    kept = F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.start") == F.col("start"))
+    rows = rows.withColumn("removed", ~kept).withColumn("keeper", F.col("keeper.id"))
+    out = _joined(rows, ["id", "content", "keeper", "removed"], 1)
+    return out.select(
+        F.col("id").alias(id_col), "start", "end", F.col("n").cast("long").alias("n_words"), F.lower(F.lpad(F.hex("cluster"), 16, "0")).alias("cluster_id"), "keeper", "removed", "n_rows"
+    )
+
+
+def _joined(rows: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """rows(first, n, start, end, cluster, n_rows, *by), those of the same by that overlap, or lie less than gap words apart, as one."""
+    line = Window.partitionBy(*by).orderBy("first", "n")
+    before = F.max(F.col("first") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.col("first") < before + gap, 0).otherwise(1))
+    rows = rows.withColumn("part", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"),
+        (F.max(F.col("first") + F.col("n")) - F.min("first")).alias("n"), F.max("n_rows").alias("n_rows"),
+        *([] if "cluster" in by else [F.min_by("cluster", "first").alias("cluster")]),
+    ).drop("part")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, more=None) -> DataFrame:
     """The rows of df that stay when one of each group of near copies is kept: the one with the least id.
 
     Whole texts are linked where the exact Jaccard similarity of their 5-word shingles reaches similarity; groups are the
-    components. Candidates come from the bands, whose recall at 0.8 is 0.9998. (Fingerprints of such texts differ in some
-    10 of 64 bits, with a spread of 3, so no bit radius that is worth joining on would find them all.) Null and empty texts
-    are one group. Ties in the id go to the least node and content hash, and of rows that repeat all three one stays.
+    components. more(units) may return further candidate pairs (src, dst) of nodes.
+    Null and empty texts are one group. Ties in the id go to the least node and content hash, and of rows that repeat all
+    three one stays. Columns are those of df, whatever their names.
     """
     bound_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
-
-    def make():
-        return lambda column: [pa.array([_node(words) for x in texts(column) for *_, words in whole(x)], pa.int64())]
-
-    small = add_columns(docs, ["text"], [T.StructField("node", T.LongType())], make).select("id", "content", "node")
-    least = F.min(F.struct(F.isnull("id").alias("none"), "id", "node", "content")).alias("best")
-    nodes = cut(small.groupBy("node").agg(least))
-    named = nodes.join(clusters(docs.select("text"), similarity=similarity, units=whole), "node", "left")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    units = _units(docs, whole=True)
+    groups = linked(units, docs, True, similarity, more(units) if more else None)
+    least = F.min(F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("node"), F.col("content"))).alias("best")
+    nodes = units.groupBy("node").agg(least)
+    named = nodes.join(groups, "node", "left")
     first = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("first"))
     return keep_first(df, first, id_col, text)

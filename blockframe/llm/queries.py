@@ -60,7 +60,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.duplicate_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraphs.duplicate_passages(table(spark, sf_dir, "documents"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,9 +17,11 @@ BATCH_ROWS = 400
 BATCH_BYTES = 32 * 1024 * 1024
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of this session small enough for a Python worker, and let workers import this package.
 
+    A query's batches are bounded when it runs, which may be long after it was built; so the bounds, the same for all
+    operators, stay with the session, but only ever lower what it had.
     A driver may have put the package's folder on its own path only; workers look where PYTHONPATH of the context says. On
     a cluster the package is installed or shipped, and a folder that isn't there is ignored.
     """
@@ -26,22 +29,43 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that driver and executors share, and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; one of our own is made only where none is set (tests).
+    One of our own is made only where none is set and driver and executors are one machine (tests). Elsewhere that's an error:
+    a folder of the driver's disk would be lost to the executors.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder, and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like cut, but as a table of columns: smaller, and only the columns that are used are read again."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],

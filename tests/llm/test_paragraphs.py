@@ -1,44 +1,96 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
-from blockframe.llm import paragraphs
+import numpy as np
+import pyarrow as pa
 
+from blockframe.llm import paragraphs, passages
 
-def brute(rows, min_words=20, similarity=0.8):
-    """(id, line, start, end) -> (keeper, removed), from all pairs of paragraphs."""
-    found = []
-    for i, text in rows:
-        at = 0
-        for line, part in enumerate((text or "").split("\n")):
-            words = part.lower().split()
-            if len(words) >= min_words:
-                found.append((i, line, at, at + len(part), frozenset(" ".join(words[j : j + 5]) for j in range(len(words) - 4))))
-            at += len(part) + 1
-    group = list(range(len(found)))
+LEAST = passages.UNIT + passages.REACH - 1
 
-    def top(x):
-        while group[x] != x:
-            x = group[x]
-        return x
 
-    for a in range(len(found)):
-        for b in range(a):
-            s, t = found[a][4], found[b][4]
-            if len(s & t) >= similarity * len(s | t):
-                group[top(a)] = top(b)
-    clusters = defaultdict(list)
-    for a in range(len(found)):
-        clusters[top(a)].append(found[a][:4])
-    out = {}
-    for members in clusters.values():
-        if len(members) > 1:
-            first = min(members, key=lambda m: (m[0] is None, m[0] if m[0] is not None else 0, m[1]))
-            out |= {m: (first[0], m[:2] != first[:2]) for m in members}
+def placed(text):
+    return [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", text or "")]
+
+
+def repeated_runs(rows, least=LEAST):
+    """(row, start, end, words) of all maximal runs of words that another row repeats."""
+    words = [placed(t) for _, t in rows]
+    met = defaultdict(set)
+    for i, x in enumerate(words):
+        for j in range(len(x) - least + 1):
+            met[tuple(w for *_, w in x[j : j + least])].add(i)
+    for i, x in enumerate(words):
+        j = 0
+        while j <= len(x) - least:
+            k = j
+            while k <= len(x) - least and len(met[tuple(w for *_, w in x[k : k + least])]) > 1:
+                k += 1
+            if k > j:
+                yield i, x[j][0], x[k + least - 2][1], x[j : k + least - 1]
+            j = k + 1
+
+
+def spans(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.doc_id].append(r)
     return out
 
 
+def held(found, words):
+    return sum(any(r.start <= s and e <= r.end for r in found) for s, e, _ in words)
+
+
+def check_runs(rows, got):
+    n = 0
+    for i, _, _, words in repeated_runs(rows):
+        n += 1
+        # at either end fewer than REACH words may lie beyond the outermost shared window
+        assert held(got[rows[i][0]], words) >= len(words) - 2 * (passages.REACH - 1)
+    return n
+
+
+def test_query_finds_every_repeated_run(spark, sf):
+    from blockframe.llm.queries import op5_paragraphs
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = spans(op5_paragraphs(spark, sf))
+    assert check_runs(rows, got) > 20
+    texts = dict(rows)
+    for i, found in got.items():
+        for r in found:
+            assert len(texts[i][r.start : r.end].split()) == r.n_words
+            assert any(not k.removed for k in got[r.keeper])
+
+
+def vocabulary(r, n=3000):
+    return [f"v{r.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_inside_lines_and_over_line_breaks(spark):
+    r = random.Random(5)
+    known = vocabulary(r)
+    passage = [r.choice(known) for _ in range(LEAST)]
+    rows = []
+    for i in range(60):
+        words = [r.choice(known) for _ in range(r.randint(0, 120))]
+        if i % 3 == 0:
+            at = r.randint(0, len(words))
+            words[at:at] = [w.upper() if i % 2 else w for w in passage]
+        wrap = r.choice([7, 12, 10_000])
+        rows.append((i, "\n".join(" ".join(words[j : j + wrap]) for j in range(0, len(words), wrap))))
+    got = spans(paragraphs.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert set(got) == set(range(0, 60, 3))
+    assert check_runs(rows, got) == 20
+    # besides, windows that reach a word or two beyond the passage are alike in some
+    assert all(any(r.keeper == 0 and r.removed == (i > 0) for r in found) for i, found in got.items())
+    assert not any(r.removed for r in got[0])
+
+
 def mutated(words, random_, edits):
     words = list(words)
     for _ in range(edits):
@@ -46,47 +98,62 @@ def mutated(words, random_, edits):
     return words
 
 
-def docs():
+def test_near_paragraphs_match_all_pairs(spark):
+    """One paragraph a text, so that components of all pairs are known; a crowd of near copies among them."""
     r = random.Random(9)
-    vocabulary = [f"v{i}" for i in range(3000)]
-    base = [[r.choice(vocabulary) for _ in range(60)] for _ in range(12)]
-    rows = []
-    for i in range(120):
-        lines = [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 40))) for _ in range(3)]
-        if i % 2:
-            lines.insert(r.randrange(3), " ".join(mutated(r.choice(base), r, r.choice([0, 1, 1, 2]))))
-        if i % 5 == 0:
-            lines.insert(0, " ".join(base[0]).upper())
-        rows.append((i, "\n".join(lines)))
-    crowd = [r.choice(vocabulary) for _ in range(150)]
-    rows += [(1000 + i, " ".join(mutated(crowd, r, 1))) for i in range(200)]
-    return rows
-
-
-def result(df):
-    return {(r.doc_id, r.line, r.start, r.end): (r.keeper, r.removed) for r in df.collect()}
+    known = vocabulary(r)
+    base = [[r.choice(known) for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(mutated(r.choice(base), r, r.choice([0, 1, 1, 2, 3, 4]))) for _ in range(150)]
+    crowd = [r.choice(known) for _ in range(40)]
+    texts += [" ".join(mutated(crowd, r, r.choice([1, 1, 2, 3]))) for _ in range(400)]
+    sets = [frozenset(" ".join(w[j : j + 5]) for j in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
 
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
 
-def test_matches_all_pairs(spark):
-    rows = docs()
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got, want = result(paragraphs.duplicate_paragraphs(df)), brute(rows)
-    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
-    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(want)
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[top(a)] = top(b)
+    members = defaultdict(set)
+    for a in range(len(texts)):
+        members[top(a)].add(a)
+    want = {frozenset(m) for m in members.values() if len(m) > 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    units = paragraphs._units(docs, whole=True)
+    by_node = units.select("id", "node").join(paragraphs.linked(units, docs, True), "node", "left").collect()
+    found = defaultdict(set)
+    for x in by_node:
+        found[x.node if x.component is None else x.component].add(x.id)
+    assert {frozenset(m) for m in found.values() if len(m) > 1} == want
 
 
 def test_edge_rows(spark):
     line = " ".join(f"w{i}" for i in range(30))
     rows = [(1, None, "x"), (2, "", "x"), (3, "\n\n" + line, "x"), (3, "\n\n" + line, "x"), (None, line.upper() + " ", "x"), (4, " ".join(f"z{i}" for i in range(200_000)), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, keeper string")
-    out = paragraphs.duplicate_paragraphs(df).collect()
-    assert sorted(((r.doc_id or -1), r.line, r.start, r.removed, r.keeper) for r in out) == [(-1, 0, 0, True, 3), (3, 2, 2, False, 3), (3, 2, 2, False, 3)]
-    assert paragraphs.duplicate_paragraphs(df.limit(0)).collect() == []
-    assert paragraphs.duplicate_paragraphs(df.where("doc_id = 4")).collect() == []
-
-
-def test_query_against_all_pairs(spark, sf):
-    from blockframe.llm.queries import op5_paragraphs
-
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert result(op5_paragraphs(spark, sf)) == brute(rows)
+    out = paragraphs.duplicate_passages(df).collect()
+    assert sorted(((r.doc_id or -1), r.start, r.end, r.n_words, r.removed, r.keeper, r.n_rows) for r in out) == [
+        (-1, 0, len(line), 30, True, 3, 1), (3, 2, 2 + len(line), 30, False, 3, 2),
+    ]
+    assert paragraphs.duplicate_passages(df.limit(0)).collect() == []
+    assert paragraphs.duplicate_passages(df.where("doc_id = 4")).collect() == []
+
+
+def test_units_of_a_text():
+    text = "A b\nc D e\n\n" + " ".join(f"w{i}" for i in range(100))
+    words, starts, ends, lines = passages.split(text)
+    assert words == text.lower().split() and [text[s:e].lower() for s, e in zip(starts, ends, strict=True)] == words
+    assert lines[:6].tolist() == [0, 0, 1, 1, 1, 3]
+    (found,) = passages.Cutter().units(pa.array([text, "", None, "one"]))
+    flat = len(found["n"]) - found["windows"]
+    assert found["n"][:flat].sum() == 106 and set(found["row"].tolist()) == {0, 3}
+    starts = np.sort(found["first"][flat:][found["row"][flat:] == 0])
+    assert (np.diff(starts) <= passages.REACH).all() and starts[0] < passages.REACH
+    # the same words have the same name, wherever they stand
+    (again,) = passages.Cutter().units(pa.array(["x y z " + text]))
+    assert set(found["node"][flat:].tolist()) & set(again["node"].tolist())
+    assert len(set(found["node"].tolist())) == len(found["node"])
