@@ -1,7 +1,8 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
 Texts are cut into paragraphs and windows of a word stream (see `passages`), so that a passage is found inside longer lines
-and over line breaks too. A unit's 5-word shingles give bands of minimal hashes; units that agree on a band collide.
+and over line breaks too. A paragraph's 5-word shingles give bands of minimal hashes; paragraphs that agree on a band
+collide. Windows need no bands: equal ones are one cluster.
 
 Verification without all pairs of a band. First each distinct unit ("node") is held against the least node of its band, by
 the exact Jaccard similarity of the shingle sets; of near copies most are linked so already. A band whose nodes all lie in
@@ -24,26 +25,26 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .passages import Cutter, shingle_set
-from .runtime import bound_batches, cut, written
-from .simhash import keep_first
+from .runtime import bound_batches, cut, discard, written
 
 SIMILARITY = 0.8
-#: Nodes that are compared in one task of the last step.
+#: Nodes with a rare shingle in common up to which they are joined pairwise; beyond, so many are one side of a block.
+PAIR_LIMIT = 12
 BLOCK = 128
-#: Rows of a few longs up to which a table is broadcast to spare the other side an exchange.
-BROADCAST = 200_000
 #: The bitmap that rules out units has 2^BITMAP bits (8 MB), whatever the size of the corpus. A full one rules out nothing.
 BITMAP = 26
+#: The same for a join: 2^JOIN_BITMAP bits on 262,144 rows at most, which are broadcast.
+JOIN_BITMAP = 24
 
 
-def _units(docs: DataFrame, whole: bool) -> DataFrame:
-    """(id, content, start, end, first, n, node, check, bands) of the units of docs(id, text), written to the shared folder.
+def _units(docs: DataFrame) -> DataFrame:
+    """(id, content, start, end, first, n, node, check, bands) of the paragraphs and windows of docs(id, text), written to the shared folder.
 
     content is a hash of the text; bands are left out where the task has just met the same node.
     """
 
     def run(batches):
-        cutter = Cutter(whole)
+        cutter = Cutter()
         for batch in batches:
             ids, content = batch.column(0), batch.column(1)
             for found in cutter.units(batch.column(2)):
@@ -61,6 +62,26 @@ def _units(docs: DataFrame, whole: bool) -> DataFrame:
     return written(docs.select("id", F.xxhash64("text").alias("content"), "text").mapInArrow(run, schema))
 
 
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """(id, content, node, simhash, bands) of docs(id, text), each whole text a unit, written to the shared folder."""
+
+    def run(batches):
+        cutter = Cutter(whole=True)
+        for batch in batches:
+            ids, content = batch.column(0), batch.column(1)
+            for found in cutter.units(batch.column(2)):
+                rows = pa.array(found["row"], pa.int64())
+                offsets, values = cutter.bands(found, cutter.news(found["node"]))
+                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), content.take(rows), pa.array(found["node"]), pa.array(cutter.fingerprints(found)), bands],
+                    names=["id", "content", "node", "simhash", "bands"],
+                )
+
+    rows = docs.select("id", F.xxhash64("text").alias("content"), "text")
+    return written(rows.mapInArrow(run, "id long, content long, node long, simhash long, bands array<long>"))
+
+
 def _members(units: DataFrame) -> DataFrame:
     """(band, node, least) of the bands that several distinct nodes share; one exchange serves both sides of the join."""
     rows = units.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "node").repartition("band")
@@ -68,20 +89,33 @@ def _members(units: DataFrame) -> DataFrame:
     return written(rows.join(shared.select("band", "least"), "band").distinct())
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """A bitmap of 2^BITMAP bits in which the bit of each node is set."""
-    slot = F.col("node").bitwiseAND(F.lit((1 << BITMAP) - 1))
+def _bitmap(nodes: DataFrame, size: int) -> DataFrame:
+    """(word, bits): a bitmap of 2^size bits in which the bit of each node is set; 2^(size - 6) rows at most."""
     bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
-    rows = nodes.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return nodes.select(_word(size).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def _word(size: int) -> Column:
+    return F.shiftright(F.col("node").bitwiseAND(F.lit((1 << size) - 1)), 6).cast("int")
+
+
+def _sent_bitmap(nodes: DataFrame) -> bytes:
     words = np.zeros(1 << (BITMAP - 6), dtype=np.int64)
-    table = rows.toArrow()  # 2^20 rows at most
+    table = _bitmap(nodes, BITMAP).toArrow()
     words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     return words.tobytes()
 
 
+def _likely(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows(node) that a bitmap of fixed size doesn't rule out, so that fewer are exchanged for a join with nodes(node)."""
+    bits = F.broadcast(_bitmap(nodes, JOIN_BITMAP))
+    rows = rows.withColumn("word", _word(JOIN_BITMAP)).join(bits, "word")
+    return rows.where("(shiftright(bits, cast(node & 63 as int)) & 1) = 1").drop("word", "bits")
+
+
 def _shingles(docs: DataFrame, whole: bool, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of nodes(node): the sorted distinct shingle hashes, written to the shared folder."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_sent_bitmap(nodes))
 
     def run(batches):
         cutter = Cutter(whole)
@@ -99,15 +133,7 @@ def _shingles(docs: DataFrame, whole: bool, nodes: DataFrame) -> DataFrame:
                 )
 
     found = docs.select("text").mapInArrow(run, "node long, shingles array<long>")
-    found = _among(found, nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return written(found)
-
-
-def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is in keys(key), which has distinct keys; keys are broadcast only where they are few."""
-    if keys.limit(BROADCAST + 1).count() <= BROADCAST:
-        return rows.join(F.broadcast(keys), key)
-    return _on(rows, keys, key)
+    return written(found.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes, "node"))
 
 
 def _on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -173,27 +199,33 @@ def _rest(members: DataFrame, shingles: DataFrame, groups: DataFrame, similarity
     # of a band with two nodes the one pair has been verified
     nodes = _on(labelled, mixed.where("lo <> hi and n > 2").select("band"), "band").select("node", "component").distinct()
     nodes = written(_on(nodes, shingles, "node"))
-    tokens = nodes.select("node", F.explode("shingles").alias("token"))
+    shingles = nodes.select("node", "shingles")
+    tokens = nodes.select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     # shingles of one node only never meet another, but they take their places in its prefix
-    shared = _on(tokens, common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    size = F.size("shingles")
-    prefix = size - F.ceil(F.lit(similarity) * size - 1e-9) + 1 - (size - F.size("shared"))
-    first = nodes.join(shared, "node").where(prefix > 0).select(
-        "node", "component", F.explode(F.transform(F.slice("shared", F.lit(1), prefix.cast("int")), lambda x: x["token"])).alias("token")
-    )
-    first = written(first)
-    sizes = first.groupBy("token", "component").agg(F.count("*").alias("n"))
-    by_token = sizes.groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
-    by_token = by_token.where("most.n < all").select("token", F.col("most.component").alias("major"), ((F.col("all") - F.col("most.n")) / BLOCK).alias("blocks"))
-    met = _on(first, by_token, "token")
-    blocks = F.ceil("blocks").cast("int")
+    shared = F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared")
+    shared = _on(tokens, common, "token").groupBy("node", "component", "size").agg(shared)
+    prefix = F.size("shared") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    listed = F.transform(F.slice("shared", F.lit(1), prefix.cast("int")), lambda x: x["token"])
+    first = cut(shared.where(prefix > 0).select("node", "component", F.explode(listed).alias("token")))
+    by_token = first.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
+    by_token = by_token.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).where("most.n < all")
+    met = cut(_on(first, by_token.select("token", F.col("most.component").alias("major"), (F.col("all") - F.col("most.n")).alias("others"), "all"), "token"))
+    few = met.where(F.col("all") <= PAIR_LIMIT).select("token", "node", "component")
+    a, b = (few.select("token", F.col("node").alias(n), F.col("component").alias(f"{n}_part")) for n in ("src", "dst"))
+    pairs = _on(a, b, "token").where("src < dst and src_part <> dst_part").select("src", "dst").distinct()
+    links = _verified(pairs, shingles, similarity)
+    met = met.where(F.col("all") > PAIR_LIMIT)
+    blocks = F.ceil(F.col("others") / BLOCK).cast("int")
     own = F.when(F.col("component") != F.col("major"), F.pmod(F.xxhash64("node"), blocks).cast("int"))
     met = met.select("token", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     # a block's own nodes are one side; nodes of the largest component, and of later blocks, are the other
     met = met.where(F.col("own").isNull() | (F.col("own") >= F.col("block")))
     met = met.withColumn("side", F.when(F.col("own") == F.col("block"), 0).otherwise(1))
-    return _compared(_on(met.select("token", "block", "side", "node", "component"), shingles, "node"), similarity)
+    crowds = _compared(_on(met.select("token", "block", "side", "node", "component"), shingles, "node"), similarity)
+    found = cut(links.unionByName(crowds))
+    discard(nodes)
+    return found
 
 
 def linked(units: DataFrame, docs: DataFrame, whole: bool = False, similarity: float = SIMILARITY, more: DataFrame | None = None) -> DataFrame:
@@ -202,12 +234,13 @@ def linked(units: DataFrame, docs: DataFrame, whole: bool = False, similarity: f
     pairs = members.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
     if more is not None:
         pairs = pairs.unionByName(more)
-    pairs = cut(pairs.distinct())
-    nodes = cut(members.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct())
+    pairs = written(pairs.distinct())
+    nodes = written(members.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct())
     shingles = _shingles(docs, whole, nodes)
     first = cut(_verified(pairs, shingles, similarity))
     second = _rest(members, shingles, connected_components(first), similarity)
-    return connected_components(cut(first.unionByName(second)))
+    discard(members, pairs, nodes, shingles)
+    return connected_components(first.unionByName(second))
 
 
 def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -223,17 +256,18 @@ def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    units = _units(docs, whole=False)
+    units = _units(docs)
     groups = linked(units, docs, similarity=similarity)
     counted = units.groupBy("node").agg(F.count("*").alias("n"), F.min("check").alias("check")).where("n > 1").select("node", "check")
     again = counted.join(groups, "node", "full").select("node", "check", F.coalesce("component", "node").alias("cluster"))
     again = written(again)
-    rows = _among(units.drop("bands").withColumnRenamed("check", "own"), again, "node")
+    rows = _on(_likely(units.drop("bands").withColumnRenamed("check", "own"), again), again, "node")
     # two texts that share 64 bits of a hash but not the next 32 are left alone
     rows = rows.where(F.col("check").isNull() | (F.col("check") == F.col("own")))
     rows = rows.groupBy("id", "content", "start", "end", "first", "n", "cluster").agg(F.count("*").alias("n_rows"))
     # units of one text that overlap are alike by that alone: one occurrence
     rows = written(_joined(rows, ["id", "content", "cluster"], 0))
+    discard(units, again)
     place = F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("start"))
     whole = rows.groupBy("cluster").agg(F.min(place).alias("keeper"), F.sum("n_rows").alias("size")).where("size > 1")
     rows = _on(rows, whole.select("cluster", "keeper"), "cluster")
@@ -256,22 +290,3 @@ def _joined(rows: DataFrame, by: list[str], gap: int) -> DataFrame:
         (F.max(F.col("first") + F.col("n")) - F.min("first")).alias("n"), F.max("n_rows").alias("n_rows"),
         *([] if "cluster" in by else [F.min_by("cluster", "first").alias("cluster")]),
     ).drop("part")
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, more=None) -> DataFrame:
-    """The rows of df that stay when one of each group of near copies is kept: the one with the least id.
-
-    Whole texts are linked where the exact Jaccard similarity of their 5-word shingles reaches similarity; groups are the
-    components. more(units) may return further candidate pairs (src, dst) of nodes.
-    Null and empty texts are one group. Ties in the id go to the least node and content hash, and of rows that repeat all
-    three one stays. Columns are those of df, whatever their names.
-    """
-    bound_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    units = _units(docs, whole=True)
-    groups = linked(units, docs, True, similarity, more(units) if more else None)
-    least = F.min(F.struct(F.isnull("id").alias("none"), F.col("id"), F.col("node"), F.col("content"))).alias("best")
-    nodes = units.groupBy("node").agg(least)
-    named = nodes.join(groups, "node", "left")
-    first = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("first"))
-    return keep_first(df, first, id_col, text)

@@ -16,37 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 from .runtime import texts
 
 WIDTH = 5
 UNIT = 26
 REACH = 25
-#: Bands of paragraphs, whole texts and windows, and hashes of a band. Pairs of similarity 0.8 collide with probability
-#: 1 - (1 - 0.8^2)^6 = 0.998; of two windows of 22 shingles the least similar ones over 0.8 have 20 of 24 in common: 0.991.
-#: Whole texts are fewer, and get more: 0.99996.
-PARAGRAPH_BANDS = 6
-WHOLE_BANDS = 10
-WINDOW_BANDS = 4
-ROWS = 2
-#: Words that are worked on at once; one text of any length is always whole.
-_WORDS = 400_000
-_MEMO = 300_000
+#: (bands, hashes of a band) of paragraphs, and of whole texts, which are fewer. Pairs of similarity 0.8 collide with
+#: probability 1 - (1 - 0.8^3)^8 = 0.997, and 0.99999. Windows have none: two of them, of 22 shingles each, that reach 0.8 share
+#: 24 consecutive words, so that they are equal but for a word or two at their ends, and equality finds what they cover.
+PARAGRAPH_BANDS = (8, 3)
+WHOLE_BANDS = (18, 3)
+#: Code points that are worked on at once; one text of any length is always whole.
+_CHUNK = 1_000_000
 _RECENT = 1 << 17
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SPACE = np.zeros(0x3001, dtype=bool)
+_SPACE = np.zeros(0x3002, dtype=bool)  # no white space beyond; the last entry stands for all that follows
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
 
-class _Memo(dict):
-    """Hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -68,17 +56,13 @@ def _sliding(values: np.ndarray, n: int, take: np.ufunc, fill: np.uint64) -> np.
     return out
 
 
-def split(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The lower-cased words of a text, their starts and ends in code points, and the line of each."""
+def _points(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a text, and where its words start and end."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     space = np.ones(len(points) + 2, dtype=bool)
-    space[1:-1] = _SPACE[np.minimum(points, 0x3000)] & (points <= 0x3000)
+    np.take(_SPACE, points, mode="clip", out=space[1:-1])
     edges = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    words = text.lower().split()
-    if len(words) != len(starts):
-        words = [text[s:e].lower() for s, e in zip(starts, ends, strict=True)]
-    return words, starts, ends, np.searchsorted(np.flatnonzero(points == 10), starts)
+    return points, edges[::2], edges[1::2]
 
 
 def paragraph_borders(lines: np.ndarray, least: int = UNIT) -> list[int]:
@@ -103,83 +87,92 @@ class Cutter:
             return random.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
         self.whole = whole
-        self.flat_bands = WHOLE_BANDS if whole else PARAGRAPH_BANDS
+        self.banding = WHOLE_BANDS if whole else PARAGRAPH_BANDS
         self.order = odd(WIDTH)
-        self.scale, self.shift = odd(WHOLE_BANDS * ROWS), odd(WHOLE_BANDS * ROWS)
-        self.base = (int(odd(1)[0]) | 5, int(odd(1)[0]) | 5)
-        self.memo = _Memo()
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self.scale, self.shift = odd(self.banding[0] * self.banding[1]), odd(self.banding[0] * self.banding[1])
+        self.base = [int(x) | 5 for x in odd(3)]  # of code points, and twice of words
+        self.powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.recent = np.zeros(_RECENT, dtype=np.int64)
 
-    def _powers(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not self.powers or len(self.powers[0][0]) < n:
-            self.powers = []
-            for b in self.base:
-                up = np.full(n, b, dtype=np.uint64)
-                down = np.full(n, pow(b, -1, 1 << 64), dtype=np.uint64)
-                up[0] = down[0] = 1
-                self.powers.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
-        return self.powers
+    def _powers(self, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of a base and of its inverse."""
+        if i not in self.powers or len(self.powers[i][0]) < n:
+            up = np.full(n, self.base[i], dtype=np.uint64)
+            down = np.full(n, pow(self.base[i], -1, 1 << 64), dtype=np.uint64)
+            up[0] = down[0] = 1
+            self.powers[i] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        return self.powers[i]
+
+    def _polynomial(self, i: int, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A hash of the values in each [a, b), wherever it lies: a polynomial modulo 2^64, mixed with the length."""
+        up, down = self._powers(i, len(values) + 1)
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
+        return _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def _named(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and further 32 bits of a hash of the words in each [a, b)."""
-        out = []
-        for i, (up, down) in enumerate(self._powers(len(words) + 1)):
-            sums = np.zeros(len(words) + 1, dtype=np.uint64)
-            np.cumsum((_mix(words) if i else words) * up[: len(words)], out=sums[1:])
-            out.append(_mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-    def _bands(self, least: np.ndarray, bands: int) -> np.ndarray:
-        """Band keys of (units, bands * ROWS) least hashes."""
+        check = self._polynomial(2, _mix(words), a, b) >> np.uint64(32)
+        return self._polynomial(1, words, a, b).view(np.int64), check.astype(np.uint32).view(np.int32)
+
+    def _bands(self, least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """Band keys of (units, bands * rows) least hashes."""
         key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         key = np.broadcast_to(key, (len(least), bands)).copy()
-        for i in range(ROWS):
-            key = _mix(key ^ least[:, i::ROWS])
+        for i in range(rows):
+            key = _mix(key ^ least[:, i::rows])
         return key.view(np.int64)
 
-    def _chunks(self, column: pa.Array) -> Iterator[list[tuple]]:
-        """The split texts of a column, some _WORDS at once: (row, hashes of words, starts, ends, lines)."""
-        chunk, n = [], 0
+    def _chunks(self, column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+        """The texts of a column, some _CHUNK code points at once, with the row of the first."""
+        chunk, first, n = [], 0, 0
         for row, text in enumerate(texts(column)):
-            words, starts, ends, lines = split(text)
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            hashes = np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
-            chunk.append((row, hashes, starts, ends, lines))
-            n += len(words) + WIDTH
-            if n > _WORDS:
-                yield chunk
-                chunk, n = [], 0
+            if chunk and n + len(text) > _CHUNK:
+                yield first, chunk
+                chunk, first, n = [], row, 0
+            chunk.append(text)
+            n += len(text) + 1
         if chunk:
-            yield chunk
+            yield first, chunk
+
+    def split(self, chunk: list[str]) -> tuple[np.ndarray, ...]:
+        """(hash, text, start, end, line) of each lower-cased word of some texts; start and end are code points of its text."""
+        lowered = [x.lower() for x in chunk]
+        points, starts, ends = _points("\n".join(lowered))
+        hashes = self._polynomial(0, points.astype(np.uint64), starts, ends)
+        begins = np.cumsum([0, *(len(x) + 1 for x in lowered)])[:-1]
+        owner = np.searchsorted(begins, starts, "right") - 1
+        lines = np.searchsorted(np.flatnonzero(points == 10), starts)
+        starts, ends = starts - begins[owner], ends - begins[owner]
+        for i, (x, y) in enumerate(zip(chunk, lowered, strict=True)):
+            if len(x) != len(y):  # a letter whose lower case is two
+                mine = owner == i
+                starts[mine], ends[mine] = _points(x)[1:]
+        return hashes, owner, starts, ends, lines
 
     def units(self, column: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         """Units of the texts of a column: row, first and n (words), start, end (code points), node, check;
         'windows' says how many of the units, at the end, are windows; 'shingles' are the hashes that begin at each word."""
-        for chunk in self._chunks(column):
+        for row, chunk in self._chunks(column):
+            hashes, text, starts, ends, lines = self.split(chunk)
+            sizes = np.bincount(text, minlength=len(chunk))
+            where = np.concatenate([[0], np.cumsum(sizes)])
             # zeros after each text: a shingle that begins in it never reaches into the next one, nor does an empty text's
-            gap = np.zeros(WIDTH, dtype=np.uint64)
-            words = np.concatenate([x for c in chunk for x in (c[1], gap)] + [gap])
-            sizes = np.array([len(c[1]) for c in chunk])
-            begins = np.concatenate([[0], np.cumsum(sizes + WIDTH)])[:-1]
+            begins = where[:-1] + WIDTH * np.arange(len(chunk))
+            words = np.zeros(len(hashes) + WIDTH * (len(chunk) + 1), dtype=np.uint64)
+            words[np.arange(len(hashes)) + WIDTH * text] = hashes
             n = len(words) - WIDTH + 1
             shingles = np.zeros(n, dtype=np.uint64)
             for i in range(WIDTH):
                 shingles += words[i : i + n] * self.order[i]
             shingles = _mix(shingles)
-            a, b, owner = [], [], []
-            for i, (c, begin) in enumerate(zip(chunk, begins.tolist(), strict=True)):
-                if self.whole:
-                    a.append(begin)
-                    b.append(begin + len(c[1]))
-                    owner.append(i)
-                elif len(c[1]):
-                    borders = paragraph_borders(c[4])
-                    a += [begin + x for x in borders[:-1]]
-                    b += [begin + x for x in borders[1:]]
-                    owner += [i] * (len(borders) - 1)
-            a, b, owner = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(owner, dtype=np.int64)
+            if self.whole:
+                a, b, owner = begins, begins + sizes, np.arange(len(chunk))
+            else:
+                borders = [paragraph_borders(lines[where[i] : where[i + 1]]) if sizes[i] else [0] for i in range(len(chunk))]
+                owner = np.repeat(np.arange(len(chunk)), [len(x) - 1 for x in borders])
+                a = np.array([y for x in borders for y in x[:-1]], dtype=np.int64) + begins[owner]
+                b = np.array([y for x in borders for y in x[1:]], dtype=np.int64) + begins[owner]
             windows = 0
             if not self.whole:
                 anchors = self._anchors(shingles, begins, sizes)
@@ -188,16 +181,13 @@ class Cutter:
                 a, b = np.concatenate([a, anchors]), np.concatenate([b, anchors + UNIT])
                 owner = np.concatenate([owner, np.searchsorted(begins, anchors, "right") - 1])
             node, check = self._named(words[:n], a, b)
-            first, last = a - begins[owner], b - begins[owner] - 1
-            where = np.concatenate([[0], np.cumsum(sizes)])
-            starts = np.concatenate([c[2] for c in chunk] + [np.zeros(1, dtype=np.int64)])
-            ends = np.concatenate([c[3] for c in chunk] + [np.zeros(1, dtype=np.int64)])
-            empty = b == a
-            at, to = where[owner] + first, where[owner] + np.maximum(last, first)
+            first = a - begins[owner]
+            at = np.minimum(where[owner] + first, max(len(starts) - 1, 0))
+            to = np.minimum(at + np.maximum(b - a - 1, 0), max(len(starts) - 1, 0))
+            some = len(starts) > 0
             yield {
-                "row": np.array([c[0] for c in chunk])[owner],
-                "first": first, "n": b - a, "a": a, "node": node, "check": check,
-                "start": np.where(empty, 0, starts[at]), "end": np.where(empty, 0, ends[to]),
+                "row": row + owner, "first": first, "n": b - a, "a": a, "node": node, "check": check,
+                "start": np.where(b == a, 0, starts[at] if some else 0), "end": np.where(b == a, 0, ends[to] if some else 0),
                 "windows": windows, "shingles": shingles,
             }
 
@@ -218,27 +208,31 @@ class Cutter:
         return np.flatnonzero((met == value) & (value != _MOST))
 
     def bands(self, found: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, values) of the band keys of the units; those not wanted have none."""
-        shingles, a, n, windows = found["shingles"], found["a"], found["n"], found["windows"]
-        flat = len(a) - windows
-        pick = np.flatnonzero(wanted[:flat])
-        least = np.empty((len(pick), self.flat_bands * ROWS), dtype=np.uint64)
+        """(offsets, values) of the band keys of the units; windows, and those not wanted, have none."""
+        shingles, a, n = found["shingles"], found["a"], found["n"]
+        wanted = wanted & (np.arange(len(a)) < len(a) - found["windows"])
+        pick = np.flatnonzero(wanted)
+        bands, rows = self.banding
+        least = np.empty((len(pick), bands * rows), dtype=np.uint64)
         if len(pick):
-            ends = a[pick] + np.maximum(n[pick] - WIDTH + 1, 1)
-            cuts = np.stack([a[pick], ends], axis=1).ravel()
-            for k in range(self.flat_bands * ROWS):
+            cuts = np.stack([a[pick], a[pick] + np.maximum(n[pick] - WIDTH + 1, 1)], axis=1).ravel()
+            for k in range(bands * rows):
                 g = np.append(shingles * self.scale[k] + self.shift[k], _MOST)
                 least[:, k] = np.minimum.reduceat(g, cuts)[::2]
-        first = self._bands(least, self.flat_bands)
-        pick = flat + np.flatnonzero(wanted[flat:])
-        least = np.empty((len(pick), WINDOW_BANDS * ROWS), dtype=np.uint64)
-        if len(pick):
-            taken = shingles[a[pick][:, None] + np.arange(UNIT - WIDTH + 1)]
-            for k in range(WINDOW_BANDS * ROWS):
-                least[:, k] = (taken * self.scale[k] + self.shift[k]).min(axis=1)
-        second = self._bands(least, WINDOW_BANDS)
-        lengths = np.concatenate([wanted[:flat] * self.flat_bands, wanted[flat:] * WINDOW_BANDS])
-        return np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([first.ravel(), second.ravel()])
+        return np.concatenate([[0], np.cumsum(wanted * bands)]), self._bands(least, bands, rows).ravel()
+
+    def fingerprints(self, found: dict[str, np.ndarray]) -> np.ndarray:
+        """The 64-bit SimHash of each unit: a bit is set where over half of its shingle hashes have it. No words: zero."""
+        out = np.zeros(len(found["a"]), dtype=np.uint64)
+        for i, (a, n) in enumerate(zip(found["a"].tolist(), found["n"].tolist(), strict=True)):
+            if n:
+                m = max(n - WIDTH + 1, 1)
+                counts = np.zeros(64, dtype=np.int64)
+                for at in range(a, a + m, 8192):
+                    part = found["shingles"][at : min(at + 8192, a + m)]
+                    counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out[i] = np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0]
+        return out.view(np.int64)
 
     def news(self, node: np.ndarray) -> np.ndarray:
         """Which nodes this task hasn't just met: the first of each in the batch, if it isn't among the recent ones.

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,24 @@ def written(df: DataFrame) -> DataFrame:
     """Like cut, but as a table of columns: smaller, and only the columns that are used are read again."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _WRITTEN[table] = folder
+    return table
+
+
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that written() made, once nothing that is still to run reads them."""
+    for table in tables:
+        remove(table.sparkSession, _WRITTEN.pop(table))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder through the file system that Spark uses for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def add_columns(

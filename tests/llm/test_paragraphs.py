@@ -123,7 +123,7 @@ def test_near_paragraphs_match_all_pairs(spark):
         members[top(a)].add(a)
     want = {frozenset(m) for m in members.values() if len(m) > 1}
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    units = paragraphs._units(docs, whole=True)
+    units = paragraphs.whole_texts(docs)
     by_node = units.select("id", "node").join(paragraphs.linked(units, docs, True), "node", "left").collect()
     found = defaultdict(set)
     for x in by_node:
@@ -144,10 +144,14 @@ def test_edge_rows(spark):
 
 
 def test_units_of_a_text():
-    text = "A b\nc D e\n\n" + " ".join(f"w{i}" for i in range(100))
-    words, starts, ends, lines = passages.split(text)
-    assert words == text.lower().split() and [text[s:e].lower() for s, e in zip(starts, ends, strict=True)] == words
-    assert lines[:6].tolist() == [0, 0, 1, 1, 1, 3]
+    text = "A b\nc D e\n\n" + " ".join(f"w{i}" for i in range(100))
+    odd = "\u0130X \u1e9e\u3000y\x85z \U0001f600 \u2028 q"
+    hashes, owner, starts, ends, lines = passages.Cutter().split([text, odd, "", text])
+    for i, x in enumerate([text, odd, "", text]):
+        mine = owner == i
+        assert [x[s:e] for s, e in zip(starts[mine], ends[mine], strict=True)] == x.split()
+    assert (hashes[owner == 0] == hashes[owner == 3]).all() and len(set(hashes.tolist())) == 105 + 6
+    assert np.diff(lines[:6]).tolist() == [0, 1, 0, 0, 2]
     (found,) = passages.Cutter().units(pa.array([text, "", None, "one"]))
     flat = len(found["n"]) - found["windows"]
     assert found["n"][:flat].sum() == 106 and set(found["row"].tolist()) == {0, 3}
@@ -157,3 +161,5 @@ def test_units_of_a_text():
     (again,) = passages.Cutter().units(pa.array(["x y z " + text]))
     assert set(found["node"][flat:].tolist()) & set(again["node"].tolist())
     assert len(set(found["node"].tolist())) == len(found["node"])
+    (none,) = passages.Cutter(whole=True).units(pa.array(["", None, " "]))
+    assert none["n"].tolist() == [0, 0, 0] and len(set(none["node"].tolist())) == 1
