@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from blockframe.llm import paragraphs
+from blockframe.llm import simhash
 
 
 def brute(rows):
@@ -53,7 +53,7 @@ def test_edited_copies_go_and_others_stay(spark):
             rows.append((len(rows), " ".join(copy).upper() if edits == 0 else " ".join(copy)))
     rows += [(10_000, ""), (10_001, None), (10_002, "two words"), (10_003, "Two  words"), (10_003, "Two  words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(x.doc_id for x in paragraphs.drop_near_copies(df).collect())
+    kept = sorted(x.doc_id for x in simhash.drop_near_copies(df).collect())
     assert kept == brute(rows)
     assert len(kept) < 100
-    assert paragraphs.drop_near_copies(df.limit(0)).collect() == []
+    assert simhash.drop_near_copies(df.limit(0)).collect() == []
