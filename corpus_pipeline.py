@@ -6,45 +6,66 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm import bpe, langid, mixing, paragraphs, pii
+from blockframe.llm import bpe, langid, mixing, pii, simhash
 from blockframe.llm.queries import VOCABULARY
+from blockframe.llm.runtime import shared_folder
 
 #: Calibrated probability below which a language isn't taken as identified.
 LEAST_SCORE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; those without letters or without a likely language go."""
-    model = langid.train(docs)
-    found = langid.predict(docs.withColumn("text_", F.col("text")), model, "text_", "pred_", "score_")
-    return found.where((F.col("pred_") != langid.UNDETERMINED) & (F.col("score_") >= LEAST_SCORE)).select(*docs.columns)
+    """Rows whose text has a language; those without letters or without a likely language go.
+
+    Null and empty texts have none. Repeated rows are judged alike; texts of any length are judged whole. Columns are those
+    of docs, whatever their names. If no row has a language to learn from, none can be told, and no row stays.
+    """
+    pred, score = _free(docs, "lang_pred"), _free(docs, "score")
+    found = langid.predict(docs, langid.train(docs), "text", pred, score)
+    return found.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8: the one with the least id."""
-    return paragraphs.drop_near_copies(docs)
+    """One row of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8: the one with the least id.
+
+    Null and empty texts are one group; ties and repeated rows leave one row. Columns are those of docs.
+    """
+    return simhash.drop_near_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data in their texts replaced by its kind; n_chars follows the text."""
+    """All rows, with personal data in their texts replaced by its kind; n_chars follows the text.
+
+    A null text stays null, with a null n_chars. Repeated rows are redacted alike, texts of any length whole.
+    """
     clean = pii.redact(docs, pii.learn_patterns(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out so that sources weigh as the root of their size, in a global shuffle."""
-    return mixing.replicate(docs).select(*docs.columns)
+    """Rows repeated or left out so that sources weigh as the root of their size, in a global shuffle.
+
+    A null source is a source of its own; rows that share an id are drawn alike. Columns are those of docs.
+    """
+    return mixing.replicate(docs, copy=_free(docs, "copy")).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its token ids, their number, and whether they decode to its text."""
+    """Each row with its token ids, their number, and whether they decode to its text. A null text has no ids."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
@@ -65,9 +86,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that all stages leave of documents. Stages are written below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stages-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
