@@ -21,14 +21,19 @@ from pyspark.sql import functions as F
 
 from . import hnsw
 from .runtime import bound_batches, cut
-from .vectors import usable
+from .vectors import matrix, usable, vector_type
 
 K = 20
-#: Rows of the sample that centroids are fitted to, and the most centroids.
-SAMPLE_ROWS = 20_000
-MOST_LISTS = 2048
-#: Vectors per list aimed at, and in a block.
+#: Vectors per list aimed at. Up to LISTS lists they are as many as that takes; beyond, lists and their lengths both grow
+#: with the root of the rows, and so does what a query reads. MOST_LISTS bounds what is sent to the tasks (some 50 MB at 64
+#: components); it is reached at 10^9 rows, where a query reads lists of 16,000.
 LIST_ROWS = 512
+LISTS = 2048
+MOST_LISTS = 65_536
+#: Rows of the sample that centroids are fitted to: so many, or so many for each list.
+SAMPLE_ROWS = 20_000
+LIST_SAMPLE = 10
+#: Vectors in a block.
 BLOCK_ROWS = 1024
 QUERY_BLOCK = 512
 #: A vector is posted to at most so many lists, each at most so much farther than its nearest.
@@ -83,12 +88,17 @@ def _split(x: np.ndarray, rows: np.ndarray, size: int, random) -> list[np.ndarra
     return [*_split(x, rows[order[:half]], size, random), *_split(x, rows[order[half:]], size, random)]
 
 
+def lists_for(total: int) -> int:
+    """How many lists so many rows get."""
+    return max(1, min(MOST_LISTS, -(-total // LIST_ROWS), max(LISTS, int(2 * total**0.5))))
+
+
 def fit(sample: np.ndarray, total: int, top: float) -> Lists:
     """Lists for so many rows, from a sample of them."""
     random = np.random.default_rng(17)
     plain = Lists(None, None, None, top)
     x = plain.extend(sample, query=False)
-    count = max(1, min(MOST_LISTS, -(-total // LIST_ROWS), len(x)))
+    count = min(lists_for(total), len(x))
     parts = _split(x, np.arange(len(x)), max(1, -(-len(x) // count)), random)
     centroids = np.array([x[p].mean(axis=0) for p in parts])
     squares = (centroids**2).sum(axis=1)
@@ -148,7 +158,7 @@ def _dealt(rows: DataFrame, by: str, lists, choose) -> DataFrame:
                     names=["list", by, "vector"],
                 )
 
-    return rows.mapInArrow(run, f"list int, {by} long, vector array<float>")
+    return rows.mapInArrow(run, f"list int, {by} long, vector {rows.schema['vector'].dataType.simpleString()}")
 
 
 def _blocks(rows: DataFrame, by: str, size: int, prefix: str) -> DataFrame:
@@ -160,7 +170,7 @@ def _blocks(rows: DataFrame, by: str, size: int, prefix: str) -> DataFrame:
     )
 
     def gather(table: pa.Table) -> pa.Table:
-        vectors = _matrix(table.column("vector").combine_chunks()).astype(np.float32)
+        vectors = _matrix(table.column("vector").combine_chunks())
         ids = table.column(by).combine_chunks().to_numpy().astype(np.int64)
         order = np.argsort(ids, kind="stable")
         return pa.table(
@@ -168,7 +178,7 @@ def _blocks(rows: DataFrame, by: str, size: int, prefix: str) -> DataFrame:
                 "list": table.column("list")[:1],
                 f"{prefix}part": table.column("part")[:1],
                 f"{prefix}ids": pa.array([ids[order].tobytes()], pa.binary()),
-                f"{prefix}vectors": pa.array([vectors[order].tobytes()], pa.binary()),
+                f"{prefix}vectors": pa.array([np.ascontiguousarray(vectors[order]).tobytes()], pa.binary()),
             }
         )
 
@@ -195,7 +205,7 @@ def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) * x.astype(np.float64)).sum(axis=1)
 
 
-def _scored(pairs: DataFrame, k: int) -> DataFrame:
+def _scored(pairs: DataFrame, k: int, dim: int) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of each pair of blocks, thinned out to a task's k nearest."""
 
     def thin(found):
@@ -214,8 +224,7 @@ def _scored(pairs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own, ids = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_ids", "ids"))
-                q = np.frombuffer(row["q_vectors"], dtype=np.float32).reshape(len(own), -1)
-                x = np.frombuffer(row["vectors"], dtype=np.float32).reshape(len(ids), -1)
+                q, x = matrix(row["q_vectors"], len(own), dim), matrix(row["vectors"], len(ids), dim)
                 a, b = _best(q.astype(np.float64) @ x.astype(np.float64).T, own, ids, k)
                 found.append((own[a], ids[b], dots(q[a], x[b])))
                 size += len(a)
@@ -262,7 +271,7 @@ def _truth(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.
     found = top.select("q", "id").join(rows, "id").select("q", "vector").coalesce(8).toArrow().combine_chunks()
     if not found.num_rows:
         return np.empty(0, np.int64), np.empty((0, q.shape[1]), np.float32)
-    return found["q"].to_numpy().astype(np.int64), _matrix(found["vector"].combine_chunks()).astype(np.float32)
+    return found["q"].to_numpy().astype(np.int64), _matrix(found["vector"].combine_chunks())
 
 
 def measure_ratio(lists: Lists, q: np.ndarray, asked: np.ndarray, x: np.ndarray, target: float = TARGET) -> float:
@@ -282,41 +291,44 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str =
     """(query_id, rank, id_col, score): the k nearest rows found of each row for which the column queries is true.
 
     Every row is a candidate but the query's own; nearness is the largest inner product, ties go to the smaller id.
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids, nor vectors
-    of another length than the queries' most common one. Of rows that share an id the one with the least vector takes part.
-    Fewer than k candidates give fewer rows, an empty table none. Other columns aren't read.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of
+    different lengths have no inner product: each length is searched for itself. Of rows that share an id and a length the
+    one with the least vector takes part. Fewer than k candidates give fewer rows, an empty table none. Other columns aren't
+    read.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     plain = df.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"), queries.alias("asked")
+        F.col(id_col).cast("long").alias("id"), F.col(vector).cast(vector_type(df, vector)).alias("vector"), queries.alias("asked")
     )
-    rows = plain.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    rows = cut(rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")))
-    dim = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    if dim is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    rows = rows.where(F.size("vector") == dim["d"])
+    rows = plain.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    rows = cut(rows.groupBy("id", "dim").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked")))
+    found = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    for (dim,) in rows.where("asked").select("dim").distinct().orderBy("dim").collect():  # lengths are few
+        found = found.unionByName(_search(rows.where(F.col("dim") == dim), dim, k).withColumnRenamed("vec_id", id_col))
+    return found
+
+
+def _search(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of rows(id, vector, asked) of one length."""
+    spark = rows.sparkSession
     squares = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     total, top = rows.agg(F.count("*"), F.max(squares)).first()
     order = F.xxhash64("id")
     # the threshold is found over hashes alone; the vectors below it come to the driver from few tasks
-    border = rows.select(order.alias("h")).orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    border = rows.select(order.alias("h")).orderBy("h").limit(max(SAMPLE_ROWS, LIST_SAMPLE * lists_for(total))).agg(F.max("h")).first()[0]
     drawn = rows.where(order <= border).select("vector").coalesce(16).toArrow()["vector"]
     sample = _matrix(drawn.combine_chunks()).astype(np.float32)
     sample = sample[np.lexsort(sample.T)]  # they come in any order
     lists = fit(sample, total, top)
     asked = rows.where("asked").select("id", "vector")
     audit = asked.orderBy(order).limit(AUDITED).toArrow()
-    ids, q = audit["id"].to_numpy(), np.array(audit["vector"].to_pylist(), dtype=np.float64).reshape(audit.num_rows, dim["d"])
-    bound_batches(spark)
+    ids, q = audit["id"].to_numpy(), np.array(audit["vector"].to_pylist(), dtype=np.float64).reshape(audit.num_rows, dim)
     ratio = measure_ratio(lists, q, *_truth(rows.select("id", "vector"), ids, q, k)) if len(ids) else 1.0
     sent = spark.sparkContext.broadcast(lists)  # at most MOST_LISTS centroids and their links
     posted = cut(_dealt(rows.select("id", "vector"), "id", sent, postings))
     probed = cut(_dealt(asked, "query", sent, lambda own, x: probes(own, x, ratio)))
     pairs = cut(_blocks(posted, "id", BLOCK_ROWS, "")).join(cut(_blocks(probed, "query", QUERY_BLOCK, "q_")), "list")
-    bound_batches(spark)
-    found = _scored(pairs, k).distinct()
+    found = _scored(pairs, k, dim).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("vec_id").alias(id_col), "score"
-    )
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

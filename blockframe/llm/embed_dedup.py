@@ -2,15 +2,17 @@
 
 Equal vectors are made one first. The distinct ones are dealt to shards of some `SHARD_ROWS` at most (`SHARDS` at least) by a hash of their id; each shard's
 graph is built in one task and written to the shared checkpoint folder. All vectors, in blocks, are then searched in
-every shard. A task holds one block and one shard: it searches with a narrow beam, widens it for queries whose whole
-beam is linked, and audits itself: of a sample of its queries all true links in the shard are computed, and while
-the search has missed one the beam of all queries is doubled, up to the whole shard. Found pairs are verified by their
+every shard. A task holds one block and one shard: it audits itself first: of a sample of its queries all true links in the shard are computed, and while the search
+misses one the beam is doubled, up to the whole shard. Then all are searched, and those whose whole beam is linked again
+with one twice as wide. Found pairs are verified by their
 cosine in double precision. Only counts and a spanning forest of a task's links leave it, so a group of n near copies
 costs n rows and not n^2. Components are unioned over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from . import hnsw
 from .components import connected_components
 from .runtime import bound_batches, cut
-from .vectors import cosines, distinct, pack, unit
+from .vectors import cosines, distinct, matrix, pack, unit, vector_type
 
 THRESHOLD = 0.9
 #: Graphs that every vector is searched in, at least.
@@ -34,6 +36,8 @@ BEAM = 32
 AUDITED = 48
 #: Single precision may put a pair on the wrong side of the threshold by less than this.
 _SLACK = 1e-4
+#: Pairs that a task holds at once.
+_PAIRS = 2_000_000
 
 
 def _blocks(nodes: DataFrame, key: str) -> DataFrame:
@@ -48,7 +52,7 @@ def _blocks(nodes: DataFrame, key: str) -> DataFrame:
                 "dim": table.column("dim")[:1],
                 "ids": pa.array([got["id"][order].astype(np.int64).tobytes()], pa.binary()),
                 "counts": pa.array([got["n"][order].astype(np.int64).tobytes()], pa.binary()),
-                "vectors": pa.array([got["vector"][order].astype(np.float32).tobytes()], pa.binary()),
+                "vectors": pa.array([np.ascontiguousarray(got["vector"][order]).tobytes()], pa.binary()),
             }
         )
 
@@ -60,7 +64,7 @@ def _blocks(nodes: DataFrame, key: str) -> DataFrame:
 def _read(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row[f"{prefix}ids"], dtype=np.int64)
     counts = np.frombuffer(row[f"{prefix}counts"], dtype=np.int64)
-    return ids, counts, np.frombuffer(row[f"{prefix}vectors"], dtype=np.float32).reshape(len(ids), -1)
+    return ids, counts, matrix(row[f"{prefix}vectors"], len(ids), row["dim"])
 
 
 def _graphs(shards: DataFrame) -> DataFrame:
@@ -91,38 +95,47 @@ def _graphs(shards: DataFrame) -> DataFrame:
     )
 
 
-def _dense(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all pairs as near as least; the widest beam."""
-    rows, cols = [], []
-    for i in range(0, len(q), 256):
-        r, c = np.nonzero(q[i : i + 256] @ x.T >= least)
-        rows.append(r + i)
-        cols.append(c)
-    return np.concatenate(rows or [np.empty(0, int)]), np.concatenate(cols or [np.empty(0, int)])
+def _dense(q: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of all pairs as near as least, of a few queries at once."""
+    step = max(1, _PAIRS // max(1, len(x)))
+    for i in range(0, len(q), step):
+        r, c = np.nonzero(q[i : i + step] @ x.T >= least)
+        yield r + i, c
+
 
+def range_search(graph: hnsw.Graph, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED, seed: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) of the pairs as near as least that the graph finds, in parts of bounded size.
 
-def range_search(graph: hnsw.Graph, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of the pairs as near as least that the graph finds, once the audit finds none missing."""
+    First the beam is widened until the audit of a sample of the queries finds no link missing; then all are searched with
+    it, and those whose whole beam is linked again with one twice as wide, until none's is. A beam as wide as the graph
+    is no search any more, and becomes products with all its vectors.
+    """
     n = len(graph.vectors)
     sample = np.sort(np.random.default_rng(seed).permutation(len(q))[:audited])
-    r, c = _dense(q[sample], graph.vectors, least)
-    truth = sample[r] * np.int64(n) + c
-    while True:
-        if 4 * beam >= n:
-            return _dense(q, graph.vectors, least)
-        at, near = graph.search(q, beam)
-        linked = (at >= 0) & (near >= least)
-        full = linked[:, -1]  # the whole beam is linked: there may be more
-        wide = np.flatnonzero(full)
-        rows, cols = np.nonzero(linked & ~full[:, None])
-        cols = at[rows, cols]
-        if len(wide):
-            # widened to the whole shard at once: products with all its vectors cost less than repeated wide searches
-            r, c = _dense(q[wide], graph.vectors, least)
-            rows, cols = np.concatenate([rows, wide[r]]), np.concatenate([cols, c])
-        if np.isin(truth, rows * np.int64(n) + cols).all():
-            return rows, cols
-        beam *= 2
+    for part in _dense(q[sample], graph.vectors, least):
+        truth = np.bincount(part[0], minlength=len(sample))
+        while beam < n and (truth > 0).any():
+            own = np.flatnonzero(truth)
+            _, near = graph.search(q[sample[own]], beam)
+            # a full beam is widened for its own query anyway
+            if (np.minimum(truth[own], beam) <= (near >= least).sum(axis=1)).all():
+                break
+            beam *= 2
+    left = np.arange(len(q))
+    while len(left) and beam < n:
+        full = []
+        step = max(1, _PAIRS // beam)
+        for i in range(0, len(left), step):
+            own = left[i : i + step]
+            at, near = graph.search(q[own], beam)
+            linked = (at >= 0) & (near >= least)
+            more = linked[:, -1]
+            full.append(own[more])
+            rows, cols = np.nonzero(linked & ~more[:, None])
+            yield own[rows], at[rows, cols]
+        left, beam = np.concatenate(full), 2 * beam
+    for rows, cols in _dense(q[left], graph.vectors, least):
+        yield left[rows], cols
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,17 +171,16 @@ def _search(pairs: DataFrame, threshold: float) -> DataFrame:
                     for data, width in zip(row["layers"], row["widths"], strict=True)
                 ]
                 graph = hnsw.Graph(unit(x), layers, row["entry"])
-                a, b = range_search(graph, unit(q), threshold - _SLACK)
-                good = np.empty(len(a), dtype=bool)
-                for i in range(0, len(a), 65536):
-                    s = slice(i, i + 65536)
-                    good[s] = cosines(q[a[s]], x[b[s]]) >= threshold
-                a, b = a[good], b[good]
-                other = own[a] != ids[b]
-                a, b = a[other], b[other]
-                links = np.bincount(a, weights=counts[b], minlength=len(own)).astype(np.int64)
+                links = np.zeros(len(own), dtype=np.int64)
+                src = dst = np.empty(0, np.int64)
+                for a, b in range_search(graph, unit(q), threshold - _SLACK):
+                    for i in range(0, len(a), 65536):
+                        u, v = a[i : i + 65536], b[i : i + 65536]
+                        good = (cosines(q[u], x[v]) >= threshold) & (own[u] != ids[v])
+                        np.add.at(links, u[good], counts[v[good]])
+                        # of the links so far a spanning forest is kept, no more rows than vectors
+                        src, dst = _forest(np.concatenate([src, own[u[good]]]), np.concatenate([dst, ids[v[good]]]))
                 some = np.flatnonzero(links)
-                src, dst = _forest(own[a], ids[b]) if len(a) else (np.empty(0, np.int64), np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([own[some], src]), pa.int64()),
@@ -221,7 +233,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
     )
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(vector_type(df, vector)).alias("vector"))
     good = F.when(F.col("id").isNotNull(), F.col("vector"))  # a null meets nothing
     full = rows.withColumn("v", good).join(named.withColumnRenamed("vector", "v"), "v", "left")
     component = F.coalesce("component_id", "id")

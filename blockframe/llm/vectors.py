@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def usable(vector: Column) -> Column:
@@ -14,13 +15,24 @@ def usable(vector: Column) -> Column:
     return (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0)
 
 
+def vector_type(df: DataFrame, vector: str) -> str:
+    """The array type that keeps a column's precision: floats stay floats, all else is double."""
+    kind = df.schema[vector].dataType
+    return "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+
+
+def matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """The vectors whose components data holds, single or double as its length says."""
+    return np.frombuffer(data, dtype=np.float32 if len(data) == 4 * rows * dim else np.float64).reshape(rows, dim)
+
+
 def distinct(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, vector, n): each distinct usable vector once, with its least id and how many rows have it.
 
     Rows with a null id, and vectors of another length than most have, take no part in a search of theirs: lengths are
     kept apart by the column dim.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(vector_type(df, vector)).alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "vector", "n", F.size("vector").alias("dim"))
 

@@ -110,3 +110,68 @@ def test_search_ties_and_copies(spark):
     x = np.repeat(clustered(3), 400, axis=0)  # three vectors, many copies each
     rows = ann.search(frame(spark, x), F.col("vec_id") % 20 == 0).collect()
     assert check_search(rows, x, list(range(len(x)))) == 1.0
+
+
+def test_lengths_are_searched_apart(spark):
+    random = np.random.default_rng(2)
+    x, y = random.normal(size=(300, 8)), random.normal(size=(41, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    assert check_search([r for r in got if r.query_id < 1000], x, list(range(300))) >= 0.9
+    assert check_search([r for r in got if r.query_id >= 1000], y, list(range(1000, 1041))) == 1.0
+    near = {r.vec_id: r for r in embed_dedup.near_duplicates(df.unionByName(df.where("vec_id in (3, 1003)").selectExpr("vec_id + 5000 as vec_id", "embedding"))).collect()}
+    assert near[3].n_links == near[5003].n_links == 1 and near[6003].n_links == near[1003].n_links >= 1 and near[6003].component_id == near[1003].component_id
+
+
+def test_double_columns_keep_their_precision(spark):
+    a, b = [1.0, 0.0], [0.9, (1 - 0.81) ** 0.5 * (1 + 4e-9)]  # a cosine below 0.9 by less than single precision tells
+    df = spark.createDataFrame([(1, a), (2, b)], "vec_id long, embedding array<double>")
+    assert {r.n_links for r in embed_dedup.near_duplicates(df).collect()} == {0}
+
+
+def test_lists_grow_with_the_rows():
+    sizes = [ann.lists_for(10**i) for i in range(1, 10)]
+    assert sizes == sorted(sizes) and sizes[3] == 20 and sizes[-1] < ann.MOST_LISTS
+    assert ann.lists_for(10**8) == 20_000
+
+
+def test_wide_beams_and_audits():
+    """All pairs within reach, in a shard that is a crowd, from a narrow beam on."""
+    random = np.random.default_rng(4)
+    x = random.normal(size=(900, 12))
+    x[:500] = x[0] + 0.05 * random.normal(size=(500, 12))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    graph = hnsw.build(x)
+    pairs = {(i, j) for a, b in embed_dedup.range_search(graph, x, 0.9, beam=8) for i, j in zip(a.tolist(), b.tolist())}
+    assert pairs == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
+
+
+def test_queries_against_all_pairs(spark, sf):
+    from blockframe.llm.queries import op2_embeddings, op10_ann
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float32)
+    ids = [r.vec_id for r in rows]
+    assert check_search(op10_ann(spark, sf).collect(), x, ids) >= 0.9
+    links, group = truth(x)
+    got = {r.vec_id: r for r in op2_embeddings(spark, sf).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in ids] == [(n, ids[g]) for n, g in zip(links, group)]
+
+
+def test_query_with_planted_links(spark, sf, tmp_path):
+    from blockframe.llm.queries import op2_embeddings
+
+    random = np.random.default_rng(6)
+    real = spark.read.parquet(f"{sf}/embeddings.parquet")
+    some = real.orderBy("vec_id").limit(60).collect()
+    more = [(10**6 + 10 * r.vec_id + j, [float(v) + random.normal() * s for v in r.embedding]) for r in some for j, s in ((1, 0.0), (2, 0.01), (3, 0.03))]
+    near = spark.createDataFrame(more, "vec_id long, embedding array<double>").selectExpr("vec_id", "cast(embedding as array<float>) embedding", "cast(0 as int) label")
+    whole = real.selectExpr("vec_id", "cast(embedding as array<float>) embedding", "cast(0 as int) label").unionByName(near)
+    whole.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = whole.orderBy("vec_id").collect()
+    ids = [r.vec_id for r in rows]
+    links, group = truth(np.array([r.embedding for r in rows], dtype=np.float32))
+    assert links.sum() > 100
+    got = {r.vec_id: r for r in op2_embeddings(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in ids] == [(n, ids[g]) for n, g in zip(links, group)]
