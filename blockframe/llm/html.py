@@ -3,8 +3,9 @@
 The standard library's parser streams a page's events. Each block element's text is a line; a line's ratio is its
 characters outside links over the number of tags it was made with. Ratios are smoothed over neighbouring lines with a
 Gaussian, and split by a threshold into content and the rest (two clusters, fitted to each page). Content lines vote
-for the elements that hold them; the winning element is the content region, and all its lines are returned, short
-ones too, but for those inside menus, headers, footers, sidebars, notices, adverts, forms and comments.
+for the elements that hold them; the winning element is the content region (an article element being no more than a prior),
+and all its lines are returned, short ones too, but for those inside menus, headers, footers, sidebars, notices, adverts,
+forms and comments. The work grows with a page's length only, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ _PLACES = frozenset("site main primary secondary left right top bottom global".s
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 _CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = frozenset("ul ol dl table body html article section div main aside nav footer form blockquote".split())
+_P_SCOPE = tuple("ul ol dl table body html article section div main aside nav footer form blockquote td th li".split())
+_LISTS = ("ul", "ol", "dl", "table", "select")
+_BLOCK = "a block"  # no tag's name
 _UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")  # a page cut off inside a tag
 
 
@@ -60,58 +63,73 @@ def marks(names: str) -> set[str]:
 
 
 class _Lines(HTMLParser):
-    """Turns a page's events into lines: (text, tags, link characters, path of element numbers, surrounding).
+    """Turns a page's events into lines: (text, tags, link characters, element), and elements into a list of parents.
 
+    Elements are numbered in page order, so a parent comes before its children. Where open elements of each tag lie in the
+    stack is kept by tag, so that no event looks through the stack, however deep a page nests.
     Elements that only their names mark are kept in `named`, for it takes the whole page to tell whether they surround.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, silent, surrounding
-        self.number = 0
-        self.tags_of = {0: ""}
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, element, silent, inside an article
+        self.places: dict[str, list[int]] = {}  # of open elements in the stack, by tag; blocks also under BLOCK
+        self.parent = [0]
+        self.around = [False]
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.marked_article = set()
+        self.tags = self.linked = 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.marked: set[int] = set()  # articles and the like
         self.named: dict[int, bool] = {}  # whether it is marked as what readers wrote
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(x[1] for x in self.stack)
-            self.lines.append((text, self.tags, self.linked, path, self.stack[-1][3]))
+            self.lines.append((text, self.tags, self.linked, self.stack[-1][1]))
             self.tags = 0
         self.parts.clear()
         self.linked = 0
 
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.places[_BLOCK].pop()
+
+    def _close_open(self, tags, stop) -> None:
+        place = self._last(tags)
+        if place > self._last(stop):
+            self._close(place)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            if tag in _CLOSES_P:
-                self._close_open({"p"}, stop=_SCOPE | {"td", "th", "li"})
-            if tag == "p":
-                self._close_open({"p"}, stop=_SCOPE | {"td", "th", "li"})
-            elif tag in _SAME:
-                self._close_open(_SAME[tag], stop=frozenset({"ul", "ol", "dl", "table", "select"}))
+            if tag == "p" or tag in _CLOSES_P:
+                self._close_open(("p",), _P_SCOPE)
+            if tag in _SAME:
+                self._close_open(_SAME[tag], _LISTS)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, _, silent, around = self.stack[-1]
-        self.number += 1
+        _, parent, silent, inside = self.stack[-1]
+        number = len(self.parent)
+        self.parent.append(parent)
         said = dict(attrs)
-        inside = any(t[0] in ("article", "main") for t in self.stack)
         names = marks(f"{said.get('class') or ''} {said.get('id') or ''}")
         if tag in ("article", "main"):
             names &= TALK if tag == "article" else set()
         elif inside:
             names -= {"header"}  # an article's own
         if names and tag not in ("html", "body"):
-            self.named[self.number] = bool(names & TALK)
-        around = (
-            around
+            self.named[number] = bool(names & TALK)
+        self.around.append(
+            self.around[parent]
             or tag in AROUND
             or tag == "header" and not inside
             or (said.get("role") or "").lower() in ROLES
@@ -119,35 +137,26 @@ class _Lines(HTMLParser):
             or (said.get("aria-hidden") or "").lower() == "true"
             or "display:none" in (said.get("style") or "").replace(" ", "").lower()
         )
-        silent = silent or tag in SILENT
         if tag in ("article", "main") or said.get("itemprop") == "articleBody" or said.get("role") == "main":
-            self.marked_article.add(self.number)
-        self.links += tag == "a"
-        self.stack.append((tag, self.number, silent, around))
+            self.marked.add(number)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.places.setdefault(_BLOCK, []).append(len(self.stack))
+        self.stack.append((tag, number, silent or tag in SILENT, inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS:
             self.handle_endtag(tag)
 
-    def _close_open(self, tags: set, stop: frozenset) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in stop:
-                return
-
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return  # an inline element isn't closed across a block
+        place = self._last((tag,))
+        # an inline element isn't closed across a block
+        if place and (tag in BLOCKS or place > self._last((_BLOCK,))):
+            self._close(place)
 
     def handle_data(self, data: str) -> None:
         tag, _, silent, _ = self.stack[-1]
@@ -185,18 +194,74 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
-def _surrounding(named: dict[int, bool], articles: set[int], lines: list) -> set[int]:
-    """The named elements that do surround: not those that hold most of the content characters, or the only article."""
-    votes: dict[int, int] = {}
-    for text, _, linked, path, _ in lines:
-        if not any(named.get(e) for e in path):
-            for element in path:
-                votes[element] = votes.get(element, 0) + len(text) - linked
-    around = {e for e, talk in named.items() if talk or 2 * votes.get(e, 0) <= votes.get(0, 0)}
-    held = {e: path[: path.index(e)] for _, _, _, path, _ in lines for e in articles.intersection(path) if e in votes}
-    if held and all(around.intersection(above) for above in held.values()):
-        around.difference_update(held[max(held, key=lambda e: (votes[e], -e))])
-    return around
+def _summed(values: list[int], parent: list[int]) -> list[int]:
+    """Each element's own value and those below it."""
+    out = list(values)
+    for e in range(len(out) - 1, 0, -1):
+        out[parent[e]] += out[e]
+    return out
+
+
+def _below(elements, parent: list[int]) -> list[bool]:
+    """Whether each element is one of these or lies below one."""
+    out = [False] * len(parent)
+    for e in range(1, len(parent)):
+        out[e] = out[parent[e]] or e in elements
+    return out
+
+
+def _surrounding(named: dict[int, bool], marked: set[int], parent: list[int], lines: list) -> list[bool]:
+    """Whether each element lies in a named one that does surround: none that holds most of the content characters, or the only article."""
+    talk = _below({e for e, t in named.items() if t}, parent)
+    own = [0] * len(parent)
+    for text, _, linked, e in lines:
+        own[e] += 0 if talk[e] else len(text) - linked
+    votes = _summed(own, parent)
+    around = {e for e, t in named.items() if t or 2 * votes[e] <= votes[0]}
+    inside = _below(around, parent)
+    articles = [e for e in marked if votes[e] > 0]
+    if articles and all(inside[parent[e]] for e in articles):
+        e = parent[max(articles, key=lambda e: (votes[e], -e))]
+        while e:
+            around.discard(e)
+            e = parent[e]
+        inside = _below(around, parent)
+    return inside
+
+
+def content_lines(ratio: np.ndarray) -> np.ndarray:
+    """Which lines are content, by their text-to-tag ratios: smoothed, then split into two clusters."""
+    even = smooth(np.log1p(ratio))
+    return even >= threshold(even)
+
+
+def _region(lines: list, content: np.ndarray, parent: list[int], marked: set[int]) -> int:
+    """The element that content lines elect: the innermost with four fifths of their characters.
+
+    An article (or the like) is a prior: one around the elected element is taken instead, or one elsewhere that holds half of
+    the content, or an eighth of all text (a short article). A smaller one, such as a teaser beside the text, isn't.
+    """
+    own, whole = [0] * len(parent), [0] * len(parent)
+    for (text, _, linked, e), good in zip(lines, content, strict=True):
+        own[e] += len(text) - linked if good else 0
+        whole[e] += len(text)
+    votes, whole = _summed(own, parent), _summed(whole, parent)
+    if not votes[0]:
+        votes = whole
+    region = max(e for e, n in enumerate(votes) if 5 * n >= 4 * votes[0])
+    above = region
+    while above and above not in marked:
+        above = parent[above]
+    if above:
+        return above
+    held = [e for e in marked if 2 * votes[e] >= votes[0] or 8 * whole[e] >= whole[0]]
+    if held:
+        most = max(whole[e] for e in held)
+        return max(e for e in held if 5 * whole[e] >= 4 * most)
+    inside = _below({region}, parent)
+    if region and len(lines) > 1 and sum(inside[e] for *_, e in lines) == 1:
+        return parent[region]  # a region that is one line only: other lines beside it belong to the same text
+    return region
 
 
 def main_text(html: str) -> str:
@@ -205,50 +270,23 @@ def main_text(html: str) -> str:
     parser.feed(_UNFINISHED.sub("", html))
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[4]]
+    lines = [x for x in parser.lines if not parser.around[x[3]]]
     if parser.named:
-        around = _surrounding(parser.named, parser.marked_article, lines)
-        lines = [x for x in lines if around.isdisjoint(x[3])]
+        around = _surrounding(parser.named, parser.marked, parser.parent, lines)
+        lines = [x for x in lines if not around[x[3]]]
     if not lines:
         return ""
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
-    even = smooth(np.log1p(ratio))
-    content = even >= threshold(even)
-    # votes: content characters below each element
-    votes: dict[int, int] = {}
-    for (text, _, linked, path, _), good in zip(lines, content, strict=True):
-        if good:
-            for element in path:
-                votes[element] = votes.get(element, 0) + len(text) - linked
-    total = max(1, votes.get(0, 0))
-    marked = {e: n for e, n in votes.items() if e in parser.marked_article}
-    if not marked:  # a short article may have no line above the threshold
-        for text, _, _, path, _ in lines:
-            for element in path:
-                if element in parser.marked_article:
-                    marked[element] = marked.get(element, 0) + len(text)
-    if marked:  # the innermost of those that hold nearly as much as any
-        most = max(marked.values())
-        region = max(e for e, n in marked.items() if n >= 0.8 * most)
-    else:  # the deepest element with most of the content; a page without any is its own region
-        depth = {e: i for _, _, _, path, _ in lines for i, e in enumerate(path) if votes.get(e, 0) >= 0.8 * total}
-        region = _whole(max(depth, key=lambda e: (depth[e], e), default=0), lines)
-    return "\n".join(text for text, _, _, path, _ in lines if region in path)
-
-
-def _whole(region: int, lines: list) -> int:
-    """The parent of a region that is one line only: other lines beside it belong to the same text."""
-    own = [path for _, _, _, path, _ in lines if region in path]
-    if len(own) == 1 and len(lines) > 1 and region:
-        path = own[0]
-        return path[path.index(region) - 1]
-    return region
+    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines])
+    region = _region(lines, content_lines(ratio), parser.parent, parser.marked)
+    inside = _below({region}, parser.parent)
+    return "\n".join(text for text, *_, e in lines if not region or inside[e])
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """df with the main text of each whole page in a column; empty for a null or empty page.
 
-    White space inside a block becomes one space, blocks are joined in page order by a line feed. Other columns pass
+    White space inside a block becomes one space, blocks are joined in page order by a line feed. Rows are read one by one,
+    so repeated ones give the same; of regions with equal votes the inner, then the later one wins. Other columns pass
     through; one named as the output is replaced. Malformed markup is read as far as the parser gets.
     """
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -76,3 +77,34 @@ def test_edge_rows(spark):
     assert out.columns == ["page_id", "html", "text"]
     assert sorted(r.text for r in out.collect()) == ["", "", "Hello there"]
     assert html.extract(df.limit(0)).collect() == []
+
+
+PRICES = "<table>" + "".join(f"<tr><td><b>item</b><i>no</i><u>{i}</u></td><td><b>{i}</b><i>.</i><u>99</u> <s>EUR</s></td></tr>" for i in range(200)) + "</table>"
+
+
+def test_the_clusters_decide(monkeypatch):
+    """A table has more characters than the text beside it, but a low ratio: without the clusters all would be returned."""
+    inner = page(f"<div>{PRICES}</div><div><p>{BODY}</p><p>{BODY * 2}</p><p>{BODY}</p></div>")
+    want = [BODY.strip(), (BODY * 2).strip(), BODY.strip()]
+    assert html.main_text(inner).split("\n") == want
+    monkeypatch.setattr(html, "content_lines", lambda ratio: ratio >= 0)
+    assert html.main_text(inner).split("\n") != want
+
+
+def test_a_teaser_is_not_the_article():
+    teaser = "<article><h3>Other</h3><p>Read on.</p></article>"
+    text = html.main_text(page(f"<div><h1>Head</h1><p>{BODY * 3}</p><p>{BODY}</p><p>{BODY}</p></div>{teaser}"))
+    assert text.split("\n") == ["Head", (BODY * 3).strip(), BODY.strip(), BODY.strip()]
+
+
+def test_names_do_not_elect_the_region(monkeypatch):
+    monkeypatch.setattr(html, "MARKS", frozenset())
+    inner = page(f"<div class=menu>{'<a href=x>link</a> ' * 50}</div><div class=text><p>{BODY * 3}</p><p>{BODY * 2}</p></div><div>{PRICES}</div>")
+    assert html.main_text(inner).split("\n") == [(BODY * 3).strip(), (BODY * 2).strip()]
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<span>", "<p><b>", "<span>x<h1>", "<li>", "<table><tr><td>", "<div>x</section>", "<i></b><h1></h1>"])
+def test_deep_and_unclosed_pages_take_time_in_proportion(opened):
+    start = time.process_time()
+    html.main_text(page(opened * (1_000_000 // len(opened)) + BODY))
+    assert time.process_time() - start < 30
