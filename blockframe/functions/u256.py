@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE_DIGITS = 26
 TYPE = "struct<hi:decimal(26,0),mid:decimal(26,0),lo:decimal(26,0)>"
 _LIMB, _WIDE = "decimal(26,0)", "decimal(38,0)"
 _BASE = 10**BASE_DIGITS
+#: Where amounts are cut off: 78 decimal digits.
+LIMIT = 10**78 - 1
 
 
 def _number(value: int, kind: str = _WIDE) -> Column:
@@ -57,11 +60,16 @@ def _carry(hi: Column, mid: Column, lo: Column) -> Column:
 
 
 def normalise(hi: Column, mid: Column, lo: Column) -> Column:
-    """Limbs of any size and sign, carried so that all have the sign of the whole and at most 26 digits."""
+    """Limbs of any size and sign, carried so that all have the sign of the whole and at most 26 digits.
+
+    What needs more than 78 digits is cut off at `LIMIT`.
+    """
+    base = _number(_BASE)
 
     def signed(x: Column) -> Column:
-        flipped = _let(_carry(-x["hi"], -x["mid"], -x["lo"]), lambda y: _pack(-y["hi"], -y["mid"], -y["lo"]))
-        return F.when(x["hi"] < 0, flipped).otherwise(_pack(x["hi"], x["mid"], x["lo"]))
+        opposite = _carry(-x["hi"], -x["mid"], -x["lo"])
+        flipped = _let(opposite, lambda y: F.when(y["hi"] >= base, literal(-LIMIT)).otherwise(_pack(-y["hi"], -y["mid"], -y["lo"])))
+        return F.when(x["hi"] >= base, literal(LIMIT)).when(x["hi"] < 0, flipped).otherwise(_pack(x["hi"], x["mid"], x["lo"]))
 
     return _let(_carry(hi, mid, lo), signed)
 
@@ -100,7 +108,7 @@ def to_decimal(value: Column) -> Column:
 
 
 def total(value: Column) -> Column:
-    """SUM of a column, exact; null over no values."""
+    """SUM of a column, exact up to `LIMIT`, where it is cut off; null over no values."""
     return F.when(F.count(value) > 0, normalise(*(F.sum(value[f]) for f in ("hi", "mid", "lo"))))
 
 
@@ -112,10 +120,46 @@ def negate(a: Column) -> Column:
     return _pack(*(-a[f] for f in ("hi", "mid", "lo")))
 
 
-#: Where the stored amounts are cut off: 78 decimal digits.
-LIMIT = 10**78 - 1
-
-
 def saturate(value: Column) -> Column:
-    """At most LIMIT in size. Limbs can't hold more than that, so what overflowed to null in the highest is the limit."""
+    """At most LIMIT in size."""
     return F.least(F.greatest(value, literal(-LIMIT)), literal(LIMIT))
+
+
+# --- amounts of either type ----------------------------------------------------------------------------------------
+# Aggregates take decimal(38,0) columns, whose sums must stay within 38 digits, or the structs of this module.
+
+NARROW = "decimal(38,0)"
+
+
+def is_wide(df: DataFrame, name: str) -> bool:
+    """Whether a column holds the structs of this module rather than decimals."""
+    return isinstance(df.schema[name].dataType, T.StructType)
+
+
+def zero(wide: bool) -> Column:
+    return literal(0) if wide else F.lit(0).cast(NARROW)
+
+
+def sum_of(value: Column, wide: bool, less: Column | None = None) -> Column:
+    """The sum of value, less that of another column; null over no values. Wide sums are cut off at `LIMIT`."""
+    if not wide:
+        return F.sum((value if less is None else F.coalesce(value, zero(False)) - F.coalesce(less, zero(False))).cast(NARROW)).cast(NARROW)
+    if less is None:
+        return total(value)
+    none = F.lit(0).cast(_LIMB)
+    limbs = (F.sum(F.coalesce(value[f], none)) - F.sum(F.coalesce(less[f], none)) for f in ("hi", "mid", "lo"))
+    return F.when(F.count("*") > 0, normalise(*limbs))
+
+
+def plus(a: Column, b: Column, wide: bool) -> Column:
+    return add(a, b) if wide else (a + b).cast(NARROW)
+
+
+def minus(a: Column, wide: bool) -> Column:
+    return negate(a) if wide else (-a).cast(NARROW)
+
+
+def as_double(value: Column) -> Column:
+    """The nearest double, or one beside it."""
+    hi, mid, lo = (value[f].cast("double") for f in ("hi", "mid", "lo"))
+    return hi * float(_BASE) * float(_BASE) + mid * float(_BASE) + lo

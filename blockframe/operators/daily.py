@@ -14,18 +14,21 @@ TX_PARTS = ("tx_count", "price_sum", "success", "failed")
 
 def block_time_pairs(blocks: DataFrame) -> DataFrame:
     """(number, timestamp, gap): seconds since the block with the number before, null if that isn't stored."""
-    return _with_gap(blocks.select("number", "timestamp"))
+    return _with_gap(blocks.select("number", "timestamp"), blocks)
 
 
-def _with_gap(blocks: DataFrame) -> DataFrame:
-    previous = blocks.select((F.col("number") + 1).alias("number"), F.col("timestamp").alias("before"))
+def _with_gap(blocks: DataFrame, before: DataFrame) -> DataFrame:
+    previous = before.select((F.col("number") + 1).alias("number"), F.col("timestamp").alias("before"))
     joined = blocks.join(previous, "number", "left")
     return joined.withColumn("gap", F.col("timestamp") - F.col("before")).drop("before")
 
 
-def daily_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks, gas, sizes (null ones not counted) and gaps of each day, with its first block."""
-    rows = _with_gap(blocks).withColumn("day", day_of(F.col("timestamp")))
+def daily_blocks(blocks: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Blocks, gas, sizes (null ones not counted) and gaps of each day, with its first block.
+
+    before has the blocks whose successors' gaps are wanted, if those aren't among blocks.
+    """
+    rows = _with_gap(blocks, blocks if before is None else before).withColumn("day", day_of(F.col("timestamp")))
     return rows.groupBy("day").agg(
         F.count("*").alias("blocks"),
         F.sum("gas_used").cast("long").alias("gas_used"),
@@ -69,41 +72,48 @@ def day_spans(blocks: DataFrame) -> DataFrame:
 
 def address_day_asof(stats: DataFrame, spans: DataFrame) -> DataFrame:
     """(address, day): the first span that ends above the address's first block. Spans are one row per day."""
-    addresses = stats.select("address", F.col("first_seen").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("day"))
-    marks = spans.select(F.lit(None).cast("string").alias("address"), (F.col("hi") - 1).alias("at"), F.lit(2).alias("kind"), "day")
-    return _asof(addresses, marks, spans, forward=True)
+    return _placed(stats.select("address", F.col("first_seen").alias("at")), spans, forward=True).select("address", "day")
 
 
 def address_day_asof_back(stats: DataFrame, spans: DataFrame) -> DataFrame:
     """(address, day): the span with the greatest start at or below the address's first block."""
-    addresses = stats.select("address", F.col("first_seen").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("date").alias("day"))
-    marks = spans.select(F.lit(None).cast("string").alias("address"), F.col("lo").alias("at"), F.lit(1).alias("kind"), "day")
-    return _asof(addresses, marks, spans, forward=False)
+    return _placed(stats.select("address", F.col("first_seen").alias("at")), spans, forward=False).select("address", "day")
 
 
-def _asof(addresses: DataFrame, marks: DataFrame, spans: DataFrame, forward: bool) -> DataFrame:
-    """Nearest mark after or before each address.
+#: Blocks of a bucket in which a row looks for its day; a bucket meets few days.
+DAY_BUCKET = 1_000
 
-    The marks, a row per day, become one sorted array; each address finds its place in it by binary search on the
-    number of marks (array_position of the first that fits), so addresses are neither sorted nor exchanged.
+
+def _placed(rows: DataFrame, spans: DataFrame, forward: bool) -> DataFrame:
+    """rows(at, ...) with the day of the nearest span after or before each block; null where there is none.
+
+    The days' borders cut all numbers into disjoint intervals, a row per day; these are listed by the buckets they meet, and
+    rows find theirs by equality on the bucket. The list has a row per bucket and day, far fewer than rows, so that the
+    rows need no exchange where it is broadcast.
     """
-    pairs = F.sort_array(F.collect_list(F.struct("at", "day"))).alias("marks")
-    table = marks.agg(pairs)  # one row, as long as there are days
-    joined = addresses.select("address", "at").crossJoin(F.broadcast(table))
-    if forward:
-        fit = F.filter("marks", lambda m: m["at"] >= F.col("at"))
-        day = F.try_element_at(fit, F.lit(1))["day"]
-    else:
-        fit = F.filter("marks", lambda m: m["at"] <= F.col("at"))
-        day = F.try_element_at(fit, F.lit(-1))["day"]
-    return joined.select("address", day.alias("day"))
+    ordered = Window.orderBy("edge")  # a row per day
+    if forward:  # a day takes the blocks from the end of the one before to its own end
+        edges = spans.select((F.col("hi") - 1).alias("edge"), "day")
+        cuts = edges.select("day", (F.lag("edge").over(ordered) + 1).alias("lo"), F.col("edge").alias("hi"))
+    else:  # from its own start to the start of the next
+        edges = spans.select(F.col("lo").alias("edge"), "day")
+        cuts = edges.select("day", F.col("edge").alias("lo"), (F.lead("edge").over(ordered) - 1).alias("hi"))
+    # the first or last interval is open; blocks beyond the outermost border count as lying on it
+    cuts = cuts.select("day", F.coalesce("lo", "hi").alias("lo"), F.coalesce("hi", "lo").alias("hi")).where("lo <= hi")
+    border = edges.agg(F.min("edge").alias("least"), F.max("edge").alias("most"))
+    within = F.greatest("at", "least") if forward else F.least("at", "most")
+    keyed = rows.crossJoin(F.broadcast(border)).withColumn("within", F.when(F.col("at").isNotNull(), within)).drop("least", "most")
+    keyed = keyed.withColumn("b", F.floor(F.col("within") / DAY_BUCKET))
+    number = lambda c: F.floor(F.col(c) / DAY_BUCKET)
+    listed = cuts.select("day", "lo", "hi", F.explode(F.sequence(number("lo"), number("hi"))).alias("b"))
+    fits = (keyed["b"] == listed["b"]) & keyed["within"].between(listed["lo"], listed["hi"])
+    return keyed.join(listed, fits, "left").drop("b", "within", "lo", "hi")
 
 
 def daily_address_columns(stats: DataFrame, spans: DataFrame) -> DataFrame:
     """New and cumulative addresses and contracts of each day: addresses are first counted by first block, then placed."""
-    per_block = stats.groupBy("first_seen").agg(F.count("*").alias("n"), F.count_if("is_contract").alias("c"))
-    keyed = per_block.select(F.col("first_seen").cast("string").alias("address"), "first_seen", "n", "c")
-    placed = keyed.join(address_day_asof(keyed, spans), "address").groupBy("day").agg(F.sum("n").alias("new_addresses"), F.sum("c").alias("new_contracts"))
+    per_block = stats.groupBy(F.col("first_seen").alias("at")).agg(F.count("*").alias("n"), F.count_if("is_contract").alias("c"))
+    placed = _placed(per_block, spans, forward=True).groupBy("day").agg(F.sum("n").alias("new_addresses"), F.sum("c").alias("new_contracts"))
     days = spans.select("day").join(placed, "day", "left").select(
         "day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("new_addresses", "new_contracts"))
     )
@@ -230,7 +240,11 @@ def stale_days(blocks: DataFrame, acc: DataFrame, watermark: int) -> DataFrame:
 def recount_days(blocks: DataFrame, txs: DataFrame, transfers: DataFrame, days: DataFrame, watermark: int) -> DataFrame:
     """Additive columns of the listed days from rows at or below the watermark; the block before a day still pairs."""
     wanted = F.broadcast(days.select("day").distinct())  # a row per stale day
-    b = daily_blocks(blocks.where(F.col("number") <= watermark)).join(wanted, "day", "left_semi")
+    below = blocks.where(F.col("number") <= watermark)
+    own = below.join(wanted, day_of(F.col("timestamp")) == wanted["day"], "left_semi")
+    # the blocks before those of other days are needed for their times only
+    ahead = below.join(own.select((F.col("number") - 1).alias("number")), "number", "left_semi").select("number", "timestamp")
+    b = daily_blocks(own, ahead)
     t = txs.where(F.col("block_number") <= watermark).join(wanted, day_of(F.col("block_timestamp")) == wanted["day"], "left_semi")
     m = transfers.where(F.col("block_number") <= watermark).join(wanted, day_of(F.col("timestamp")) == wanted["day"], "left_semi")
     joined = b.join(daily_txs(t), "day", "left").join(daily_active(t), "day", "left").join(daily_transfers(m), "day", "left")

@@ -138,27 +138,33 @@ def lowercase_addresses(df: DataFrame, columns: list[str], keys: list[str], orde
 # --- call frames and contracts -------------------------------------------------------------------------------------
 
 
-def flatten_frames(traces: DataFrame, max_depth: int = 8) -> DataFrame:
+def flatten_frames(traces: DataFrame) -> DataFrame:
     """A row for each frame below a trace's root: (tx_hash, block_number, timestamp, trace_address, ...).
 
-    Frames are variants; each level explodes the calls of the one above, so a trace of any width is spread by Spark.
-    Empty input and output, and zero gas, are null; an unknown call type is `call`. A frame deeper than max_depth fails.
+    Frames are variants. A trace is walked down level by level in one expression, as often as its text has lists of calls, so
+    a call tree of any depth and width is read in one pass without an exchange. Empty input and output, and zero gas, are
+    null; an unknown call type is `call`.
     """
     text = lambda path: F.try_variant_get("frame", path, "string")
     blank = lambda c: F.when(c.isin("", "0x"), None).otherwise(c)
     gas = lambda path: F.nullif(hex_to_long(text(path)), F.lit(0).cast("long"))
-    level = traces.select("tx_hash", "block_number", "timestamp", F.lit("").alias("trace_address"), F.col("frame"))
-    found = None
-    for depth in range(1, max_depth + 2):
-        calls = F.try_variant_get("frame", "$.calls", "array<variant>")
-        below = level.select("tx_hash", "block_number", "timestamp", F.col("trace_address").alias("above"), F.posexplode(calls).alias("i", "frame"))
-        path = F.when(F.col("above") == "", F.col("i").cast("string")).otherwise(F.concat_ws(",", "above", "i"))
-        level = below.select("tx_hash", "block_number", "timestamp", path.alias("trace_address"), "frame")
-        if depth > max_depth:
-            # the message names the frame, so that the error can't be raised for a row without calls
-            deep = F.raise_error(F.concat(F.lit(f"a frame deeper than {max_depth}: "), F.col("tx_hash"), F.lit(" "), path)).cast("string")
-            level = below.select("tx_hash", "block_number", "timestamp", deep.alias("trace_address"), "frame")
-        found = level if found is None else found.unionByName(level)
+    nodes = "array<struct<path:string,frame:variant>>"
+
+    def children(node: Column) -> Column:
+        calls = F.coalesce(F.try_variant_get(node["frame"], "$.calls", "array<variant>"), F.array().cast("array<variant>"))
+        path = lambda i: F.when(node["path"] == "", i.cast("string")).otherwise(F.concat_ws(",", node["path"], i.cast("string")))
+        return F.transform(calls, lambda frame, i: F.struct(path(i).alias("path"), frame.alias("frame")))
+
+    def down(state: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(state["level"], children)).cast(nodes)
+        return F.struct(level.alias("level"), F.concat(state["found"], level).cast(nodes).alias("found"))
+
+    root = F.array(F.struct(F.lit("").alias("path"), F.col("frame").alias("frame"))).cast(nodes)
+    start = F.struct(root.alias("level"), F.array().cast(nodes).alias("found"))
+    lists = F.size(F.split(F.to_json("frame"), '"calls"'))  # one more than there are lists, and no tree is deeper
+    found = F.aggregate(F.sequence(F.lit(1), lists), start, down)["found"]
+    found = traces.select("tx_hash", "block_number", "timestamp", F.explode(found).alias("n"))
+    found = found.select("tx_hash", "block_number", "timestamp", F.col("n.path").alias("trace_address"), F.col("n.frame").alias("frame"))
     kind = F.lower(text("$.type"))
     return found.select(
         "tx_hash", "block_number", "timestamp", "trace_address", F.lower(text("$.from")).alias("from_address"), F.lower(text("$.to")).alias("to_address"),

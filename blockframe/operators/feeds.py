@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chain
+from ..functions import chain, u256
 
 PARTICIPANTS = ("from_address", "to_address")
 
@@ -234,19 +234,37 @@ def token_browse(tokens: DataFrame, token_type: str | None, text: str | None, nu
     return with_total(page(rows, [F.desc("holder_count"), F.asc("address")], size, number), rows)
 
 
+def _percentage(part: Column, whole: Column, wide: bool) -> Column:
+    """part of whole in per cent, four digits; exact where the whole is below 10^32, beyond it from doubles."""
+
+    def rough() -> Column:
+        a, b = (u256.as_double(x) if wide else x.cast("double") for x in (part, whole))
+        return F.round(a / b * 100, 4).cast("decimal(10,4)")
+
+    # rounded once, from the exact remainder: a decimal quotient would be cut to six digits before
+    small = F.expr("cast('1' || repeat('0', 32) as decimal(38,0))")
+    if wide:
+        fits = (whole["hi"] == 0) & (whole["mid"] < 1_000_000)
+        a, b = ((x["mid"] * F.expr(f"cast('1' || repeat('0', {u256.BASE_DIGITS}) as decimal(27,0))") + x["lo"]).cast("decimal(38,0)") for x in (part, whole))
+    else:
+        fits, a, b = whole < small, part, whole
+    a, b = (F.when(fits, x).cast("decimal(38,0)") for x in (a, b))
+    scaled = (a * 1_000_000).cast("decimal(38,0)")
+    rest = F.pmod(scaled, b)
+    exact = ((scaled - rest) / b).cast("decimal(38,0)") + F.when(rest >= b - rest, 1).otherwise(0)
+    return F.when(fits, (exact.cast("decimal(12,0)") / 10_000).cast("decimal(10,4)")).otherwise(rough())
+
+
 def token_holders(balances: DataFrame, contracts: DataFrame, token: str, n: int, number: int = 1) -> DataFrame:
     """Positive balances of a token, largest first, with their share of all in per cent and a contract flag."""
-    rows = balances.where((F.col("token_address") == token) & (F.col("balance") > 0))
-    totals = rows.agg(F.sum("balance").alias("held"), F.count("*").alias("total"))
-    # rounded once, from the exact remainder: a decimal quotient would be cut to six digits before
-    scaled, held = (F.col("balance") * 1_000_000).cast("decimal(38,0)"), F.col("held").cast("decimal(38,0)")
-    rest = F.pmod(scaled, held)
-    whole = ((scaled - rest) / held).cast("decimal(38,0)") + F.when(rest >= held - rest, 1).otherwise(0)
-    share = F.when(F.col("held") > 0, whole.cast("decimal(12,0)") / 10_000)
+    wide = u256.is_wide(balances, "balance")
+    rows = balances.where((F.col("token_address") == token) & (F.col("balance") > u256.zero(wide)))
+    totals = rows.agg(u256.sum_of(F.col("balance"), wide).alias("held"), F.count("*").alias("total"))
+    share = F.when(F.col("held") > u256.zero(wide), _percentage(F.col("balance"), F.col("held"), wide))
     top = page(rows, [F.desc("balance"), F.asc("address")], n, number)
     flagged = top.join(contracts.select("address", F.lit(True).alias("known")).distinct(), "address", "left")
     return flagged.crossJoin(F.broadcast(totals)).select(
-        "address", "balance", share.cast("decimal(10,4)").alias("percentage"), F.coalesce("known", F.lit(False)).alias("is_contract"), "total"
+        "address", "balance", share.alias("percentage"), F.coalesce("known", F.lit(False)).alias("is_contract"), "total"
     )
 
 

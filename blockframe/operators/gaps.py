@@ -72,26 +72,55 @@ def contiguous_through(blocks: DataFrame, watermark: int, limit: int | None = No
 # --- range algebra -------------------------------------------------------------------------------------------------
 
 
-def range_split(ranges: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ranges without the stored numbers: each hit shrinks a range or splits it; a range of stored numbers only goes."""
-    hit = ranges.join(stored.select(F.col("number").alias("hit")), F.col("hit").between(F.col("from_block"), F.col("to_block")), "left")
-    cuts = hit.groupBy("from_block", "to_block").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
-    borders = F.concat(F.array(F.col("from_block") - 1), F.col("hits"), F.array(F.col("to_block") + 1))
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.size("hits") + 1),
-        lambda i: F.struct((F.element_at(borders, i) + 1).alias("from_block"), (F.element_at(borders, i + 1) - 1).alias("to_block")),
-    )
-    rows = cuts.select(F.explode(pieces).alias("p")).select("p.*")
-    return rows.where(F.col("from_block") <= F.col("to_block"))
+def _pieces(ranges: DataFrame, bucket: int, *keys: str) -> DataFrame:
+    """(keys, b, lo, hi): ranges cut at the borders of buckets of blocks."""
+    number = lambda c: F.floor(F.col(c) / bucket)
+    rows = ranges.select(*keys, "from_block", "to_block", F.explode(F.sequence(number("from_block"), number("to_block"))).alias("b"))
+    start = F.col("b") * bucket
+    return rows.select(*keys, "b", F.greatest("from_block", start).alias("lo"), F.least("to_block", start + bucket - 1).alias("hi"))
+
 
+def _stitched(pieces: DataFrame, bucket: int, *keys: str) -> DataFrame:
+    """(keys, from_block, to_block): pieces(keys, b, lo, hi), disjoint in a bucket, those that meet at a bucket's border made one.
+
+    Only pieces at a border are looked at together, two rows per bucket at most (of the same keys).
+    """
+    rows = pieces.withColumns({"head": F.col("lo") == F.col("b") * bucket, "tail": F.col("hi") == (F.col("b") + 1) * bucket - 1})
+    whole = rows.where("not head and not tail").select(*keys, F.col("lo").alias("from_block"), F.col("hi").alias("to_block"))
+    order = Window.partitionBy(*keys).orderBy("lo")
+    before = F.lag("hi").over(order)
+    edge = rows.where("head or tail").withColumn("new", F.when(F.col("lo") == before + 1, 0).otherwise(1))
+    edge = edge.withColumn("run", F.sum("new").over(order))
+    joined = edge.groupBy(*keys, "run").agg(F.min("lo").alias("from_block"), F.max("hi").alias("to_block")).drop("run")
+    return whole.unionByName(joined)
 
-def range_merge(ranges: DataFrame) -> DataFrame:
-    """Overlapping and adjoining ranges made one; the table of open gaps is small beside the blocks."""
-    order = Window.orderBy("from_block", "to_block")
-    reach = F.max("to_block").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.when(F.col("from_block") > F.coalesce(reach, F.lit(-2)) + 1, 1).otherwise(0)
-    island = ranges.withColumn("start", start).withColumn("island", F.sum("start").over(order))
-    return island.groupBy("island").agg(F.min("from_block").alias("from_block"), F.max("to_block").alias("to_block")).drop("island")
+
+def range_split(ranges: DataFrame, stored: DataFrame, bucket: int = 1_000) -> DataFrame:
+    """Ranges without the stored numbers: each hit shrinks a range or splits it; a range of stored numbers only goes.
+
+    Ranges and stored numbers meet by equality on buckets of blocks, and the holes between hits are found within a bucket,
+    so neither all stored numbers nor all hits of a range come together anywhere. Equal ranges are one.
+    """
+    keyed = ranges.select(F.col("from_block").cast("long").alias("from_block"), F.col("to_block").cast("long").alias("to_block")).distinct()
+    keyed = keyed.select("*", F.col("from_block").alias("f"), F.col("to_block").alias("t"))
+    pieces = _pieces(keyed, bucket, "f", "t")
+    numbers = stored.select(F.col("number").cast("long").alias("hit"), F.floor(F.col("number") / bucket).alias("b")).distinct()
+    hits = pieces.join(numbers, "b").where(F.col("hit").between(F.col("lo"), F.col("hi"))).select("f", "t", "b", "lo", "hit")
+    ends = pieces.select("f", "t", "b", "lo", (F.col("hi") + 1).alias("hit"))
+    before = F.lag("hit").over(Window.partitionBy("f", "t", "b").orderBy("hit"))
+    holes = hits.unionByName(ends).select("f", "t", "b", F.coalesce(before + 1, F.col("lo")).alias("lo"), (F.col("hit") - 1).alias("hi"))
+    return _stitched(holes.where(F.col("lo") <= F.col("hi")), bucket, "f", "t").select("from_block", "to_block")
+
+
+def range_merge(ranges: DataFrame, bucket: int = SCAN_BUCKET) -> DataFrame:
+    """Overlapping and adjoining ranges made one: within buckets of blocks, then over the pieces at their borders."""
+    pieces = _pieces(ranges, bucket)
+    order = Window.partitionBy("b").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.when(F.col("lo") <= reach + 1, 0).otherwise(1)
+    island = pieces.withColumn("start", start).withColumn("island", F.sum("start").over(order))
+    merged = island.groupBy("b", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _stitched(merged, bucket)
 
 
 def range_queue(ranges: DataFrame, floor: int, n: int, skip: DataFrame | None = None, newest_first: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import u256
 from ..functions.chain import address_bucket, bucket_bounds
 from . import rollups
 
@@ -70,11 +71,16 @@ def address_stats_by_span(contributions: DataFrame, size: int) -> DataFrame:
     return rollups.address_stats(with_span(contributions, size), "span_lo")
 
 
+def _supply(df: DataFrame) -> Column:
+    """The sum of a column of supplies, decimals or 256-bit integers."""
+    return u256.sum_of(F.col("supply"), u256.is_wide(df, "supply")).alias("supply")
+
+
 def prune_offsets(chain: DataFrame, token: DataFrame, watermark: int, size: int) -> DataFrame:
     """(kind, key, count, supply): what the spans that end at or below the watermark hold of each counter."""
     c = chain.where(F.col("span_lo") + size <= watermark).groupBy(F.col("name").alias("key")).agg(F.sum("count").alias("count"))
-    t = token.where(F.col("span_lo") + size <= watermark).groupBy(F.col("token_address").alias("key")).agg(F.sum("transfer_count").alias("count"), F.sum("supply").cast("decimal(38,0)").alias("supply"))
-    return c.select(F.lit("chain").alias("kind"), "key", "count", F.lit(None).cast("decimal(38,0)").alias("supply")).unionByName(
+    t = token.where(F.col("span_lo") + size <= watermark).groupBy(F.col("token_address").alias("key")).agg(F.sum("transfer_count").alias("count"), _supply(token))
+    return c.select(F.lit("chain").alias("kind"), "key", "count", F.lit(None).cast(t.schema["supply"].dataType).alias("supply")).unionByName(
         t.select(F.lit("token").alias("kind"), "key", "count", "supply")
     )
 
@@ -84,15 +90,15 @@ def totals_with_offsets(retained: DataFrame, offsets: DataFrame) -> DataFrame:
     rows = retained.select("token_address", "transfer_count", "supply").unionByName(
         offsets.where("kind = 'token'").select(F.col("key").alias("token_address"), F.col("count").alias("transfer_count"), "supply")
     )
-    return rows.groupBy("token_address").agg(F.sum("transfer_count").alias("transfer_count"), F.sum("supply").cast("decimal(38,0)").alias("supply"))
+    return rows.groupBy("token_address").agg(F.sum("transfer_count").alias("transfer_count"), _supply(retained))
 
 
 def token_seed(transfers: DataFrame, token: DataFrame, balances: DataFrame, wanted: DataFrame, closed_through: int) -> DataFrame:
     """What a token discovered late starts at: closed spans, the open tail, and its holders."""
     tail = rollups.token_totals(transfers.where(F.col("block_number") >= closed_through).join(wanted, "token_address", "left_semi"))
     closed = token.where(F.col("span_lo") < closed_through).join(wanted, "token_address", "left_semi").select("token_address", "transfer_count", "supply")
-    counted = closed.unionByName(tail).groupBy("token_address").agg(F.sum("transfer_count").alias("transfer_count"), F.sum("supply").cast("decimal(38,0)").alias("supply"))
-    held = balances.where("balance > 0").groupBy("token_address").agg(F.count("*").alias("holder_count"))
+    counted = closed.unionByName(tail).groupBy("token_address").agg(F.sum("transfer_count").alias("transfer_count"), _supply(token))
+    held = balances.where(F.col("balance") > u256.zero(u256.is_wide(balances, "balance"))).groupBy("token_address").agg(F.count("*").alias("holder_count"))
     return wanted.select("token_address").distinct().join(counted, "token_address", "left").join(held, "token_address", "left").select(
         "token_address", F.coalesce("transfer_count", F.lit(0)).alias("transfer_count"), "supply", F.coalesce("holder_count", F.lit(0)).alias("holder_count")
     )
@@ -103,7 +109,13 @@ def diff(stored: DataFrame, truth: DataFrame, keys: list[str], counters: list[st
 
     Null-safe: a null on both sides is no difference.
     """
-    text = lambda df, side: df.select(*keys, *(F.col(c).cast("string").alias(f"{side}_{c}") for c in counters))
+
+    def text(df: DataFrame, side: str) -> DataFrame:
+        def shown(c: str) -> Column:
+            return F.when(F.col(c).isNotNull(), u256.to_decimal(F.col(c))) if u256.is_wide(df, c) else F.col(c).cast("string")
+
+        return df.select(*keys, *(shown(c).alias(f"{side}_{c}") for c in counters))
+
     joined = text(stored, "s").join(text(truth, "t"), keys, "full_outer")
     items = F.array(*(F.struct(F.lit(c).alias("counter"), F.col(f"s_{c}").alias("stored"), F.col(f"t_{c}").alias("truth")) for c in counters))
     rows = joined.select(*keys, F.explode(F.filter(items, lambda x: ~x["stored"].eqNullSafe(x["truth"]))).alias("d"))
@@ -139,7 +151,7 @@ def running_diff_chain_token(counters: DataFrame, tokens: DataFrame, chain: Data
     c = diff(kept.select("name", "count"), c_truth, ["name"], ["count"])
     columns = ["token_address", "transfer_count", "supply"]
     t_truth = token.select(columns).unionByName(open_token.select(columns)).groupBy("token_address").agg(
-        F.sum("transfer_count").alias("transfer_count"), F.sum("supply").cast("decimal(38,0)").alias("supply")
+        F.sum("transfer_count").alias("transfer_count"), _supply(token)
     )
     t = diff(tokens.select(columns), t_truth, ["token_address"], ["transfer_count", "supply"])
     return c.select(F.lit("chain").alias("family"), F.col("name").alias("key"), "counter", "stored", "truth").unionByName(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import u256
 from ..functions.chain import ZERO_ADDRESS, floor_zero
 from . import rollups
 
@@ -28,7 +29,8 @@ def revert_deltas(tables: dict[str, DataFrame], lo: int, hi: int) -> dict[str, D
         part = gone[name].agg((-F.count("*")).alias("delta")).select(F.lit(name).alias("name"), "delta")
         chain = part if chain is None else chain.unionByName(part)
     token = rollups.token_totals(gone["transfers"])
-    token = token.select("token_address", (-F.col("transfer_count")).alias("transfer_count"), (-F.col("supply")).cast("decimal(38,0)").alias("supply"))
+    supply = u256.minus(F.col("supply"), u256.is_wide(token, "supply")).alias("supply")
+    token = token.select("token_address", (-F.col("transfer_count")).alias("transfer_count"), supply)
     return {"chain": chain, "token": token}
 
 
@@ -41,9 +43,10 @@ def apply_token_deltas(tokens: DataFrame, delta: DataFrame) -> DataFrame:
     """tokens(token_address, transfer_count, supply) with deltas added; counts stop at zero."""
     d = delta.select("token_address", F.col("transfer_count").alias("d_count"), F.col("supply").alias("d_supply"))
     joined = tokens.join(d, "token_address", "left")
+    wide = u256.is_wide(tokens, "supply")
     return joined.select(
         "token_address", floor_zero(F.col("transfer_count") + F.coalesce("d_count", F.lit(0))).alias("transfer_count"),
-        (F.col("supply") + F.coalesce("d_supply", F.lit(0))).cast("decimal(38,0)").alias("supply"),
+        u256.plus(F.col("supply"), F.coalesce(F.col("d_supply"), u256.zero(wide)), wide).alias("supply"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import chain
+from ..functions import chain, u256
 from ..functions.chain import ZERO_ADDRESS
 
 #: Transaction types that count as sent by their sender (a fixed value of the chain's format).
@@ -30,18 +30,23 @@ def chain_counters(blocks: DataFrame, txs: DataFrame, transfers: DataFrame, stat
     return whole
 
 
-def supply_of(value: str = "value") -> Column:
-    """Minted less burned; from zero to zero nets nothing."""
-    minted = F.when(F.col("from_address") == ZERO_ADDRESS, F.col(value)).otherwise(0)
-    burned = F.when(F.col("to_address") == ZERO_ADDRESS, F.col(value)).otherwise(0)
-    return F.sum((minted - burned).cast("decimal(38,0)"))
+def supply_of(value: Column, wide: bool) -> Column:
+    """Minted less burned; from zero to zero nets nothing. Wide sums are cut off at 78 digits."""
+    none = F.lit(None)
+    minted = F.when(F.col("from_address") == ZERO_ADDRESS, value).otherwise(none)
+    burned = F.when(F.col("to_address") == ZERO_ADDRESS, value).otherwise(none)
+    return u256.sum_of(minted, wide, less=burned)
 
 
 def token_totals(transfers: DataFrame, *keys: str) -> DataFrame:
-    """Transfers and, for fungible tokens, supply of each token (and of each further key)."""
+    """Transfers and, for fungible tokens, supply of each token (and of each further key).
+
+    The supply has the type of the amounts: decimals, or 256-bit integers as decoded transfers have them.
+    """
+    wide = u256.is_wide(transfers, "value")
     grouped = transfers.groupBy(*keys, "token_address").agg(
         F.count("*").alias("transfer_count"),
-        supply_of().cast("decimal(38,0)").alias("net"),
+        supply_of(F.col("value"), wide).alias("net"),
         F.max((F.col("token_type") != "ERC20").cast("int")).alias("other"),
     )
     supply = F.when(F.col("other") == 0, F.col("net"))
@@ -115,7 +120,7 @@ def address_stats_merge(stats: DataFrame, delta: DataFrame) -> DataFrame:
 
 def holder_count(tokens: DataFrame, balances: DataFrame) -> DataFrame:
     """(address, holder_count) of every token: addresses with a positive balance."""
-    held = balances.where("balance > 0").groupBy(F.col("token_address").alias("address")).agg(F.count("*").alias("n"))
+    held = balances.where(F.col("balance") > u256.zero(u256.is_wide(balances, "balance"))).groupBy(F.col("token_address").alias("address")).agg(F.count("*").alias("n"))
     return tokens.select("address").join(held, "address", "left").select("address", F.coalesce("n", F.lit(0)).alias("holder_count"))
 
 
@@ -123,7 +128,8 @@ def holder_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """(token_address, delta): by how much a batch of balances changes the holders of each token it touches."""
     keys = ["token_address", "address"]
     joined = new.select(*keys, "balance").join(old.select(*keys, F.col("balance").alias("was")), keys, "left")
-    change = (F.col("balance") > 0).cast("long") - F.coalesce((F.col("was") > 0).cast("long"), F.lit(0))
+    none = u256.zero(u256.is_wide(new, "balance"))
+    change = (F.col("balance") > none).cast("long") - F.coalesce((F.col("was") > none).cast("long"), F.lit(0))
     return joined.groupBy("token_address").agg(F.sum(change).alias("delta"))
 
 
@@ -142,23 +148,31 @@ def nft_supply(nfts: DataFrame) -> DataFrame:
 
 def balance_changes(transfers: DataFrame) -> DataFrame:
     """(token_address, address, block_number, change) of fungible transfers; the zero address holds nothing."""
+    wide = u256.is_wide(transfers, "value")
     rows = transfers.where(F.col("token_type") == "ERC20")
     sides = [
         F.struct(F.col("to_address").alias("address"), F.col("value").alias("change")),
-        F.struct(F.col("from_address").alias("address"), (-F.col("value")).cast("decimal(38,0)").alias("change")),
+        F.struct(F.col("from_address").alias("address"), u256.minus(F.col("value"), wide).alias("change")),
     ]
     both = rows.select("token_address", "block_number", F.explode(F.array(*sides)).alias("side"))
     return both.select("token_address", "side.address", "block_number", "side.change").where(F.col("address") != ZERO_ADDRESS)
 
 
 def balances_from_transfers(transfers: DataFrame, history: bool = False) -> DataFrame:
-    """Balances netted from transfers: the last of each key, or with history one row for each block that touched it."""
+    """Balances netted from transfers: the last of each key, or with history one row for each block that touched it.
+
+    Balances have the type of the amounts. Wide ones are cut off at 78 digits.
+    """
+    wide = u256.is_wide(transfers, "value")
     keys = ["token_address", "address"]
-    per_block = balance_changes(transfers).groupBy(*keys, "block_number").agg(F.sum("change").cast("decimal(38,0)").alias("change"))
-    if history:
-        upto = Window.partitionBy(*keys).orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
+    per_block = balance_changes(transfers).groupBy(*keys, "block_number").agg(u256.sum_of(F.col("change"), wide).alias("change"))
+    if not history:
+        return per_block.groupBy(*keys).agg(u256.sum_of(F.col("change"), wide).alias("balance"), F.max("block_number").alias("block_number"))
+    upto = Window.partitionBy(*keys).orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
+    if not wide:
         return per_block.select(*keys, "block_number", F.sum("change").over(upto).cast("decimal(38,0)").alias("balance"))
-    return per_block.groupBy(*keys).agg(F.sum("change").cast("decimal(38,0)").alias("balance"), F.max("block_number").alias("block_number"))
+    limbs = per_block.select(*keys, "block_number", *(F.sum(F.col("change")[f]).over(upto).alias(f) for f in ("hi", "mid", "lo")))
+    return limbs.select(*keys, "block_number", u256.normalise(F.col("hi"), F.col("mid"), F.col("lo")).alias("balance"))
 
 
 def current_balances(history: DataFrame) -> DataFrame:

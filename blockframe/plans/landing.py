@@ -6,7 +6,6 @@ from the views below the session's shared checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from ..operators import daily, decode
 from ..sources import raw
 from ..streaming import ingest
 from .chain import Chain
-from .maintenance import D_ALL
+from .maintenance import D_ALL, DENSE, dense
 from .queries import BLOCK_SQL, query
 
 
@@ -84,7 +83,7 @@ query("trace_scan", "SELECT tx_hash, block_number FROM f_frames WHERE trace_addr
     lambda c: raw.tidy_traces(_traces(c).withColumn("error", F.when(F.col("blockNumber") % 10 == 0, "lost"))).select("tx_hash", "block_number")
 )
 query("flatten_frames", "SELECT tx_hash, block_number, trace_address, from_address, to_address, call_type, output, error FROM f_frames WHERE trace_address IN ('0', '0,0', '1', '1,0', '1,0,0')")(
-    lambda c: decode.flatten_frames(raw.tidy_traces(_traces(c)), max_depth=4).select("tx_hash", "block_number", "trace_address", "from_address", "to_address", "call_type", "output", "error")
+    lambda c: decode.flatten_frames(raw.tidy_traces(_traces(c))).select("tx_hash", "block_number", "trace_address", "from_address", "to_address", "call_type", "output", "error")
 )
 query("creations_csv", "SELECT address, concat('0x', lpad(substr(creation_tx, 60), 64, '0')) AS creation_tx, block_number, creator FROM contracts")(
     lambda c: raw.tidy_creations(
@@ -123,17 +122,16 @@ query("abi_string", "SELECT address, symbol FROM tokens")(
 
 
 def _folder(c: Chain) -> str:
-    base = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-landing-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{raw.shared_folder(c.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _archived(c: Chain) -> DataFrame:
     folder = _folder(c)
-    raw.archive_export(c.txs.where("block_number < 200"), folder)
+    raw.archive_export(c.txs, folder)
     return raw.archive_manifest(c.spark, folder).agg(F.sum("rows").alias("rows"), F.min(F.length("digest")).alias("digest_chars"))
 
 
-query("archive_manifest", "SELECT count(*) AS rows, 64 AS digest_chars FROM f_tx WHERE block_number < 200")(_archived)
+query("archive_manifest", "SELECT count(*) AS rows, 64 AS digest_chars FROM f_tx")(_archived)
 
 
 def _ingested(c: Chain) -> DataFrame:
@@ -155,24 +153,22 @@ def _balances_streamed(c: Chain) -> DataFrame:
         reads.where(F.col("block_number") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/reads")
     stream = c.spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/reads")
     ingest.current_balances_stream(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
-    return ingest.latest(c.spark, f"{folder}/out").drop("arrival")
+    return ingest.latest(c.spark, f"{folder}/out").select("token_address", "address", "balance", "block_number")
 
 
 query("current_balances_stream", "SELECT token_address, address, balance, block_number FROM balances")(_balances_streamed)
 
 
 def _folded(c: Chain) -> DataFrame:
-    """Two folds: up to a late block, then past it once it has come, below the first missing block."""
-    blocks = c.blocks.where("number < 97")
-    late = blocks.where("number <> 40")
-    acc, mark = ingest.daily_fold_step(late, c.txs.where("block_number <> 40"), c.transfers.where("block_number <> 40"), None, 0)
-    acc, _ = ingest.daily_fold_step(blocks, c.txs, c.transfers, acc, mark)
+    """Two folds over all blocks, renumbered without gaps: up to one that is late, then past it once it has come."""
+    blocks, txs, transfers = dense(c.blocks, "number"), dense(c.txs, "block_number"), dense(c.transfers, "block_number")
+    acc, mark = ingest.daily_fold_step(blocks.where("number <> 40"), txs.where("block_number <> 40"), transfers.where("block_number <> 40"), None, 0)
+    acc, _ = ingest.daily_fold_step(blocks, txs, transfers, acc, mark)
     return acc.select("day", *daily.ADDITIVE, "first_block", "active_addresses")
 
 
 query(
     "daily_fold",
-    f", {D_ALL} SELECT day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, tx_count, price_sum, success, failed, transfer_count, first_block, active_addresses FROM parts".replace("FROM days b LEFT", "FROM (SELECT * FROM days WHERE number < 97) b LEFT")
-    .replace("FROM f_tx GROUP BY 1", "FROM f_tx WHERE block_number < 97 GROUP BY 1").replace("AS a FROM f_tx UNION ALL", "AS a FROM f_tx WHERE block_number < 97 UNION ALL").replace("to_address FROM f_tx)", "to_address FROM f_tx WHERE block_number < 97)")
-    .replace("FROM f_transfers GROUP BY 1", "FROM f_transfers WHERE block_number < 97 GROUP BY 1"),
-)(_folded)
+    f", even AS (SELECT {DENSE} AS number, timestamp, gas_used, size, day FROM days), {D_ALL.replace('FROM days b LEFT JOIN f_blocks p', 'FROM even b LEFT JOIN even p')} "
+    "SELECT day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, tx_count, price_sum, success, failed, transfer_count, first_block, active_addresses FROM parts",
+)(_folded)

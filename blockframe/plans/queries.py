@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import chain as fn
+from ..functions import u256
 from ..operators import checks, daily, decode, feeds, gaps, ledger, reorg, retention, rollups
 from ..sources import fixtures, raw
 from .chain import CTES, FLOOR_GAP, SPAN, Chain
@@ -136,6 +137,10 @@ query("token_holders", f"""SELECT address, balance, CAST((balance * 2000000 + h)
     FROM balances b, (SELECT CAST(sum(balance) AS BIGINT) AS h FROM balances WHERE token_address = '{TOKEN}' AND balance > 0) WHERE token_address = '{TOKEN}' AND balance > 0 ORDER BY balance DESC, address LIMIT 50""")(
     lambda c: feeds.token_holders(c.balances, c.contracts, TOKEN, 50).withColumn("percentage", F.col("percentage").cast("double"))
 )
+query("token_holders_wide", f"""SELECT address, concat(CAST(balance AS VARCHAR), repeat('0', 20)) AS balance, CAST((balance * 2000000 + h) // (h * 2) AS DOUBLE) / 10000 AS percentage
+    FROM balances b, (SELECT CAST(sum(balance) AS BIGINT) AS h FROM balances WHERE token_address = '{TOKEN}' AND balance > 0) WHERE token_address = '{TOKEN}' AND balance > 0 ORDER BY b.balance DESC, address LIMIT 50""")(
+    lambda c: _shown(feeds.token_holders(rollups.balances_from_transfers(_widened(c, 20)), c.contracts, TOKEN, 50), "balance").select("address", "balance", F.col("percentage").cast("double").alias("percentage"))
+)
 query("nft_inventory", f"SELECT token_address, token_id, owner, block_number, (SELECT count(*) FROM nfts, zero WHERE token_address = '{NFT}' AND owner <> z) AS total FROM nfts, zero WHERE token_address = '{NFT}' AND owner <> z ORDER BY token_id LIMIT 25")(
     lambda c: feeds.nft_inventory(c.nfts, NFT, None, 25)
 )
@@ -212,8 +217,6 @@ query("transfer_decode", "SELECT tx_hash, block_number, CAST(log_index AS BIGINT
 
 
 def _decoded(df: DataFrame) -> DataFrame:
-    from ..functions import u256
-
     return df.withColumns({"value": u256.to_decimal(F.col("value")), "token_id": u256.to_decimal(F.col("token_id"))}).drop("transfer_type")
 
 
@@ -286,6 +289,34 @@ query("chain_counters", "SELECT 'blocks' AS name, count(*) AS count FROM f_block
     lambda c: c.counters
 )
 query("token_totals", "SELECT * FROM totals")(lambda c: c.token_totals)
+
+
+def _widened(c: Chain, zeros: int) -> DataFrame:
+    """The transfers with 256-bit amounts: as many zeros more than the fixture's."""
+    return c.transfers.withColumn("value", u256.from_decimal(F.concat(F.col("value").cast("string"), F.lit("0" * zeros))))
+
+
+def _shown(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, u256.to_decimal(F.col(column)))
+
+
+def _wide_sql(column: str, zeros: int) -> str:
+    """Digits of an amount with so many zeros more; of those that need more than 78 digits, 78 nines."""
+    most = 10 ** (78 - zeros)
+    return f"""CASE WHEN {column} IS NULL THEN '' WHEN {column} = 0 THEN '0' WHEN abs({column}) >= {most} THEN concat(CASE WHEN {column} < 0 THEN '-' ELSE '' END, repeat('9', 78))
+        ELSE concat(CAST({column} AS VARCHAR), repeat('0', {zeros})) END AS {column}"""
+
+
+query("token_totals_wide", f"SELECT token_address, transfer_count, {_wide_sql('supply', 60)} FROM totals")(lambda c: _shown(rollups.token_totals(_widened(c, 60)), "supply"))
+query("token_totals_saturated", f"SELECT token_address, transfer_count, {_wide_sql('supply', 72)} FROM totals")(lambda c: _shown(rollups.token_totals(_widened(c, 72)), "supply"))
+query("token_totals_decoded", "SELECT token_address, transfer_count, coalesce(CAST(supply AS VARCHAR), '') AS supply FROM totals")(
+    lambda c: _shown(rollups.token_totals(decode.transfer_decode(c.logs)), "supply")
+)
+query("balances_wide", f"SELECT token_address, address, {_wide_sql('balance', 60)}, block_number FROM balances")(lambda c: _shown(rollups.balances_from_transfers(_widened(c, 60)), "balance"))
+query("balance_history_wide", f"SELECT token_address, address, block_number, {_wide_sql('balance', 60)} FROM history")(
+    lambda c: _shown(rollups.balances_from_transfers(_widened(c, 60), history=True), "balance")
+)
+query("holder_count_wide", "SELECT address, holder_count FROM tokens")(lambda c: rollups.holder_count(c.tokens.select("address"), rollups.balances_from_transfers(_widened(c, 60))))
 query("address_contributions", "SELECT address, count(*) AS n, count(tx) AS with_tx, CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(internal) AS BIGINT) AS internal, CAST(sum(moved) AS BIGINT) AS moved FROM contrib GROUP BY address")(
     lambda c: c.contributions.groupBy("address").agg(F.count("*").alias("n"), F.count("tx").alias("with_tx"), *(F.sum(x).alias(x) for x in ("sent", "internal", "moved")))
 )

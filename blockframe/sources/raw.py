@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,23 @@ def write_history(df: DataFrame, path: str, block_col: str, size: int) -> None:
     ).parquet(path)
 
 
-def archive_export(df: DataFrame, path: str) -> None:
-    """A range as gzipped CSV with a header."""
-    df.write.mode("errorifexists").option("compression", "gzip").option("header", True).csv(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; on one machine (tests) a temporary one may do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-landing-")
+    return folder.rstrip("/")
+
+
+#: Rows of an archive's file: the manifest digests a file as one value, which must fit a task's memory.
+ARCHIVE_ROWS = 500_000
+
+
+def archive_export(df: DataFrame, path: str, rows: int = ARCHIVE_ROWS) -> None:
+    """A range as gzipped CSV with a header, in files of at most so many rows."""
+    df.write.mode("errorifexists").option("maxRecordsPerFile", rows).option("compression", "gzip").option("header", True).csv(path)
 
 
 def archive_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Structured Streaming jobs that keep derived tables in step with arriving files.
 
-State lives in Parquet snapshots, one folder per batch: a batch reads the newest snapshot below its own number and
-writes its own with overwrite, so a batch that is run again after a failure gives the same state. Blocks arrive in any
-order and again; nothing is dropped for being late.
+State lives in Parquet folders bucket=.../batch=...: a batch reads, of the buckets that its own rows fall into, what batches
+below its number wrote, and writes its own folders with overwrite. So its work grows with the batch and its buckets and not
+with all that was ever stored, and a batch that is run again after a failure gives the same state. Snapshots that a later
+one replaced are removed. Blocks arrive in any order and again; nothing is dropped for being late.
 """
 
 from __future__ import annotations
@@ -12,49 +13,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators import daily, decode, gaps, rollups
+from ..operators import daily, gaps, rollups
 
+#: Blocks of a bucket of stored history, and the buckets that balances are dealt to.
+BLOCKS = 10_000
+BUCKETS = 64
 
-def _folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(batch, folder) of the snapshots under a path, through the file system that Spark uses for it."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted((int(n.removeprefix("batch=")), f"{path}/{n}") for n in names if n.startswith("batch="))
 
+def _files(spark: SparkSession, path: str):
+    """A path and its file system."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
-def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot, or the newest below a batch; None if there is none."""
-    kept = [folder for n, folder in _folders(spark, path) if below is None or n < below]
-    return spark.read.parquet(kept[-1]) if kept else None
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """(bucket, batch, folder) of what lies at path/bucket=.../batch=...; the bucket may be a pattern."""
+    fs, root = _files(spark, f"{path}/batch=*")
+    found = [str(s.getPath().toString()) for s in fs.globStatus(root) or []]
+    return sorted((f.split("/")[-2], int(f.rsplit("=", 1)[1]), f) for f in found)
+
+
+def _newest(spark: SparkSession, path: str, buckets: list[int] | None = None, below: int | None = None) -> list[str]:
+    """The newest snapshot of each bucket, or of some, and below a batch."""
+    names = ["*"] if buckets is None else buckets
+    best: dict[str, str] = {}
+    for name in names:
+        for bucket, batch, folder in _folders(spark, f"{path}/bucket={name}"):
+            if below is None or batch < below:
+                best[bucket] = folder
+    return list(best.values())
+
+
+def latest(spark: SparkSession, path: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest snapshots under a path, or the newest below a batch, of all buckets or some; None if there are none."""
+    kept = _newest(spark, path, buckets, below)
+    return spark.read.parquet(*kept) if kept else None
 
 
 def _store(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch:010d}")
+    """Write df, by its column bucket, as the snapshot of a batch; a batch that runs again replaces its own folders."""
+    rows = df.withColumn("batch", F.lit(batch)).repartition("bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def _tidy(spark: SparkSession, path: str, batch: int, buckets: list[int]) -> None:
+    """Remove the buckets' snapshots that neither the batch nor a repetition of it would read."""
+    for bucket in buckets:
+        older = [folder for _, n, folder in _folders(spark, f"{path}/bucket={bucket}") if n < batch]
+        for folder in older[:-1]:
+            fs, root = _files(spark, folder)
+            fs.delete(root, True)
+
+
+def _buckets(df: DataFrame) -> list[int]:
+    return [r[0] for r in df.select("bucket").distinct().collect()]
 
 
 def ingest_blocks(spark: SparkSession, landing: str, out: str, checkpoint: str, confirmations: int = 0, files_per_batch: int = 10) -> StreamingQuery:
     """Blocks from files in a landing folder, each number once, those far enough below the head seen so far.
 
-    out/history gets a folder of new blocks per batch (append only); out/waiting is the snapshot of what is still above
-    the confirmed height. Runs over what has landed, and stops.
+    out/history gets new blocks, by ranges of BLOCKS numbers (append only); out/waiting is the snapshot of what is still
+    above the confirmed height, out/head that of the greatest number seen. Runs over what has landed, and stops.
     """
     arriving = spark.readStream.schema(schemas.BLOCK_LANDING).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def absorb(batch: DataFrame, number: int) -> None:
         waiting = latest(spark, f"{out}/waiting", number)
-        pending = batch if waiting is None else batch.unionByName(waiting)
-        pending = pending.dropDuplicates(["number"]).persist()
-        done = [folder for n, folder in _folders(spark, f"{out}/history") if n < number]
-        stored = spark.read.parquet(*done) if done else pending.limit(0)
-        head = F.greatest(*(x for x in (F.lit(batch.agg(F.max("number")).first()[0] or 0), F.lit(stored.agg(F.max("number")).first()[0] or 0))))
-        fresh = pending.join(stored.select("number"), "number", "left_anti")
+        pending = batch if waiting is None else batch.unionByName(waiting.select(batch.columns))
+        pending = pending.dropDuplicates(["number"]).withColumn("bucket", F.floor(F.col("number") / BLOCKS).cast("long")).persist()
+        before = latest(spark, f"{out}/head", number)
+        heads = [df.agg(F.max("number")).first()[0] for df in (pending, before) if df is not None]
+        head = max((h for h in heads if h is not None), default=0)
+        done = [f for b in _buckets(pending) for _, n, f in _folders(spark, f"{out}/history/bucket={b}") if n < number]
+        stored = spark.read.schema(schemas.BLOCK_LANDING).parquet(*done) if done else pending.limit(0)
+        fresh = pending.join(stored.select("number"), "number", "left_anti").select(*batch.columns, "bucket").persist()
         safe = F.col("number") <= head - confirmations
-        _store(fresh.where(safe).select(batch.columns), f"{out}/history", number)
-        _store(fresh.where(~safe).select(batch.columns), f"{out}/waiting", number)
+        _store(fresh.where(safe), f"{out}/history", number)
+        # a row each time, so that a snapshot that holds nothing is one too
+        none = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema), F.lit(0).alias("bucket"))
+        _store(fresh.where(~safe).withColumn("bucket", F.lit(0)).unionByName(none), f"{out}/waiting", number)
+        _store(spark.range(1).select(F.lit(head).cast("long").alias("number"), F.lit(0).alias("bucket")), f"{out}/head", number)
+        for name in ("waiting", "head"):
+            _tidy(spark, f"{out}/{name}", number, [0])
+        fresh.unpersist()
         pending.unpersist()
 
     return arriving.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -62,22 +103,34 @@ def ingest_blocks(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
 def history(spark: SparkSession, out: str) -> DataFrame:
     """All blocks that ingest_blocks has written."""
-    return spark.read.schema(schemas.BLOCK_LANDING).parquet(*[folder for _, folder in _folders(spark, f"{out}/history")])
+    rows = spark.read.schema(f"{schemas.BLOCK_LANDING}, bucket long, batch long").parquet(f"{out}/history")
+    return rows.drop("bucket", "batch")
+
 
+def waiting(spark: SparkSession, out: str) -> DataFrame:
+    """Blocks that ingest_blocks holds back."""
+    return latest(spark, f"{out}/waiting").where("number is not null")
 
-def current_balances_stream(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+
+def current_balances_stream(reads: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Highest block wins per (token_address, address) over reads(token_address, address, balance, block_number, arrival).
 
-    Of equal blocks the later arrival stays. out is a snapshot per batch; only the keys' own maxima are merged.
+    Of equal blocks the later arrival stays. out holds the newest snapshot of each bucket of keys; a batch reads and writes
+    those that its own keys fall into.
     """
     spark = reads.sparkSession
 
     def absorb(batch: DataFrame, number: int) -> None:
-        before = latest(spark, out, number)
-        rows = batch if before is None else batch.unionByName(before.select(batch.columns))
+        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("token_address", "address"), F.lit(buckets)).cast("int")).persist()
+        touched = _buckets(keyed)
+        before = latest(spark, out, number, touched)
+        if before is not None:
+            bucket = F.pmod(F.xxhash64("token_address", "address"), F.lit(buckets)).cast("int")
+            keyed = keyed.unionByName(before.select(batch.columns).withColumn("bucket", bucket))
         order = F.struct("block_number", "arrival")
-        best = rows.groupBy("token_address", "address").agg(F.max_by("balance", order).alias("balance"), F.max(order).alias("m"))
-        _store(best.select("token_address", "address", "balance", "m.block_number", "m.arrival"), out, number)
+        best = keyed.groupBy("bucket", "token_address", "address").agg(F.max_by("balance", order).alias("balance"), F.max(order).alias("m"))
+        _store(best.select("token_address", "address", "balance", "m.block_number", "m.arrival", "bucket"), out, number)
+        _tidy(spark, out, number, touched)
 
     return reads.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -98,16 +151,6 @@ def daily_fold_step(blocks: DataFrame, txs: DataFrame, transfers: DataFrame, acc
     return kept, reach
 
 
-def stream_transfers(logs: DataFrame) -> DataFrame:
-    """Transfers of a stream of logs: a stateless projection, the same as the batch one."""
-    return decode.transfer_decode(logs)
-
-
-def stream_token_counts(transfers: DataFrame) -> DataFrame:
-    """Running transfer counts by token of a stream of transfers."""
-    return transfers.groupBy("token_address").agg(F.count("*").alias("transfer_count"))
-
-
 def batch_twin(reads: DataFrame) -> DataFrame:
     """What current_balances_stream must agree with."""
     return rollups.current_balances(reads)

@@ -55,8 +55,19 @@ def test_traces(spark, tmp_path):
     assert [(r.address, r.bytecode) for r in made] == [("0xb", "60")]  # the one below a failed frame didn't last
     with pytest.raises(PySparkException):
         raw.trace_scan(spark, path, strict=True).collect()
-    with pytest.raises(PySparkException):
-        decode.flatten_frames(raw.trace_scan(spark, path), max_depth=1).collect()
+
+
+def test_deep_and_wide_traces(spark, tmp_path):
+    deep = frame("CREATE", "0x0")
+    for i in range(1, 200):
+        deep = frame("CALL", f"0x{i}", [deep])
+    wide = frame("CALL", "0xa", [frame("CALL", "0xb", [frame("CALL", f"0x{i}") for i in range(40)]) for _ in range(10)])
+    rows = [{"txHash": h, "blockNumber": 5, "timestamp": 7, "result": json.dumps(t)} for h, t in (("0x1", deep), ("0x2", wide), ("0x3", frame("CALL", "0xc")))]
+    got = decode.flatten_frames(raw.trace_scan(spark, write(tmp_path, "t.json", rows))).collect()
+    paths = {h: {r.trace_address for r in got if r.tx_hash == h} for h in ("0x1", "0x2", "0x3")}
+    assert paths["0x1"] == {",".join(["0"] * n) for n in range(1, 200)}
+    assert paths["0x2"] == {f"{i}" for i in range(10)} | {f"{i},{j}" for i in range(10) for j in range(40)}
+    assert paths["0x3"] == set()
 
 
 def test_creations_csv(spark, tmp_path):

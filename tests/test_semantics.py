@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from blockframe.functions import u256
 from blockframe.functions.chain import ZERO_ADDRESS
 from blockframe.operators import daily, decode, feeds, gaps, ledger, reorg, rollups
 
@@ -135,3 +137,80 @@ def test_range_algebra(spark):
     assert got == [(5, 6), (8, 9), (31, 31)]
     merged = gaps.range_merge(spark.createDataFrame([(1, 3), (4, 6), (8, 9), (8, 8)], "from_block long, to_block long"))
     assert sorted(map(tuple, merged.collect())) == [(1, 6), (8, 9)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_algebra_against_sets(spark):
+    r = random.Random(2)
+    stored = sorted(r.sample(range(5000), 1800))
+    ranges = [(0, 4999), (10, 10), (100, 350), (100, 350), (300, 900), (4990, 6100), (7000, 7000)] + [(n, n) for n in stored[:5]]
+    df, held = spark.createDataFrame(ranges, "from_block long, to_block long"), spark.createDataFrame([(n,) for n in stored], "number long")
+    got = gaps.range_split(df, held, bucket=64)
+    want = []
+    for a, b in set(ranges):
+        free = [n for n in range(a, b + 1) if n not in set(stored)]
+        want += [(x, y) for x, y in runs(free)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    merged = gaps.range_merge(df.unionByName(held.selectExpr("number as from_block", "number + 1 as to_block")), bucket=64)
+    covered = sorted({n for a, b in ranges for n in range(a, b + 1)} | set(stored) | {n + 1 for n in stored})
+    assert sorted(map(tuple, merged.collect())) == list(runs(covered))
+    assert "NestedLoop" not in plan(got) + plan(merged) and "Cartesian" not in plan(got)
+
+
+def runs(numbers):
+    start = None
+    for i, n in enumerate(numbers):
+        if start is None:
+            start = n
+        if i + 1 == len(numbers) or numbers[i + 1] != n + 1:
+            yield start, n
+            start = None
+
+
+def test_range_split_of_one_range_with_many_blocks(spark):
+    held = spark.range(1_000_000).where("id % 7 <> 3").selectExpr("id as number")
+    got = gaps.range_split(spark.createDataFrame([(0, 999_999)], "from_block long, to_block long"), held)
+    assert got.count() == 142_857 and got.where("from_block <> to_block or from_block % 7 <> 3").count() == 0
+
+
+def test_as_of_beyond_all_days(spark):
+    spans = spark.createDataFrame([("2024-01-01", 10, 40), ("2024-01-02", 45, 3000), ("2024-01-04", 3000, 9000)], "day string, lo long, hi long")
+    spans = spans.selectExpr("cast(day as date) day", "lo", "hi")
+    at = [0, 9, 10, 39, 40, 44, 45, 2999, 3000, 8999, 9000, 50000, None]
+    stats = spark.createDataFrame([(str(n), n) for n in at], "address string, first_seen long")
+    forward = {r.address: r.day and r.day.day for r in daily.address_day_asof(stats, spans).collect()}
+    back = {r.address: r.day and r.day.day for r in daily.address_day_asof_back(stats, spans).collect()}
+    assert [forward[str(n)] for n in at] == [1, 1, 1, 1, 2, 2, 2, 2, 4, 4, None, None, None]
+    assert [back[str(n)] for n in at] == [None, None, 1, 1, 1, 1, 2, 2, 4, 4, 4, 4, None]
+
+
+def test_amounts_beyond_38_digits(spark):
+    zero, big = "0x" + "0" * 40, 2**256 - 1
+    rows = [("t", zero, "a", str(big), 1), ("t", zero, "a", str(big), 2), ("t", "a", "b", str(2**255), 3), ("t", "b", zero, str(2**200), 4), ("u", zero, "a", "7", 5), ("u", "a", zero, "9", 6)]
+    moves = spark.createDataFrame(rows, "token_address string, from_address string, to_address string, v string, block_number long")
+    moves = moves.select("*", u256.from_decimal(F.col("v")).alias("value"), F.lit("ERC20").alias("token_type"))
+    shown = lambda df, c: df.withColumn(c, u256.to_decimal(F.col(c)))
+    totals = {r.token_address: r for r in shown(rollups.token_totals(moves), "supply").collect()}
+    assert (totals["t"].supply, totals["u"].supply) == (str(2 * big - 2**200), "-2")
+    held = rollups.balances_from_transfers(moves)
+    balances = {(r.token_address, r.address): r.balance for r in shown(held, "balance").collect()}
+    assert balances[("t", "a")] == str(2 * big - 2**255) and balances[("t", "b")] == str(2**255 - 2**200)
+    last = {(r.address, r.block_number): r.balance for r in shown(rollups.balances_from_transfers(moves, history=True), "balance").where("token_address = 't'").collect()}
+    assert last[("a", 2)] == str(2 * big) and last[("a", 3)] == str(2 * big - 2**255)
+    top = shown(feeds.token_holders(held, moves.selectExpr("'a' as address").limit(1), "t", 5), "balance").collect()
+    share = 100 * (2 * big - 2**255) / (2 * big - 2**200)
+    assert [r.address for r in top] == ["a", "b"] and abs(float(top[0].percentage) - share) < 1e-4 and top[0].is_contract
+    ten = moves.limit(1).select("token_address", F.explode(F.array_repeat(u256.literal(10**78 - 1), 20)).alias("value"), "from_address", "to_address", "token_type")
+    assert shown(rollups.token_totals(ten), "supply").first().supply == "9" * 78
+    burnt = ten.select("token_address", "value", "token_type", F.col("from_address").alias("to_address"), F.col("to_address").alias("from_address"))
+    assert shown(rollups.token_totals(burnt), "supply").first().supply == "-" + "9" * 78
+
+
+def test_shares_of_large_decimals(spark):
+    rows = [("t", "a", Decimal(3 * 10**33)), ("t", "b", Decimal(10**33)), ("t", "c", Decimal(1))]
+    held = spark.createDataFrame(rows, "token_address string, address string, balance decimal(38,0)")
+    got = feeds.token_holders(held, spark.createDataFrame([], "address string"), "t", 5).collect()
+    assert [float(r.percentage) for r in got] == [75.0, 25.0, 0.0]

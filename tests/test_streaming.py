@@ -32,7 +32,7 @@ def test_ingest_takes_each_block_once(spark, sf, tmp_path):
     # nothing new: the same files again change nothing; the rest waits
     ingest.ingest_blocks(spark, folder, out, ckpt, confirmations=12).awaitTermination()
     assert ingest.history(spark, out).count() == got.count()
-    assert ingest.latest(spark, f"{out}/waiting").count() == rows.where(F.col("number") > top - 12).count()
+    assert ingest.waiting(spark, out).count() == rows.where(F.col("number") > top - 12).count()
 
 
 def test_current_balances_equal_the_batch(spark, sf, tmp_path):
@@ -48,6 +48,25 @@ def test_current_balances_equal_the_batch(spark, sf, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_balances_touch_only_their_buckets(spark, tmp_path):
+    schema = "token_address string, address string, balance string, block_number long, arrival long"
+    out, folder = str(tmp_path / "out"), str(tmp_path / "reads")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        ingest.current_balances_stream(stream, out, str(tmp_path / "ckpt"), buckets=8).awaitTermination()
+        return {p.name: sorted(int(b.name[6:]) for b in p.iterdir() if b.is_dir()) for p in (tmp_path / "out").iterdir() if p.is_dir()}
+
+    run([("t", f"a{i}", "1", 1, 0) for i in range(100)])
+    for block in range(2, 5):
+        snapshots = run([("t", "a7", str(block), block, 0), ("t", "a7", "0", 0, 9)])
+    # only the bucket of a7 has new snapshots, and only the newest two of them are kept
+    assert sorted(map(len, snapshots.values())) == [1] * 7 + [2] and {max(v) for v in snapshots.values()} == {0, 3}
+    rows = {r.address: r for r in ingest.latest(spark, out).collect()}
+    assert len(rows) == 100 and (rows["a7"].balance, rows["a7"].block_number, rows["a8"].balance) == ("4", 4, "1")
+
+
 def test_fold_with_a_late_block_equals_the_batch(spark, sf):
     c = Chain(spark, sf)
     blocks, txs, moves = (df.persist() for df in (c.blocks.where("number < 97"), c.txs.where("block_number < 97"), c.transfers.where("block_number < 97")))
