@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockframe.llm import bpe, langid, mixing, pii, simhash
 from blockframe.llm.queries import VOCABULARY
-from blockframe.llm.runtime import shared_folder
+from blockframe.llm.runtime import remove, shared_folder
 
 #: Calibrated probability below which a language isn't taken as identified.
 LEAST_SCORE = 0.5
@@ -85,11 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that all stages leave of documents. Stages are written below the cluster's shared checkpoint folder."""
+    """The rows that all stages leave of documents. Stages are written below the cluster's shared checkpoint folder, and
+    removed once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if number:
+            remove(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
