@@ -5,8 +5,10 @@ a seed are lexical patterns ("two words before", "one before and one after"), an
 the same surroundings are candidate instances. Spark builds the graph of patterns and instances over all texts and
 scores it in rounds: a pattern by the mean score of the distinct instances it extracts, an instance by its patterns'
 noisy-or, seeds keeping the score 1 for their own kind. Strings that look like an identifier of another kind, or plain
-numbers, count against a pattern. Each round promotes at most `PROMOTED` patterns per kind that enough distinct seeds
-support, so what is sent to the executors is bounded; the last pass adds the candidates that a promoted pattern extracts.
+numbers, count against a pattern. An instance that reaches the confidence is a seed of the next round, so patterns that
+only found instances share are induced too. All patterns that enough distinct seeds support are promoted. The last pass
+adds the candidates that a promoted pattern extracts: by a set on the executors while patterns are few, by a join with the
+candidates' surroundings beyond.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from .runtime import add_columns, bound_batches, cut, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: Patterns promoted per kind and round.
-PROMOTED = 200
-#: Distinct seeds that a pattern must extract, and the score it needs.
+#: Promoted patterns that are sent to the executors; more are joined.
+SENT = 50_000
+#: Distinct seeds that a pattern must extract, and the score that it, or an instance, needs.
 SUPPORT = 5
 CONFIDENCE = 0.7
 
@@ -151,8 +153,8 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     return left.withColumn("k_", k).join(right.withColumn("k_", k), ["k_", *keys], how).drop("k_")
 
 
-def learn_patterns(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, promoted: int = PROMOTED, support: int = SUPPORT, confidence: float = CONFIDENCE) -> dict[str, frozenset[str]]:
-    """Promoted patterns by kind, at most rounds x promoted of each.
+def learn_patterns(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(kind, pattern): all promoted patterns.
 
     The graph holds a row for each distinct (pattern, instance). A pattern is scored for each kind of seed it extracts:
     the sum of its instances' scores for that kind over the number of instances it extracts of any kind.
@@ -160,28 +162,58 @@ def learn_patterns(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, pr
     bound_batches(docs.sparkSession)
     graph = cut(_occurrences(docs.select(F.col(text).alias("text"))).distinct())
     per = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    seeded = graph.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    seeded = cut(seeded.where(F.col("seeds") >= support).join(per, "pattern"))
-    unknown = cut(_on(graph.where("not seed"), seeded.select("pattern", "kind"), ["pattern", "kind"]))
-    found: dict[str, set[str]] = {k: set() for k in KINDS}
-    if seeded.isEmpty():
-        return {k: frozenset() for k in KINDS}
-    gained = unknown.select("pattern", "kind").limit(0).withColumn("gain", F.lit(0.0))
+    seeds = graph.where("seed").select("kind", "value", F.lit(1.0).alias("worth")).distinct()
+    promoted = graph.select("kind", "pattern").limit(0)
+    worth = seeds
     for _ in range(rounds):
-        scored = seeded.join(gained, ["pattern", "kind"], "left").select(
-            "pattern", "kind", "seeds", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).alias("score")
-        )
-        for kind in KINDS:
-            best = scored.where((F.col("kind") == kind) & (F.col("score") >= confidence)).where(~F.col("pattern").isin(sorted(found[kind])))
-            best = best.orderBy(F.desc("score"), F.desc("seeds"), "pattern").limit(promoted)
-            found[kind] |= {r[0] for r in best.select("pattern").collect()}
-        # an instance is scored by the patterns that extract it, a pattern gains what its instances are worth
-        scored = scored.select("pattern", "kind", F.least("score", F.lit(0.99)).alias("score"))
-        worth = _on(unknown, scored, ["pattern", "kind"]).groupBy("kind", "value").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("worth")
-        )
-        gained = cut(_on(unknown, worth, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("worth").alias("gain")))
-    return {k: frozenset(v) for k, v in found.items()}
+        drawn = _on(graph.select("pattern", "kind", "value"), worth, ["kind", "value"])
+        scored = drawn.groupBy("pattern", "kind").agg(F.count_if(F.col("worth") >= confidence).alias("seeds"), F.sum("worth").alias("gain"))
+        scored = scored.where(F.col("seeds") >= support).join(per, "pattern")
+        scored = cut(scored.select("pattern", "kind", (F.col("gain") / F.col("n")).alias("score")))
+        if scored.isEmpty():
+            break
+        promoted = promoted.unionByName(scored.where(F.col("score") >= confidence).select("kind", "pattern"))
+        # an instance is worth its patterns' noisy-or
+        found = _on(graph.where("not seed"), scored.withColumn("score", F.least("score", F.lit(0.99))), ["pattern", "kind"])
+        found = found.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("worth"))
+        worth = cut(seeds.unionByName(found.join(seeds, ["kind", "value"], "left_anti")))
+    return cut(promoted.distinct())
+
+
+def _prepared(df: DataFrame, text: str, patterns: DataFrame) -> tuple[DataFrame, dict[str, frozenset[str]], str | None]:
+    """(rows, patterns to send, column of spans that the others add): the last only where patterns are too many to send."""
+    bound_batches(df.sparkSession)
+    if patterns.limit(SENT + 1).count() <= SENT:
+        known = patterns.collect()
+        return df, {k: frozenset(r.pattern for r in known if r.kind == k) for k in KINDS}, None
+    # the candidates' surroundings meet the patterns in a join, and a text gets its spans back by two hashes of it
+    key = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")]
+    placed = df.select(*key, F.col(text).alias("text")).mapInArrow(_placed, "h1 long, h2 long, kind string, pattern string, start int, end int")
+    hits = _on(placed, patterns, ["kind", "pattern"]).select("h1", "h2", "kind", "start", "end").distinct()
+    hits = hits.groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))  # a text's own
+    extra = _unused(df, "more")
+    hits = hits.select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), F.col("more").alias(extra))
+    joined = df.join(hits, (key[0] == F.col("h1_")) & (key[1] == F.col("h2_")), "left")
+    return joined.select(*(joined[c] for c in df.columns), extra), {k: frozenset() for k in KINDS}, extra
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _placed(batches):
+    """(h1, h2, kind, pattern, start, end) of the candidates of texts(h1, h2, text)."""
+    for batch in batches:
+        rows = []
+        for h1, h2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            text = text or ""
+            for start, kind, end in candidate_spans(text, base_spans(text)):
+                rows += [(h1, h2, KINDS[kind], pattern, start, end) for pattern in contexts(text, start, end)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h1", "h2", "kind", "pattern", "start", "end"])
 
 
 def find_all(text: str, patterns: dict[str, frozenset[str]]) -> tuple[list[Span], list[Span]]:
@@ -199,41 +231,55 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find(df: DataFrame, patterns: dict[str, frozenset[str]], text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
-    """df with the base spans and all spans of each whole text: arrays of (kind, start, end) in code points, end exclusive.
+def _mapped(df: DataFrame, text: str, patterns: DataFrame, outputs: list[T.StructField], make) -> DataFrame:
+    """df with outputs computed by make(text, base spans, all spans) -> a value per output."""
+    rows, sent, extra = _prepared(df, text, patterns)
+    types = [_ARROW if f.dataType == SPANS else pa.string() for f in outputs]
 
-    Ordered by start, then kind as in `KINDS`. A null or empty text has none. Other columns pass through; columns
-    named as the outputs are replaced.
-    """
+    def both(x: str, more: list | None) -> tuple[list[Span], list[Span]]:
+        base, spans = find_all(x, sent)
+        return base, sorted({*spans, *((m["start"], KINDS.index(m["kind"]), m["end"]) for m in more)}) if more else spans
 
-    def make():
-        def run(column: pa.Array) -> list[pa.Array]:
-            got = [find_all(x, patterns) for x in texts(column)]
-            rows = [[[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in part] for part in both] for both in got]
-            return [pa.array([r[i] for r in rows], type=_ARROW) for i in (0, 1)]
+    def run_all():
+        def run(column: pa.Array, more: pa.Array | None = None) -> list[pa.Array]:
+            joined = more.to_pylist() if more is not None else [None] * len(column)
+            made = [make(x, *both(x or "", m)) for x, m in zip(column.to_pylist(), joined, strict=True)]
+            return [pa.array([r[i] for r in made], type=t) for i, t in enumerate(types)]
 
         return run
 
-    bound_batches(df.sparkSession)
-    return add_columns(df, [text], [T.StructField(base, SPANS), T.StructField(spans, SPANS)], make)
+    if extra is None:
+        return add_columns(rows, [text], outputs, run_all)
+    return add_columns(rows, [text, extra], outputs, run_all).drop(extra)
 
 
-def redact(df: DataFrame, patterns: dict[str, frozenset[str]], text: str = "text") -> DataFrame:
+def find(df: DataFrame, patterns: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
+    """df with the base spans and all spans of each whole text: arrays of (kind, start, end) in code points, end exclusive.
+
+    patterns are those of learn_patterns. Ordered by start, then kind as in `KINDS`. A null or empty text has none. Other
+    columns pass through; columns named as the outputs are replaced.
+    """
+
+    def make(_, *both):
+        return [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in part] for part in both]
+
+    return _mapped(df, text, patterns, [T.StructField(base, SPANS), T.StructField(spans, SPANS)], make)
+
+
+def redact(df: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """df with each span of its texts replaced by its kind in angle brackets; overlapping spans become one, the first's.
 
     A null text stays null. Other columns pass through; the text column moves to the end of the schema.
     """
 
-    def clean(x: str) -> str:
+    def make(x: str | None, _, spans: list[Span]):
+        if x is None:
+            return [None]
         out, at = [], 0
-        for start, kind, end in find_all(x, patterns)[1]:
+        for start, kind, end in spans:
             if start >= at:
                 out += [x[at:start], f"<{KINDS[kind].upper()}>"]
             at = max(at, end)
-        return "".join([*out, x[at:]])
-
-    def make():
-        return lambda column: [pa.array([None if x is None else clean(x) for x in column.to_pylist()], type=pa.string())]
+        return ["".join([*out, x[at:]])]
 
-    bound_batches(df.sparkSession)
-    return add_columns(df, [text], [T.StructField(text, T.StringType())], make)
+    return _mapped(df, text, patterns, [T.StructField(text, T.StringType())], make)

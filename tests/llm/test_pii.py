@@ -63,7 +63,7 @@ def test_patterns_find_what_the_base_misses(spark):
     docs = contextual_docs()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     patterns = pii.learn_patterns(df)
-    assert "phone: _" in patterns["phone"]
+    assert ("phone", "phone: _") in {tuple(r) for r in patterns.collect()}
     found = {r.doc_id: (r.base_spans, r.spans) for r in pii.find(df, patterns).collect()}
     for i, text in enumerate(docs):
         base, spans = found[i]
@@ -75,9 +75,54 @@ def test_patterns_find_what_the_base_misses(spark):
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "mail a.b@c.de now", "x")], "doc_id long, text string, spans string")
     patterns = pii.learn_patterns(df)
-    assert not any(patterns.values())
+    assert patterns.collect() == []
     rows = sorted(pii.find(df, patterns).collect(), key=lambda r: (r.doc_id, len(r.spans)))
     assert [[tuple(s) for s in r.spans] for r in rows] == [[], [], [("email", 5, 13)]]
     clean = sorted((r.doc_id, r.text) for r in pii.redact(df, patterns).where("text is not null").collect())
     assert clean == [(2, ""), (2, "mail <EMAIL> now")]
     assert pii.find(df.limit(0), pii.learn_patterns(df.limit(0))).collect() == []
+
+
+def test_found_instances_induce_patterns(spark):
+    """Numbers that a label's pattern finds occur after other words too, where no seed does; so do numbers only found there."""
+    r = random.Random(3)
+    docs = contextual_docs()
+    found = [re.search(r"phone: (0\d+ \d+)", x).group(1) for x in docs[40:50]]
+    docs += [f"please ring the office at {x} before noon" for x in found]
+    docs += [f"please ring the office at 0{r.randint(10, 99)} {r.randint(1000000, 9999999)} before noon" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    patterns = pii.learn_patterns(df)
+    assert ("phone", "office at _") in {tuple(x) for x in patterns.collect()}
+    one = pii.learn_patterns(df, rounds=1)
+    assert ("phone", "office at _") not in {tuple(x) for x in one.collect()}
+    added = {x.doc_id for x in pii.find(df, patterns).collect() if len(x.spans) > len(x.base_spans)}
+    assert added == set(range(40, 50)) | set(range(80, 93))
+
+
+def test_many_patterns_are_joined(spark, monkeypatch):
+    docs = contextual_docs()
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(docs)] + [(99, None, None), (5, docs[45], None)], "doc_id long, text string, more string")
+    patterns = pii.learn_patterns(df)
+    want = sorted((x.doc_id, x.spans) for x in pii.find(df, patterns).collect())
+    clean = sorted((x.doc_id, x.text or "") for x in pii.redact(df, patterns).collect())
+    monkeypatch.setattr(pii, "SENT", 0)
+    joined = pii.find(df, patterns)
+    assert joined.columns == ["doc_id", "text", "more", "base_spans", "spans"]
+    assert sorted((x.doc_id, x.spans) for x in joined.collect()) == want
+    assert sorted((x.doc_id, x.text or "") for x in pii.redact(df, patterns).collect()) == clean
+
+
+def test_query_base_spans(spark, sf):
+    from hashlib import sha256
+
+    from blockframe.llm.queries import op4_pii
+
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op4_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        base = [(pii.KINDS[k], s, e) for s, k, e in naive(texts[x.doc_id])]
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert x.base_sha256 == sha256(listed.encode()).hexdigest()
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.KINDS]
+        assert set(listed.split(",")) <= set(x.spans.split(","))
