@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chain import day_of
+from ..functions.chain import day_of, epoch_of
 
 #: Additive columns of a day, from blocks, transactions and transfers.
 BLOCK_PARTS = ("blocks", "gas_used", "size_sum", "size_n", "gap_sum", "gap_n")
@@ -240,13 +240,18 @@ def stale_days(blocks: DataFrame, acc: DataFrame, watermark: int) -> DataFrame:
 def recount_days(blocks: DataFrame, txs: DataFrame, transfers: DataFrame, days: DataFrame, watermark: int) -> DataFrame:
     """Additive columns of the listed days from rows at or below the watermark; the block before a day still pairs."""
     wanted = F.broadcast(days.select("day").distinct())  # a row per stale day
-    below = blocks.where(F.col("number") <= watermark)
+    # the days' ends, and then their blocks', as constants that reach the scans
+    first, last = days.select(epoch_of(F.col("day")).alias("e")).agg(F.min("e"), F.max("e")).first()
+    within = lambda time: F.lit(False) if first is None else F.col(time).between(first, last + 86_399)
+    below = blocks.where((F.col("number") <= watermark) & within("timestamp"))
     own = below.join(wanted, day_of(F.col("timestamp")) == wanted["day"], "left_semi")
     # the blocks before those of other days are needed for their times only
-    ahead = below.join(own.select((F.col("number") - 1).alias("number")), "number", "left_semi").select("number", "timestamp")
+    low, high = own.agg(F.min("number") - 1, F.max("number")).first()
+    near = blocks.where(F.lit(False) if low is None else F.col("number").between(low, high))
+    ahead = near.join(own.select((F.col("number") - 1).alias("number")), "number", "left_semi").select("number", "timestamp")
     b = daily_blocks(own, ahead)
-    t = txs.where(F.col("block_number") <= watermark).join(wanted, day_of(F.col("block_timestamp")) == wanted["day"], "left_semi")
-    m = transfers.where(F.col("block_number") <= watermark).join(wanted, day_of(F.col("timestamp")) == wanted["day"], "left_semi")
+    t = txs.where((F.col("block_number") <= watermark) & within("block_timestamp")).join(wanted, day_of(F.col("block_timestamp")) == wanted["day"], "left_semi")
+    m = transfers.where((F.col("block_number") <= watermark) & within("timestamp")).join(wanted, day_of(F.col("timestamp")) == wanted["day"], "left_semi")
     joined = b.join(daily_txs(t), "day", "left").join(daily_active(t), "day", "left").join(daily_transfers(m), "day", "left")
     zero = ("tx_count", "success", "failed", "active_addresses", "transfer_count")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"price_sum": F.coalesce("price_sum", F.lit(0).cast("decimal(38,0)"))})

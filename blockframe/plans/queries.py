@@ -371,3 +371,36 @@ query("ingest_rate", "--bare\nSELECT CAST(epoch(date_trunc('hour', ts)) AS BIGIN
         fixtures.read(c.spark, c.sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count_distinct("event_type").alias("kinds")), "hour"
     ).withColumns({"hour": F.unix_timestamp(F.col("hour").cast("timestamp")), "rows_per_second": F.col("rows_per_second").cast("double")})
 )
+
+# --- scalar functions, each over a whole table ----------------------------------------------------------------------
+
+query("hex_quantity", "SELECT hash, gas_price AS quantity, CAST(gas_price AS VARCHAR) AS wide FROM f_tx")(
+    lambda c: c.txs.select("hash", F.concat(F.lit("0X"), F.hex("gas_price")).alias("h")).select(
+        "hash", fn.hex_to_long(F.col("h")).alias("quantity"), u256.to_decimal(u256.from_hex(F.col("h"))).alias("wide"))
+)
+query("topic_address", "SELECT tx_hash, CAST(log_index AS BIGINT) AS log_index, from_address, to_address FROM f_transfers")(
+    lambda c: c.logs.select("tx_hash", F.col("log_index").cast("long").alias("log_index"), fn.topic_address(F.upper("topic1")).alias("from_address"), fn.topic_address(F.col("topic2")).alias("to_address"))
+)
+query("epoch_and_day", "SELECT number, day, CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) AS midnight FROM days")(
+    lambda c: c.blocks.select("number", fn.day_of(F.col("timestamp")).alias("day"), fn.epoch_of(fn.day_of(F.col("timestamp"))).alias("midnight"))
+)
+query("address_buckets", "SELECT token_address, CAST(12 AS INTEGER) AS bucket, count(*) AS n FROM f_transfers GROUP BY token_address")(
+    # tokens begin with 0x70c; from its third digit on, after a zero, the first byte is 12
+    lambda c: c.transfers.select("token_address", F.concat(F.lit("0x0"), F.substring("token_address", 5, 36)).alias("a"))
+    .where((F.col("a") >= fn.bucket_bounds(12)[0]) & (F.col("a") < fn.bucket_bounds(12)[1])).groupBy("token_address", fn.address_bucket(F.col("a")).alias("bucket")).agg(F.count("*").alias("n"))
+)
+query("labels", "SELECT hash, concat(left(hash, 10), '...', right(hash, 6)) AS short, right(from_address, 9) AS same, split_part(concat('tx', tx_type, ' of ', block_number), ' ', 1) AS symbol FROM f_tx")(
+    lambda c: c.txs.select("hash", fn.short_label(F.col("hash")).alias("short"), fn.short_label(F.right("from_address", F.lit(9))).alias("same"), fn.symbol_of(F.concat(F.lit("tx"), "tx_type", F.lit(" of "), "block_number")).alias("symbol"))
+)
+query("numeric_words", "SELECT hash, regexp_full_match(right(to_address, 3), '[0-9]+') AS digits, regexp_full_match(hash, '[0-9]+') AS words FROM f_tx WHERE to_address IS NOT NULL")(
+    lambda c: c.txs.where("to_address is not null").select("hash", fn.is_numeric(F.right("to_address", F.lit(3))).alias("digits"), fn.is_numeric(F.col("hash")).alias("words"))
+)
+query("gas_in_gwei", "SELECT hash, gas_price / 1e9 AS gwei, greatest(gas_used - 21500, 0) AS above FROM f_tx")(
+    lambda c: c.txs.select("hash", fn.gwei(F.col("gas_price")).alias("gwei"), fn.floor_zero(F.col("gas_used") - 21500).alias("above"))
+)
+query("bytecode_hash", "SELECT tx_hash, trace_address, lpad(right(substr(output, 3), 64), 64, '0') AS hash FROM f_frames WHERE output IS NOT NULL")(
+    lambda c: c.frames.where("output is not null").select("tx_hash", "trace_address", fn.bytecode_hash(F.col("output")).alias("hash"))
+)
+query("enclosing_paths", "SELECT f.tx_hash, f.trace_address, g.p AS around FROM f_frames f JOIN (VALUES (''), ('0'), ('1'), ('1,0'), ('2')) g(p) ON (g.p = '' AND f.trace_address <> '') OR (g.p <> '' AND starts_with(f.trace_address, concat(g.p, ',')))")(
+    lambda c: c.frames.select("tx_hash", "trace_address", F.explode(fn.enclosing_paths(F.col("trace_address"))).alias("around"))
+)
