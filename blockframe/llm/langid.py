@@ -267,7 +267,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """df with the language of each whole text and its calibrated probability.
 
-    A text that is null, or has no letter, is `UNDETERMINED` with score 0. Other columns pass through; columns named as
+    A text that is null, or has no letter, is `UNDETERMINED` with score 0. Texts of any length are read whole, each row by
+    itself, so repeated rows get the same; of languages with equal probability the first by name is taken. Other columns pass through; columns named as
     the outputs are replaced. The model's size is buckets x languages, whatever the data's.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -62,6 +62,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     mask = WORD_BUCKETS - 1
     at = np.fromiter((crc32(w.encode("utf-8", "replace")) & mask for w in count), dtype=np.int32, count=len(count))
     x = np.log1p(np.fromiter(count.values(), dtype=np.float64, count=len(count)))
+    at, place = np.unique(at, return_inverse=True)  # words that share a bucket are one feature
+    x = np.bincount(place, weights=x, minlength=len(at))
     x /= max(1e-9, float(np.sqrt(x @ x)))
     own = np.arange(WORD_BUCKETS, WORD_BUCKETS + len(stats), dtype=np.int32)
     return np.concatenate([at, own]), np.concatenate([x, stats]).astype(np.float32)
@@ -96,7 +98,6 @@ def _fit(rows, epochs: int = 6, rate: float = 0.08, l2: float = 1e-5) -> Machine
             g = 1 / (1 + np.exp(-np.clip(s, -60, 60))) - y
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
-            # a bucket may come twice in a row (two words); the last of its updates stays, as in lock-free training
             dw = g * x + l2 * w[at]
             gw[at] += dw * dw
             w[at] -= rate * dw / np.sqrt(gw[at])
@@ -127,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def score(df: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
     """df with the score (0 to 1, higher is better) of each whole text; a null text counts as empty.
 
-    Other columns pass through; one named as the output is replaced. The machine's size doesn't depend on the data.
+    Texts of any length are scored whole, each row by itself, so repeated rows score alike. Other columns pass through; one named as the output is replaced. The machine's size doesn't depend on the data.
     """
     sent = df.sparkSession.sparkContext.broadcast(machine)
 
