@@ -102,3 +102,12 @@ def test_edge_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 9]
     assert simhash.near_duplicates(df.limit(0)).collect() == []
     assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_query_against_all_pairs(spark, sf):
+    from blockframe.llm.queries import op1_simhash
+
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    prints = [(i, naive_fingerprint(t)) for i, t in texts]
+    want = [(i, f"{p:016x}", c) for (i, p), c in zip(prints, naive_components(prints))]
+    assert sorted(map(tuple, op1_simhash(spark, sf).collect())) == want
