@@ -63,7 +63,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     at = np.fromiter((crc32(w.encode("utf-8", "replace")) & mask for w in count), dtype=np.int32, count=len(count))
     x = np.log1p(np.fromiter(count.values(), dtype=np.float64, count=len(count)))
     at, place = np.unique(at, return_inverse=True)  # words that share a bucket are one feature
-    x = np.bincount(place, weights=x, minlength=len(at))
+    x = np.bincount(place, weights=x, minlength=len(at)).astype(np.float64)
     x /= max(1e-9, float(np.sqrt(x @ x)))
     own = np.arange(WORD_BUCKETS, WORD_BUCKETS + len(stats), dtype=np.int32)
     return np.concatenate([at, own]), np.concatenate([x, stats]).astype(np.float32)
