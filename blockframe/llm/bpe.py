@@ -77,8 +77,6 @@ class Bpe:
         self.memo = Memo()
         self.made: dict[int, tuple[int, int] | None] = {}
         self.unmade: set[int] = set()
-        self.joined = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merging step by step down to so many parts; quadratic, for the few bytes of a token."""
@@ -184,11 +182,21 @@ class Bpe:
 
     def decode(self, ids) -> bytes:
         """The bytes of a sequence of ids; an id outside the vocabulary raises KeyError."""
-        return self.decode_flat(np.asarray(ids, dtype=np.int64))[0].tobytes()
+        return b"".join(self.tokens[i] for i in ids)
+
+
+class Bytes:
+    """The bytes of token ids; no more than that, so that a worker that only decodes holds no automaton."""
+
+    def __init__(self, ranks: bytes):
+        tokens = {int(b): base64.b64decode(a) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        listed = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.joined = np.frombuffer(b"".join(listed), dtype=np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int64)
 
     def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in one array, and where each id's bytes begin and end in it."""
-        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.length)):
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.starts) - 1):
             raise KeyError("a token id outside the vocabulary")
         sizes = self.starts[ids + 1] - self.starts[ids]
         if len(ids) and not sizes.all():
@@ -203,11 +211,15 @@ def _vocabulary(ranks: bytes, pattern: str) -> Bpe:
     return Bpe(ranks, pattern)
 
 
-def _shared(df: DataFrame, path: str, pattern: str):
+@cache
+def _bytes(ranks: bytes) -> Bytes:
+    return Bytes(ranks)
+
+
+def _sent(df: DataFrame, path: str):
     """The rank file, read by the driver and sent to the executors: its size is the vocabulary's, not the data's."""
     with open(path, "rb") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: _vocabulary(sent.value, pattern)
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -215,10 +227,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     Other columns pass through; one named as the output is replaced. Texts of any length are encoded whole.
     """
-    vocabulary = _shared(df, path, pattern)
+    sent = _sent(df, path)
 
     def make():
-        bpe = vocabulary()
+        bpe = _vocabulary(sent.value, pattern)
 
         def run(column: pa.Array) -> list[pa.Array]:
             flat, ends = array("i"), [0]
@@ -236,15 +248,15 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the bytes of an array<int> column of token ids. Null ids count as none; an unknown id raises KeyError."""
-    vocabulary = _shared(df, path, pattern)
+    vocabulary = _sent(df, path)
 
     def make():
-        bpe = vocabulary()
+        known = _bytes(vocabulary.value)
 
         def run(column: pa.Array) -> list[pa.Array]:
             whole = column
             rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(whole), 0).to_numpy())])
-            data, ends = bpe.decode_flat(whole.flatten().to_numpy().astype(np.int64))
+            data, ends = known.decode_flat(whole.flatten().to_numpy().astype(np.int64))
             offsets = pa.py_buffer(ends[rows].astype(np.int32).tobytes())
             return [pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, offsets, pa.py_buffer(data.tobytes())])]
 

@@ -8,9 +8,10 @@ Verification without all pairs of a band. First each distinct unit ("node") is h
 the exact Jaccard similarity of the shingle sets; of near copies most are linked so already. A band whose nodes all lie in
 one component then needs no more. The nodes of the others are compared by prefix filtering, which is exact: with the
 shingles in order of rarity, two sets of similarity s share one of the first n - ceil(s n) + 1 of each, so nodes that each
-have rare shingles of their own, such as the edited units of a crowd of copies, never meet. Where nodes still share such a
-shingle, those outside the largest component are compared with all others in blocks of bounded size; a pair that earlier
-links have joined is skipped, and only a block's forest of links leaves its task.
+have rare shingles of their own, such as the edited units of a crowd of copies, never meet. Pairs of few nodes that share
+such a shingle are counted first, and verified only if they share enough of them. Where many nodes share one, those outside
+the largest component are compared with all others in blocks of bounded size; a pair that earlier links have joined is
+skipped, and only a block's forest of links leaves its task.
 
 Units are written once as a table in the shared checkpoint folder; a second pass over the texts fetches the shingles of
 those units only that a bitmap of fixed size doesn't rule out.
@@ -29,8 +30,10 @@ from .runtime import bound_batches, cut, discard, written
 
 SIMILARITY = 0.8
 #: Nodes with a rare shingle in common up to which they are joined pairwise; beyond, so many are one side of a block.
-PAIR_LIMIT = 12
+PAIR_LIMIT = 32
 BLOCK = 128
+#: Nodes of the other side that a task holds.
+PART = 4096
 #: The bitmap that rules out units has 2^BITMAP bits (8 MB), whatever the size of the corpus. A full one rules out nothing.
 BITMAP = 26
 #: The same for a join: 2^JOIN_BITMAP bits on 262,144 rows at most, which are broadcast.
@@ -155,10 +158,9 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links between the two sides of a block: rows(token, block, side, node, component, shingles).
+    """Links between the two sides of a block: rows(token, block, part, side, node, component, shingles).
 
-    Side 0 holds the BLOCK nodes at most that are compared with each other and with side 1, which may be of any size:
-    it's read in order and needs a set at a time.
+    Side 0 holds some BLOCK nodes, which are compared with each other and with side 1, some PART nodes.
     """
 
     def compare(table: pa.Table) -> pa.Table:
@@ -188,7 +190,7 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
                 held.append((node, part, mine))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return rows.groupBy("token", "block").applyInArrow(compare, "src long, dst long")
+    return rows.groupBy("token", "block", "part").applyInArrow(compare, "src long, dst long")
 
 
 def _rest(members: DataFrame, shingles: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -205,24 +207,38 @@ def _rest(members: DataFrame, shingles: DataFrame, groups: DataFrame, similarity
     # shingles of one node only never meet another, but they take their places in its prefix
     shared = F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared")
     shared = _on(tokens, common, "token").groupBy("node", "component", "size").agg(shared)
-    prefix = F.size("shared") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    # of the first n - ceil(s n) + 1 of a set; tail is what lies behind them
+    tail = F.ceil(F.lit(similarity) * F.col("size") - 1e-9) - 1
+    prefix = F.size("shared") - tail
     listed = F.transform(F.slice("shared", F.lit(1), prefix.cast("int")), lambda x: x["token"])
-    first = cut(shared.where(prefix > 0).select("node", "component", F.explode(listed).alias("token")))
+    first = cut(shared.where(prefix > 0).select("node", "component", "size", tail.cast("int").alias("tail"), F.explode(listed).alias("token")))
     by_token = first.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token")
     by_token = by_token.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).where("most.n < all")
     met = cut(_on(first, by_token.select("token", F.col("most.component").alias("major"), (F.col("all") - F.col("most.n")).alias("others"), "all"), "token"))
-    few = met.where(F.col("all") <= PAIR_LIMIT).select("token", "node", "component")
+    few = met.where(F.col("all") <= PAIR_LIMIT)
+    # two sets share the tokens counted here, at most those of crowds that each has, and what lies behind one's prefix
+    crowded = first.select("token", "node").join(few.select("token").distinct(), "token", "left_anti").groupBy("node").agg(F.count("*").alias("crowded"))
+    facts = first.select("node", "size", "tail").distinct().join(crowded, "node", "left").select("node", F.struct("size", "tail", F.coalesce("crowded", F.lit(0)).alias("crowded")).alias("of"))
     a, b = (few.select("token", F.col("node").alias(n), F.col("component").alias(f"{n}_part")) for n in ("src", "dst"))
-    pairs = _on(a, b, "token").where("src < dst and src_part <> dst_part").select("src", "dst").distinct()
+    pairs = _on(a, b, "token").where("src < dst and src_part <> dst_part").groupBy("src", "dst").agg(F.count("*").alias("both"))
+    for n in ("src", "dst"):
+        pairs = _on(pairs, facts.select(F.col("node").alias(n), F.col("of").alias(f"{n}_")), n)
+    most = F.col("both") + F.least("src_.crowded", "dst_.crowded") + F.greatest("src_.tail", "dst_.tail")
+    sizes = F.col("src_.size") + F.col("dst_.size")
+    pairs = pairs.where(most * (1 + similarity) >= similarity * sizes - 1e-6).select("src", "dst")
     links = _verified(pairs, shingles, similarity)
     met = met.where(F.col("all") > PAIR_LIMIT)
     blocks = F.ceil(F.col("others") / BLOCK).cast("int")
     own = F.when(F.col("component") != F.col("major"), F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    met = met.select("token", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    parts = F.ceil(F.col("all") / PART).cast("int").alias("parts")
+    met = met.select("token", "node", "component", own.alias("own"), parts, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     # a block's own nodes are one side; nodes of the largest component, and of later blocks, are the other
     met = met.where(F.col("own").isNull() | (F.col("own") >= F.col("block")))
     met = met.withColumn("side", F.when(F.col("own") == F.col("block"), 0).otherwise(1))
-    crowds = _compared(_on(met.select("token", "block", "side", "node", "component"), shingles, "node"), similarity)
+    # the other side is cut into parts, each of which meets the whole block
+    dealt = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    met = met.withColumn("part", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(dealt)))
+    crowds = _compared(_on(met.select("token", "block", "part", "side", "node", "component"), shingles, "node"), similarity)
     found = cut(links.unionByName(crowds))
     discard(nodes)
     return found

@@ -28,7 +28,9 @@ REACH = 25
 PARAGRAPH_BANDS = (8, 3)
 WHOLE_BANDS = (18, 3)
 #: Code points that are worked on at once; one text of any length is always whole.
-_CHUNK = 1_000_000
+_CHUNK = 200_000
+#: Words whose letters are hashed at once.
+_WORDS = 40_000
 _RECENT = 1 << 17
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPACE = np.zeros(0x3002, dtype=bool)  # no white space beyond; the last entry stands for all that follows
@@ -139,7 +141,10 @@ class Cutter:
         """(hash, text, start, end, line) of each lower-cased word of some texts; start and end are code points of its text."""
         lowered = [x.lower() for x in chunk]
         points, starts, ends = _points("\n".join(lowered))
-        hashes = self._polynomial(0, points.astype(np.uint64), starts, ends)
+        hashes = np.empty(len(starts), dtype=np.uint64)
+        for i in range(0, len(starts), _WORDS):  # so that a text of any length takes a few bytes a letter
+            a, b = starts[i : i + _WORDS], ends[i : i + _WORDS]
+            hashes[i : i + _WORDS] = self._polynomial(0, points[a[0] : b[-1]].astype(np.uint64), a - a[0], b - a[0])
         begins = np.cumsum([0, *(len(x) + 1 for x in lowered)])[:-1]
         owner = np.searchsorted(begins, starts, "right") - 1
         lines = np.searchsorted(np.flatnonzero(points == 10), starts)

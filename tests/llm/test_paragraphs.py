@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from blockframe.llm import paragraphs, passages
 
@@ -98,8 +99,11 @@ def mutated(words, random_, edits):
     return words
 
 
-def test_near_paragraphs_match_all_pairs(spark):
+@pytest.mark.parametrize("sizes", [{}, {"PAIR_LIMIT": 3, "BLOCK": 5, "PART": 7}])
+def test_near_paragraphs_match_all_pairs(spark, monkeypatch, sizes):
     """One paragraph a text, so that components of all pairs are known; a crowd of near copies among them."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(paragraphs, name, size)
     r = random.Random(9)
     known = vocabulary(r)
     base = [[r.choice(known) for _ in range(60)] for _ in range(12)]
