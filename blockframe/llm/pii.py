@@ -93,16 +93,32 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans)
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of (start, end) as intervals that don't meet, by start."""
+    found: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if found and start < found[-1][1]:
+            found[-1] = found[-1][0], max(end, found[-1][1])
+        else:
+            found.append((start, end))
+    return found
+
+
 def candidate_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifier-like strings clear of base spans and of each other, the earlier kind first."""
-    taken, found = sorted((s, e) for s, _, e in base), []
+    """Identifier-like strings clear of base spans and of each other, the earlier kind first; one sweep for each kind."""
+    found: list[Span] = []
     if not ("at" in text and ("[" in text or "(" in text or "{" in text)) and not _DIGIT.search(text):
         return found
+    taken = _disjoint([(s, e) for s, _, e in base])
     for kind, (_, pattern) in enumerate(_CANDIDATES):
-        for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                found.append((m.start(), kind, m.end()))
-                taken.append((m.start(), m.end()))
+        place, fresh = 0, []
+        for m in pattern.finditer(text):  # by start, and never overlapping
+            while place < len(taken) and taken[place][1] <= m.start():
+                place += 1
+            if place == len(taken) or m.end() <= taken[place][0]:
+                fresh.append((m.start(), m.end()))
+        found += [(start, kind, end) for start, end in fresh]
+        taken = _disjoint(taken + fresh)
     return sorted(found)
 
 
@@ -269,7 +285,8 @@ def find(df: DataFrame, patterns: DataFrame, text: str = "text", base: str = "ba
 def redact(df: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """df with each span of its texts replaced by its kind in angle brackets; overlapping spans become one, the first's.
 
-    A null text stays null. Other columns pass through; the text column moves to the end of the schema.
+    A null text stays null; repeated rows are redacted alike, and texts of any length whole, in time that grows with their
+    length. Other columns pass through; the text column moves to the end of the schema.
     """
 
     def make(x: str | None, _, spans: list[Span]):

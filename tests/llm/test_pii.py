@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +127,26 @@ def test_query_base_spans(spark, sf):
         assert x.base_sha256 == sha256(listed.encode()).hexdigest()
         assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.KINDS]
         assert set(listed.split(",")) <= set(x.spans.split(","))
+
+
+def _slow_candidates(text, base):
+    taken, found = [(s, e) for s, _, e in base], []
+    for kind, (_, pattern) in enumerate(pii._CANDIDATES):
+        for m in pattern.finditer(text):
+            if not any(s < m.end() and m.start() < e for s, e in taken):
+                found.append((m.start(), kind, m.end()))
+                taken.append((m.start(), m.end()))
+    return sorted(found)
+
+
+def test_candidates_equal_a_comparison_of_all_and_are_linear():
+    rng = random.Random(9)
+    pieces = ["a@b.co ", "x [at] y [dot] com ", "555-0199 222 ", "1.2.3.4 ", "2001:db8:0:1:2:3:4:5 ", "4111 1111 1111 1111 ", "+1 555 123 4567 ", "12345678901234 ", "word ", "(555) 010 9999", "a(at)b.c"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        base = pii.base_spans(text)
+        assert pii.candidate_spans(text, base) == _slow_candidates(text, base)
+    text = "call 555 0199 222 now; " * 100_000
+    start = time.perf_counter()
+    assert len(pii.candidate_spans(text, pii.base_spans(text))) == 100_000
+    assert time.perf_counter() - start < 5
