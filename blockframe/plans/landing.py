@@ -153,7 +153,7 @@ def _balances_streamed(c: Chain) -> DataFrame:
         reads.where(F.col("block_number") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/reads")
     stream = c.spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/reads")
     ingest.current_balances_stream(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
-    return ingest.latest(c.spark, f"{folder}/out").select("token_address", "address", "balance", "block_number")
+    return ingest.current_balances_of(c.spark, f"{folder}/ckpt").select("token_address", "address", "balance", "block_number")
 
 
 query("current_balances_stream", "SELECT token_address, address, balance, block_number FROM balances")(_balances_streamed)

@@ -8,6 +8,9 @@ one replaced are removed. Blocks arrive in any order and again; nothing is dropp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,9 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import daily, gaps, rollups
 
-#: Blocks of a bucket of stored history, and the buckets that balances are dealt to.
+#: Blocks of a bucket of stored history.
 BLOCKS = 10_000
-BUCKETS = 64
 
 
 def _files(spark: SparkSession, path: str):
@@ -112,27 +114,56 @@ def waiting(spark: SparkSession, out: str) -> DataFrame:
     return latest(spark, f"{out}/waiting").where("number is not null")
 
 
-def current_balances_stream(reads: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+#: Spark's keyed state store on disk; a batch commits a log of its own changes.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in STATE_STORE; the session's settings are as before afterwards."""
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    try:
+        for key, value in STATE_STORE.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def current_balances_stream(reads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Highest block wins per (token_address, address) over reads(token_address, address, balance, block_number, arrival).
 
-    Of equal blocks the later arrival stays. out holds the newest snapshot of each bucket of keys; a batch reads and writes
-    those that its own keys fall into.
+    Of equal blocks the later arrival stays, and of equal arrivals the greater balance. The winners are keyed state in
+    Spark's state store: a batch reads and writes the keys that it holds, whatever the number of keys stored.
+    current_balances_of reads the state; out/batch=N has what batch N changed, for those who follow.
     """
-    spark = reads.sparkSession
+    order = F.struct("block_number", "arrival", "balance")
+    best = reads.groupBy("token_address", "address").agg(F.max(order).alias("best"))
+    changed = best.select("token_address", "address", "best.balance", "best.block_number", "best.arrival")
 
-    def absorb(batch: DataFrame, number: int) -> None:
-        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("token_address", "address"), F.lit(buckets)).cast("int")).persist()
-        touched = _buckets(keyed)
-        before = latest(spark, out, number, touched)
-        if before is not None:
-            bucket = F.pmod(F.xxhash64("token_address", "address"), F.lit(buckets)).cast("int")
-            keyed = keyed.unionByName(before.select(batch.columns).withColumn("bucket", bucket))
-        order = F.struct("block_number", "arrival")
-        best = keyed.groupBy("bucket", "token_address", "address").agg(F.max_by("balance", order).alias("balance"), F.max(order).alias("m"))
-        _store(best.select("token_address", "address", "balance", "m.block_number", "m.arrival", "bucket"), out, number)
-        _tidy(spark, out, number, touched)
-
-    return reads.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def emit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    with keyed_state(reads.sparkSession):
+        return changed.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_balances_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The winners that current_balances_stream holds: a scan of its state, a row per key."""
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    best = state.schema["value"].dataType.fields[0].name
+    return state.select("key.*", F.col("value")[best].alias("best")).select("token_address", "address", "best.balance", "best.block_number", "best.arrival")
+
+
+def blocks_once(arriving: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A stream of blocks in which a redelivered (number, hash) is dropped, if it comes within the delay of the newest
+    block; the state holds no more than that. Later redeliveries are for the exact path of ingest_blocks."""
+    timed = arriving.withColumn("event_time_", F.timestamp_seconds("timestamp")).withWatermark("event_time_", delay)
+    return timed.dropDuplicatesWithinWatermark(["number", "hash"]).drop("event_time_")
 
 
 def daily_fold_step(blocks: DataFrame, txs: DataFrame, transfers: DataFrame, acc: DataFrame | None, watermark: int) -> tuple[DataFrame, int]:

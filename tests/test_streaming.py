@@ -44,27 +44,66 @@ def test_current_balances_equal_the_batch(spark, sf, tmp_path):
     stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     ingest.current_balances_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     keys = ["token_address", "address", "balance", "block_number"]
-    got, want = ingest.latest(spark, str(tmp_path / "out")).select(keys), ingest.batch_twin(reads).select(keys)
+    got, want = ingest.current_balances_of(spark, str(tmp_path / "ckpt")).select(keys), ingest.batch_twin(reads).select(keys)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
-
-
-def test_balances_touch_only_their_buckets(spark, tmp_path):
-    schema = "token_address string, address string, balance string, block_number long, arrival long"
-    out, folder = str(tmp_path / "out"), str(tmp_path / "reads")
-
-    def run(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(schema).parquet(folder)
-        ingest.current_balances_stream(stream, out, str(tmp_path / "ckpt"), buckets=8).awaitTermination()
-        return {p.name: sorted(int(b.name[6:]) for b in p.iterdir() if b.is_dir()) for p in (tmp_path / "out").iterdir() if p.is_dir()}
-
-    run([("t", f"a{i}", "1", 1, 0) for i in range(100)])
-    for block in range(2, 5):
-        snapshots = run([("t", "a7", str(block), block, 0), ("t", "a7", "0", 0, 9)])
-    # only the bucket of a7 has new snapshots, and only the newest two of them are kept
-    assert sorted(map(len, snapshots.values())) == [1] * 7 + [2] and {max(v) for v in snapshots.values()} == {0, 3}
-    rows = {r.address: r for r in ingest.latest(spark, out).collect()}
-    assert len(rows) == 100 and (rows["a7"].balance, rows["a7"].block_number, rows["a8"].balance) == ("4", 4, "1")
+    # the changes, replayed in order, end in the same state
+    log = spark.read.parquet(str(tmp_path / "out"))
+    last = log.groupBy("token_address", "address").agg(F.max_by(F.struct("balance", "block_number"), "batch").alias("m")).select("token_address", "address", "m.*")
+    assert last.select(keys).exceptAll(want).count() == 0
+
+
+BALANCES = "token_address string, address string, balance string, block_number long, arrival long"
+
+
+def test_work_of_a_balance_batch_does_not_grow_with_the_state(spark, tmp_path):
+    """The same small batch over a state and one ten times as large: as many rows updated, as many bytes committed."""
+    committed = []
+    for size in (3_000, 30_000):
+        folder, ckpt = str(tmp_path / f"reads{size}"), tmp_path / f"ckpt{size}"
+
+        def run(rows, folder=folder, ckpt=ckpt):
+            before = {p for p in ckpt.rglob("*") if p.is_file()} if ckpt.exists() else set()
+            rows.coalesce(1).write.mode("append").parquet(folder)
+            query = ingest.current_balances_stream(spark.readStream.schema(BALANCES).parquet(folder), f"{folder}-out", str(ckpt))
+            query.awaitTermination()
+            new = sum(p.stat().st_size for p in ckpt.rglob("*.changelog") if p not in before)
+            return query.lastProgress["stateOperators"][0], new
+
+        def keys(n, block):
+            return spark.range(n).selectExpr("'t' token_address", "concat('a', id) address", f"'{block}' balance", f"{block}L block_number", "0L arrival")
+
+        run(keys(size, 1))
+        state, written = run(keys(50, 2))
+        assert state["numRowsTotal"] == size and state["numRowsUpdated"] == 50
+        committed.append(written)
+        late, _ = run(keys(50, 0))  # late reads change nothing
+        rows = {r.address: r for r in ingest.current_balances_of(spark, str(ckpt)).collect()}
+        assert len(rows) == size and rows["a7"].block_number == 2 and rows["a99"].block_number == 1
+    assert 0 < committed[1] <= 1.2 * committed[0]
+    assert "HDFSBackedStateStoreProvider" in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "HDFSBackedStateStoreProvider")
+
+
+def test_ties_go_to_the_later_arrival(spark, tmp_path):
+    rows = [("t", "a", "5", 3, 1), ("t", "a", "6", 3, 2), ("t", "a", "9", 2, 9), ("t", "b", "1", 1, 1)]
+    spark.createDataFrame(rows, BALANCES).write.parquet(str(tmp_path / "in"))
+    ingest.current_balances_stream(spark.readStream.schema(BALANCES).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    got = {(r.address, r.balance, r.block_number, r.arrival) for r in ingest.current_balances_of(spark, str(tmp_path / "ckpt")).collect()}
+    assert got == {("a", "6", 3, 2), ("b", "1", 1, 1)}
+
+
+def test_redelivered_blocks_come_once_and_their_state_is_bounded(spark, sf, tmp_path):
+    rows = landing(Chain(spark, sf)).orderBy("number").persist()
+    folder = str(tmp_path / "in")
+    for low in (0, 100, 0, 200, 300, 200):  # windows of 100 blocks, 600 s each; two of them twice
+        rows.where(F.col("number").between(low, low + 99)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schemas.BLOCK_LANDING).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = ingest.blocks_once(stream, "2 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [r.number for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = [r.number for r in rows.where("number < 400").collect()]
+    assert sorted(got) == sorted(want)
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    assert held <= 2 * 86_400 / 600 + 100 < len(want) + 100  # two days of blocks and a batch
 
 
 def test_fold_with_a_late_block_equals_the_batch(spark, sf):
