@@ -50,13 +50,22 @@ def daily_txs(txs: DataFrame) -> DataFrame:
     )
 
 
+def sides(txs: DataFrame) -> DataFrame:
+    """(day, address) of senders and recipients, a row for each."""
+    both = txs.select(day_of(F.col("block_timestamp")).alias("day"), F.explode(F.array("from_address", "to_address")).alias("address"))
+    return both.where(F.col("address").isNotNull())
+
+
 def daily_active(txs: DataFrame, approx: bool = False) -> DataFrame:
     """Distinct senders and recipients of each day, exact by two groupings, or a sketch's estimate."""
-    sides = txs.select(day_of(F.col("block_timestamp")).alias("day"), F.explode(F.array("from_address", "to_address")).alias("address"))
-    sides = sides.where(F.col("address").isNotNull())
     if approx:
-        return sides.groupBy("day").agg(F.approx_count_distinct("address").alias("active_addresses"))
-    return sides.distinct().groupBy("day").agg(F.count("*").alias("active_addresses"))
+        return daily_sketches(txs).select("day", F.hll_sketch_estimate("sketch").alias("active_addresses"))
+    return sides(txs).distinct().groupBy("day").agg(F.count("*").alias("active_addresses"))
+
+
+def daily_sketches(txs: DataFrame, registers: int = 12) -> DataFrame:
+    """(day, sketch): a mergeable sketch of each day's addresses, of at most 2^registers bytes."""
+    return sides(txs).groupBy("day").agg(F.hll_sketch_agg("address", F.lit(registers)).alias("sketch"))
 
 
 def daily_transfers(transfers: DataFrame) -> DataFrame:
@@ -131,6 +140,19 @@ def finish(parts: DataFrame) -> DataFrame:
     return parts.withColumns({"avg_block_size": mean("size_sum", "size_n"), "avg_block_time": mean("gap_sum", "gap_n"), "avg_gas_price": mean("price_sum", "tx_count")})
 
 
+def block_parts(rows: DataFrame, before: DataFrame, *keys: str) -> DataFrame:
+    """All additive columns but the active addresses, in one grouping, from a row per block with its own sums.
+
+    before has (number, timestamp) of the blocks whose successors' gaps count.
+    """
+    paired = _with_gap(rows, before.select("number", "timestamp"))
+    sums = {"gas_used": "gas_used", "size_sum": "size", "gap_sum": "gap", "tx_count": "tx_count", "success": "success", "failed": "failed", "transfer_count": "transfer_count"}
+    return paired.groupBy(*keys).agg(
+        F.count("*").alias("blocks"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for name, c in sums.items()), F.count("size").alias("size_n"),
+        F.count("gap").alias("gap_n"), F.coalesce(F.sum("price_sum"), F.lit(0)).cast("decimal(38,0)").alias("price_sum"), F.min("number").alias("first_block"),
+    )
+
+
 def daily_parts(blocks: DataFrame, txs: DataFrame, transfers: DataFrame) -> DataFrame:
     """All additive columns of each day that has blocks; days without transactions or transfers count 0."""
     joined = daily_blocks(blocks).join(daily_txs(txs), "day", "left").join(daily_active(txs), "day", "left").join(daily_transfers(transfers), "day", "left")

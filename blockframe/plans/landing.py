@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import u256
 from ..operators import daily, decode
-from ..sources import raw
-from ..streaming import ingest
-from .chain import Chain
-from .maintenance import D_ALL, DENSE, dense
-from .queries import BLOCK_SQL, query
+from ..sources import history, raw, versions
+from ..streaming import days, ingest
+from .chain import SPAN, Chain
+from .maintenance import D_ALL, DENSE, TX_DAY, dense
+from .queries import ADDRESS, BLOCK_SQL, FRAME_COLUMNS, LOG_SQL, MOVE_COLUMNS, MOVE_SQL, TX, TX_COLUMNS, TX_SQL, query
 
 
 def _hex(column: str):
@@ -159,16 +159,113 @@ def _balances_streamed(c: Chain) -> DataFrame:
 query("current_balances_stream", "SELECT token_address, address, balance, block_number FROM balances")(_balances_streamed)
 
 
-def _folded(c: Chain) -> DataFrame:
-    """Two folds over all blocks, renumbered without gaps: up to one that is late, then past it once it has come."""
-    blocks, txs, transfers = dense(c.blocks, "number"), dense(c.txs, "block_number"), dense(c.transfers, "block_number")
-    acc, mark = ingest.daily_fold_step(blocks.where("number <> 40"), txs.where("block_number <> 40"), transfers.where("block_number <> 40"), None, 0)
-    acc, _ = ingest.daily_fold_step(blocks, txs, transfers, acc, mark)
-    return acc.select("day", *daily.ADDITIVE, "first_block", "active_addresses")
+def _bundles(c: Chain) -> DataFrame:
+    """Blocks with their transactions and number of transfers, renumbered without gaps."""
+    tx = F.struct("from_address", "to_address", F.col("gas_price").cast("decimal(38,0)").alias("gas_price"), "status")
+    txs = dense(c.txs, "block_number").groupBy(F.col("block_number").alias("number")).agg(F.collect_list(tx).alias("txs"))  # a block's own
+    moved = dense(c.transfers, "block_number").groupBy(F.col("block_number").alias("number")).agg(F.count("*").alias("transfer_count"))
+    heads = dense(c.blocks, "number").select("number", "timestamp", "gas_used", F.col("size").cast("long").alias("size"))
+    return heads.join(txs, "number", "left").join(moved, "number", "left")
+
+
+def _fold(c: Chain) -> DataFrame:
+    """The days of a stream that began amid the chain: a block comes late, files come twice, then all that lay before."""
+    folder, bundles = _folder(c), _bundles(c).persist()
+    top = bundles.agg(F.max("number")).first()[0]
+    low, hole = top // 3, top // 2  # of the table, so that all parts grow with it
+    n = F.col("number")
+    for part in ((n > low) & (n < hole), (n > hole + 1), n == hole, (n > hole) & (n < hole + 9), n <= low):
+        bundles.where(part).coalesce(2).write.mode("append").parquet(f"{folder}/landing")
+    stream = c.spark.readStream.schema(days.BUNDLE).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landing")
+    days.daily_fold_stream(stream, f"{folder}/out", f"{folder}/ckpt", start=low).awaitTermination()
+    bundles.unpersist()
+    return days.folded_days(c.spark, f"{folder}/out")
 
 
 query(
     "daily_fold",
     f", even AS (SELECT {DENSE} AS number, timestamp, gas_used, size, day FROM days), {D_ALL.replace('FROM days b LEFT JOIN f_blocks p', 'FROM even b LEFT JOIN even p')} "
     "SELECT day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, tx_count, price_sum, success, failed, transfer_count, first_block, active_addresses FROM parts",
-)(_folded)
+)(lambda c: _fold(c).drop("sketch"))
+
+
+def _sketched(c: Chain) -> DataFrame:
+    """Distinct addresses of each week, exact from the transactions, and whether the merged sketches of days come near."""
+    week = F.date_trunc("week", "day").cast("date").cast("string").alias("week")
+    exact = daily.sides(c.txs).select(week, "address").distinct().groupBy("week").agg(F.count("*").alias("active"))
+    merged = days.active_estimate(daily.daily_sketches(c.txs).withColumn("week", week), "week")
+    near = F.abs(F.col("estimate") - F.col("active")) <= F.ceil(F.col("active") * days.estimate_bound())
+    return exact.join(merged, "week").select("week", "active", near.alias("near"))
+
+
+query("active_sketches", f"SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week, count(DISTINCT a) AS active, count(DISTINCT a) > 0 AS near FROM (SELECT {TX_DAY} AS day, from_address AS a FROM f_tx UNION ALL SELECT {TX_DAY}, to_address FROM f_tx) WHERE a IS NOT NULL GROUP BY 1")(_sketched)
+
+
+# --- history with index and postings ----------------------------------------------------------------------------------
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored(c: Chain) -> versions.Snapshot:
+    """The chain's tables as history, written once for a session and a folder of tables: older blocks, then newer ones."""
+    key = c.spark.sparkContext.applicationId, c.sf_dir
+    if key not in _STORED:
+        folder = _folder(c)
+        now = versions.current(c.spark, folder)
+        middle = c.blocks.agg((F.max("number") / 2).cast("long")).first()[0]
+        whole = {"blocks": c.blocks, "txs": c.txs, "logs": c.logs, "transfers": c.transfers, "frames": c.frames}
+        for old in (True, False):
+            part = {n: df.where((F.col(history.TABLES[n][0]) < middle) == old) for n, df in whole.items()}
+            now = history.append(now, part, SPAN)
+        _STORED[key] = folder
+    return versions.current(c.spark, _STORED[key])
+
+
+query("tx_lookup_stored", f"SELECT {TX_SQL}, CAST(NULL AS VARCHAR) AS created_contract FROM f_tx WHERE hash = '{TX}'")(
+    lambda c: history.tx_lookup(_stored(c), c.contracts.where("false"), TX).select(*TX_COLUMNS, "created_contract")
+)
+query("logs_by_tx_stored", f"SELECT {LOG_SQL} FROM f_transfers WHERE tx_hash = '{TX}'")(lambda c: history.logs_by_tx(_stored(c), TX).select("tx_hash", "block_number", "log_index", "address"))
+query("transfers_by_tx_stored", f"SELECT {MOVE_SQL} FROM f_transfers WHERE tx_hash = '{TX}'")(lambda c: history.transfers_by_tx(_stored(c), TX).select(MOVE_COLUMNS))
+query("frames_by_tx_stored", f"SELECT {', '.join(FRAME_COLUMNS)} FROM f_frames WHERE tx_hash = '{TX}'")(lambda c: history.frames_by_tx(_stored(c), TX).select(FRAME_COLUMNS))
+query(
+    "txs_by_address_stored",
+    f"""SELECT {TX_SQL} FROM f_tx t WHERE block_number < 340 AND (from_address = '{ADDRESS}' OR to_address = '{ADDRESS}' OR EXISTS (
+        SELECT 1 FROM f_transfers m WHERE m.tx_hash = t.hash AND (m.from_address = '{ADDRESS}' OR m.to_address = '{ADDRESS}'))) ORDER BY block_number DESC, tx_index DESC LIMIT 25""",
+)(lambda c: history.txs_by_address(_stored(c), ADDRESS, (340, 0), 25).select(TX_COLUMNS))
+query("transfers_by_address_stored", f"SELECT {MOVE_SQL}, (SELECT count(*) FROM f_transfers WHERE from_address = '{ADDRESS}' OR to_address = '{ADDRESS}') AS total FROM f_transfers WHERE (from_address = '{ADDRESS}' OR to_address = '{ADDRESS}') ORDER BY block_number DESC, log_index DESC LIMIT 25")(
+    lambda c: history.transfers_by_address(_stored(c), ADDRESS, None, 25).select(MOVE_COLUMNS).crossJoin(F.broadcast(history.postings_total(_stored(c), "transfer", ADDRESS)))
+)
+query("frames_by_address_stored", f"SELECT {', '.join(FRAME_COLUMNS)} FROM f_frames WHERE from_address = '{ADDRESS}' OR to_address = '{ADDRESS}' ORDER BY block_number DESC, tx_hash, trace_address LIMIT 25")(
+    lambda c: history.frames_by_address(_stored(c), ADDRESS, 25).select(FRAME_COLUMNS)
+)
+query("append_unstored", "SELECT concat(hash, 'n') AS hash, block_number FROM f_tx WHERE block_number % 7 = 0 UNION ALL SELECT hash, block_number + (SELECT max(block_number) FROM f_tx) FROM f_tx WHERE block_number % 11 = 0")(
+    lambda c: history.unstored(_stored(c), "txs", _offered(c), SPAN).select("hash", "block_number")
+)
+
+
+def _offered(c: Chain) -> DataFrame:
+    """Stored transactions, others in the same blocks, and some beyond the head, twice each."""
+    same = c.txs.where("block_number % 7 = 0")
+    top = c.txs.agg(F.max("block_number").alias("top"))
+    beyond = c.txs.where("block_number % 11 = 0").crossJoin(F.broadcast(top)).withColumn("block_number", F.col("block_number") + F.col("top")).drop("top")
+    offered = c.txs.unionByName(same.withColumn("hash", F.concat("hash", F.lit("n")))).unionByName(beyond)
+    return offered.unionByName(offered)
+
+
+def _reverted(c: Chain) -> DataFrame:
+    """Rows of each table after the newest half of the blocks is reverted, twice; and who is left in the feed of an address."""
+    now = _stored(c)
+    half = c.blocks.agg((F.max("number") / 2).cast("long")).first()[0]
+    after = history.revert(history.revert(own, half, 10**9), half, 10**9)
+    counts = [after.read(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("blocks", "txs", "transfers", "frames")]
+    counts.append(history.postings_total(after, "transfer", ADDRESS).select(F.lit("feed").alias("name"), F.col("total").alias("n")))
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    _STORED.pop((c.spark.sparkContext.applicationId, c.sf_dir))  # the other queries write their own again
+    return whole
+
+
+HALF = "(SELECT max(number) // 2 FROM f_blocks)"
+query("revert_stored", f"""SELECT 'blocks' AS name, count(*) AS n FROM f_blocks WHERE number < {HALF} UNION ALL SELECT 'txs', count(*) FROM f_tx WHERE block_number < {HALF} UNION ALL SELECT 'transfers', count(*) FROM f_transfers WHERE block_number < {HALF}
+    UNION ALL SELECT 'frames', count(*) FROM f_frames WHERE block_number < {HALF} UNION ALL SELECT 'feed', count(*) FROM f_transfers WHERE block_number < {HALF} AND (from_address = '{ADDRESS}' OR to_address = '{ADDRESS}')""")(_reverted)
