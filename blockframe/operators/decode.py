@@ -138,16 +138,12 @@ def lowercase_addresses(df: DataFrame, columns: list[str], keys: list[str], orde
 # --- call frames and contracts -------------------------------------------------------------------------------------
 
 
-def flatten_frames(traces: DataFrame) -> DataFrame:
-    """A row for each frame below a trace's root: (tx_hash, block_number, timestamp, trace_address, ...).
+def frame_nodes(frame: Column, root: bool = False) -> Column:
+    """The frames of a trace (a variant) with their paths, level by level, the root first if it is wanted.
 
-    Frames are variants. A trace is walked down level by level in one expression, as often as its text has lists of calls, so
-    a call tree of any depth and width is read in one pass without an exchange. Empty input and output, and zero gas, are
-    null; an unknown call type is `call`.
+    The tree is walked down in one expression, as often as its lists are nested, or a little more; once a level is empty a
+    step only passes on what was found.
     """
-    text = lambda path: F.try_variant_get("frame", path, "string")
-    blank = lambda c: F.when(c.isin("", "0x"), None).otherwise(c)
-    gas = lambda path: F.nullif(hex_to_long(text(path)), F.lit(0).cast("long"))
     nodes = "array<struct<path:string,frame:variant>>"
 
     def children(node: Column) -> Column:
@@ -157,12 +153,36 @@ def flatten_frames(traces: DataFrame) -> DataFrame:
 
     def down(state: Column, _: Column) -> Column:
         level = F.flatten(F.transform(state["level"], children)).cast(nodes)
-        return F.struct(level.alias("level"), F.concat(state["found"], level).cast(nodes).alias("found"))
+        below = F.transform(F.array(level), lambda one: F.struct(one.alias("level"), F.concat(state["found"], one).cast(nodes).alias("found")))[0]
+        return F.when(F.size(state["level"]) == 0, state).otherwise(below)
+
+    top = F.array(F.struct(F.lit("").alias("path"), frame.alias("frame"))).cast(nodes)
+    start = F.struct(top.alias("level"), (top if root else F.array().cast(nodes)).alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), _nested(F.to_json(frame)) + 1), start, down)["found"]
+
+
+#: Levels of lists that are peeled off a text before those that are left are counted.
+_PEELED = 12
+
 
-    root = F.array(F.struct(F.lit("").alias("path"), F.col("frame").alias("frame"))).cast(nodes)
-    start = F.struct(root.alias("level"), F.array().cast(nodes).alias("found"))
-    lists = F.size(F.split(F.to_json("frame"), '"calls"'))  # one more than there are lists, and no tree is deeper
-    found = F.aggregate(F.sequence(F.lit(1), lists), start, down)["found"]
+def _nested(json: Column) -> Column:
+    """A bound on how deep lists are nested in a JSON text: each step takes the innermost ones away, all others count one."""
+    lists = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]]+", "")
+    for _ in range(_PEELED):
+        lists = F.replace(lists, F.lit("[]"), F.lit(""))
+    return F.length(F.replace(lists, F.lit("]"), F.lit(""))) + _PEELED
+
+
+def flatten_frames(traces: DataFrame) -> DataFrame:
+    """A row for each frame below a trace's root: (tx_hash, block_number, timestamp, trace_address, ...).
+
+    Frames are variants. Empty input and output, and zero gas, are null; an unknown call type is `call`. A call tree of any
+    depth and width is read in one pass without an exchange.
+    """
+    text = lambda path: F.try_variant_get("frame", path, "string")
+    blank = lambda c: F.when(c.isin("", "0x"), None).otherwise(c)
+    gas = lambda path: F.nullif(hex_to_long(text(path)), F.lit(0).cast("long"))
+    found = frame_nodes(F.col("frame"))
     found = traces.select("tx_hash", "block_number", "timestamp", F.explode(found).alias("n"))
     found = found.select("tx_hash", "block_number", "timestamp", F.col("n.path").alias("trace_address"), F.col("n.frame").alias("frame"))
     kind = F.lower(text("$.type"))

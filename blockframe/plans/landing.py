@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import u256
-from ..operators import daily, decode
+from ..operators import backfill, daily, decode
 from ..sources import history, raw, versions
-from ..streaming import days, ingest
+from ..streaming import days, feed, ingest
 from .chain import SPAN, Chain
-from .maintenance import D_ALL, DENSE, TX_DAY, dense
+from .maintenance import D_ALL, DENSE, L_CHAIN, L_TOKEN, TX_DAY, dense
 from .queries import ADDRESS, BLOCK_SQL, FRAME_COLUMNS, LOG_SQL, MOVE_COLUMNS, MOVE_SQL, TX, TX_COLUMNS, TX_SQL, query
 
 
@@ -256,7 +256,7 @@ def _reverted(c: Chain) -> DataFrame:
     """Rows of each table after the newest half of the blocks is reverted, twice; and who is left in the feed of an address."""
     now = _stored(c)
     half = c.blocks.agg((F.max("number") / 2).cast("long")).first()[0]
-    after = history.revert(history.revert(own, half, 10**9), half, 10**9)
+    after = history.revert(history.revert(now, half, 10**9), half, 10**9)
     counts = [after.read(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("blocks", "txs", "transfers", "frames")]
     counts.append(history.postings_total(after, "transfer", ADDRESS).select(F.lit("feed").alias("name"), F.col("total").alias("n")))
     whole = counts[0]
@@ -269,3 +269,95 @@ def _reverted(c: Chain) -> DataFrame:
 HALF = "(SELECT max(number) // 2 FROM f_blocks)"
 query("revert_stored", f"""SELECT 'blocks' AS name, count(*) AS n FROM f_blocks WHERE number < {HALF} UNION ALL SELECT 'txs', count(*) FROM f_tx WHERE block_number < {HALF} UNION ALL SELECT 'transfers', count(*) FROM f_transfers WHERE block_number < {HALF}
     UNION ALL SELECT 'frames', count(*) FROM f_frames WHERE block_number < {HALF} UNION ALL SELECT 'feed', count(*) FROM f_transfers WHERE block_number < {HALF} AND (from_address = '{ADDRESS}' OR to_address = '{ADDRESS}')""")(_reverted)
+
+
+# --- a raw range in one pass -------------------------------------------------------------------------------------------
+
+
+def write_bundles(c: Chain, folder: str) -> None:
+    """The chain as a dump: JSON lines of blocks with transactions, receipts with logs, and traces."""
+    topics = F.array_compact(F.array("topic0", "topic1", "topic2", "topic3"))
+    item = F.struct("address", topics.alias("topics"), "data", _hex("log_index").alias("logIndex"))
+    logs = c.logs.groupBy(F.col("tx_hash").alias("hash")).agg(F.collect_list(item).alias("logs"))  # a transaction's own
+    receipt = F.struct(F.col("hash").alias("transactionHash"), _hex("status").alias("status"), F.coalesce("logs", F.array().cast(logs.schema["logs"].dataType)).alias("logs"))
+    receipts = c.txs.join(logs, "hash", "left").groupBy(F.col("block_number").alias("n")).agg(F.collect_list(receipt).alias("receipts"))
+    traces = _traces(c).groupBy(F.col("blockNumber").alias("n")).agg(F.collect_list(F.struct("txHash", "result", "error")).alias("traces"))
+    heads = _raw_blocks(c).withColumn("n", F.conv(F.expr("substr(number, 3)"), 16, 10).cast("long"))
+    whole = heads.join(receipts, "n", "left").join(traces, "n", "left").drop("n")
+    whole.select(F.to_json(F.struct("*")).alias("value")).write.text(folder)
+
+
+def _sums(c: Chain) -> DataFrame:
+    folder = _folder(c)
+    write_bundles(c, f"{folder}/dump")
+    backfill.write_totals(raw.bundle_scan(c.spark, f"{folder}/dump"), f"{folder}/totals", SPAN)
+    return c.spark.read.parquet(f"{folder}/totals")
+
+
+#: Frames that the encoded traces hold below their roots, and address stats over them.
+_BELOW = "('0', '0,0', '1', '1,0', '1,0,0')"
+query("backfill_spans", f", {L_CHAIN} SELECT span_lo, sum(CASE WHEN name = 'blocks' THEN count END)::BIGINT AS blocks, sum(CASE WHEN name = 'txs' THEN count END)::BIGINT AS txs, sum(CASE WHEN name = 'transfers' THEN count END)::BIGINT AS transfers FROM l_chain GROUP BY span_lo")(
+    lambda c: backfill.spans(_sums(c))
+)
+query("backfill_span_tokens", f", {L_TOKEN} SELECT span_lo, token_address, transfer_count, coalesce(CAST(supply AS VARCHAR), '') AS supply FROM l_token")(
+    lambda c: backfill.span_tokens(_sums(c)).withColumn("supply", u256.to_decimal(F.col("supply")))
+)
+query("backfill_addresses", f""", part AS (SELECT * FROM contrib WHERE internal = 0 UNION ALL SELECT from_address, tx_hash, block_number, 0, 1, 0, false FROM f_frames WHERE trace_address IN {_BELOW}
+    UNION ALL SELECT to_address, tx_hash, block_number, 0, 1, 0, false FROM f_frames WHERE trace_address IN {_BELOW} AND to_address IS NOT NULL AND to_address <> from_address),
+    lasting AS (SELECT to_address AS address, min(block_number) AS lo, max(block_number) AS hi FROM made WHERE output IS NOT NULL AND length(output) > 2 AND trace_address IN {_BELOW} GROUP BY 1),
+    s AS (SELECT address, count(DISTINCT tx) AS tx_count, CAST(sum(internal) AS BIGINT) AS internal_tx_count, CAST(sum(moved) AS BIGINT) AS token_transfer_count, CAST(sum(sent) AS BIGINT) AS sent_count,
+        min(block_number) AS first_seen, max(block_number) AS last_seen FROM part WHERE NOT is_contract GROUP BY address)
+    SELECT s.*, lasting.address IS NOT NULL AS is_contract FROM s LEFT JOIN lasting USING (address)""")(lambda c: backfill.address_deltas(_sums(c)))
+query("backfill_tokens", "SELECT address, token_type, block_number, creation_tx FROM tokens")(lambda c: backfill.tokens_seen(_sums(c)))
+query("backfill_days", f", {D_ALL} SELECT CAST(day AS VARCHAR) AS day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, tx_count, price_sum, success, failed, transfer_count, first_block, active_addresses FROM parts")(
+    lambda c: backfill.day_parts(_sums(c)).withColumn("day", F.col("day").cast("string"))
+)
+query("backfill_balance_keys", "SELECT token_address, a AS address, max(block_number) AS block_number FROM (SELECT token_address, from_address AS a, block_number FROM f_transfers UNION ALL SELECT token_address, to_address, block_number FROM f_transfers), zero WHERE a <> z GROUP BY 1, 2")(
+    lambda c: backfill.balance_keys(_sums(c))
+)
+
+
+def _refilled(c: Chain) -> DataFrame:
+    """Days counted anew from a dump without receipts: what only receipts tell stays as it is stored."""
+    dump = _raw_blocks(c)
+    blocks, txs = decode.blocks_from_raw(dump), decode.txs_from_raw(dump)
+    unknown = {k: F.lit(None).cast("long") for k in ("success", "failed", "transfer_count")}
+    counted = daily.daily_blocks(blocks).join(daily.daily_txs(txs.withColumn("status", F.lit(None).cast("int"))).drop("success", "failed"), "day").withColumns(unknown)
+    stored = c.daily.select("day", *unknown)
+    return daily.daily_refill(counted, stored, tuple(unknown))
+
+
+query("daily_refill_raw", f", {D_ALL} SELECT CAST(day AS VARCHAR) AS day, blocks, gas_used, size_sum, size_n, gap_sum, gap_n, tx_count, price_sum, success, failed, transfer_count, first_block FROM parts")(
+    lambda c: _refilled(c).withColumn("day", F.col("day").cast("string"))
+)
+
+
+# --- the change feed as a stream ---------------------------------------------------------------------------------------
+
+
+def feed_bundles(c: Chain) -> DataFrame:
+    """Blocks with their transactions and transfers, as a follower of the head hands them on."""
+    tx, move = F.struct("hash", "tx_index", "from_address", "to_address"), F.struct("token_address", "from_address", "to_address")
+    txs = c.txs.groupBy(F.col("block_number").alias("number")).agg(F.collect_list(tx).alias("txs"))  # a block's own
+    moves = c.transfers.groupBy(F.col("block_number").alias("number")).agg(F.collect_list(move).alias("transfers"))
+    return c.blocks.select("number", "hash", "timestamp").join(txs, "number", "left").join(moves, "number", "left")
+
+
+def _published(c: Chain) -> DataFrame:
+    """Events of a stream whose files come twice, one after the other, and how many numbers were given."""
+    folder, whole = _folder(c), feed_bundles(c).persist()
+    for part in (1, 0, 1):
+        whole.where(F.col("number") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/landing")
+    stream = c.spark.readStream.schema(feed.BUNDLE).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landing")
+    feed.change_feed_stream(stream, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+    whole.unpersist()
+    events = feed.events_from(c.spark, f"{folder}/out")
+    numbers = events.agg(F.count_distinct("sequence").alias("numbers"), (F.max("sequence") + 1).alias("next"))
+    per = events.groupBy("event", "block_number").agg(F.count("payload").alias("n"), (F.max("place") - F.min("place") + 1).alias("places"))
+    return per.crossJoin(F.broadcast(numbers))
+
+
+query("change_feed_stream", """, ev AS (SELECT 'new_block' AS event, number AS block_number FROM f_blocks UNION ALL SELECT 'new_transaction', block_number FROM f_tx
+    UNION ALL SELECT 'address_activity', block_number FROM (SELECT DISTINCT block_number, a FROM (SELECT block_number, from_address AS a FROM f_tx UNION ALL SELECT block_number, to_address FROM f_tx
+    UNION ALL SELECT block_number, from_address FROM f_transfers UNION ALL SELECT block_number, to_address FROM f_transfers) WHERE a IS NOT NULL))
+    SELECT event, block_number, count(*) AS n, count(*) AS places, (SELECT count(*) FROM ev) AS numbers, (SELECT count(*) FROM ev) AS next FROM ev GROUP BY event, block_number""")(_published)

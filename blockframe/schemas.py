@@ -19,3 +19,8 @@ RAW_RECEIPT = (
 TRACE = "txHash string, blockNumber long, timestamp long, result string, error string"
 CREATIONS = "address string, creation_tx string, block_number string, creator string"
 BLOCK_LANDING = "number long, hash string, parent_hash string, timestamp long, gas_used long, transaction_count int, size long, base_fee_per_gas long"
+#: A block with all that a node gives for it: receipts and call traces.
+RAW_BUNDLE = (
+    f"{RAW_BLOCK}, receipts array<struct<transactionHash:string,status:string,contractAddress:string,logs:array<{RAW_LOG}>>>, "
+    "traces array<struct<txHash:string,result:string,error:string>>"
+)

@@ -30,6 +30,11 @@ def tidy_blocks(raw: DataFrame) -> DataFrame:
     )
 
 
+def bundle_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Raw blocks with their receipts and traces, from JSON lines."""
+    return spark.read.schema(schemas.RAW_BUNDLE).json(path)
+
+
 def receipts_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RAW_RECEIPT).json(path)
 
