@@ -95,7 +95,7 @@ def _stitched(pieces: DataFrame, bucket: int, *keys: str) -> DataFrame:
     return whole.unionByName(joined)
 
 
-def range_split(ranges: DataFrame, stored: DataFrame, bucket: int = 1_000) -> DataFrame:
+def range_split(ranges: DataFrame, stored: DataFrame, bucket: int = SCAN_BUCKET) -> DataFrame:
     """Ranges without the stored numbers: each hit shrinks a range or splits it; a range of stored numbers only goes.
 
     Ranges and stored numbers meet by equality on buckets of blocks, and the holes between hits are found within a bucket,
@@ -112,6 +112,15 @@ def range_split(ranges: DataFrame, stored: DataFrame, bucket: int = 1_000) -> Da
     return _stitched(holes.where(F.col("lo") <= F.col("hi")), bucket, "f", "t").select("from_block", "to_block")
 
 
+def range_drop(ranges: DataFrame, numbers: DataFrame, bucket: int = SCAN_BUCKET) -> DataFrame:
+    """Ranges but for those that contain one of the numbers; they meet by equality on buckets of blocks."""
+    keyed = ranges.select(F.col("from_block").alias("f"), F.col("to_block").alias("t"), "from_block", "to_block")
+    wanted = numbers.select(F.col("number").cast("long").alias("hit"), F.floor(F.col("number") / bucket).alias("b")).distinct()
+    met = _pieces(keyed, bucket, "f", "t").join(wanted, "b").where(F.col("hit").between(F.col("lo"), F.col("hi")))
+    gone = met.select(F.col("f").alias("from_block"), F.col("t").alias("to_block")).distinct()
+    return ranges.join(gone, ["from_block", "to_block"], "left_anti")
+
+
 def range_merge(ranges: DataFrame, bucket: int = SCAN_BUCKET) -> DataFrame:
     """Overlapping and adjoining ranges made one: within buckets of blocks, then over the pieces at their borders."""
     pieces = _pieces(ranges, bucket)

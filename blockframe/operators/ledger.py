@@ -159,10 +159,12 @@ def running_diff_chain_token(counters: DataFrame, tokens: DataFrame, chain: Data
     )
 
 
-def address_truth(closed: DataFrame, open_stats: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
-    """Stats of addresses (all, or a set) from closed spans and open rows."""
+def address_truth(*parts: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Stats of addresses (all, or a set) from parts that add up, such as closed spans and open rows."""
     columns = ["address", *STAT_COLUMNS]
-    rows = closed.select(columns).unionByName(open_stats.select(columns))
+    rows = parts[0].select(columns)
+    for part in parts[1:]:
+        rows = rows.unionByName(part.select(columns))
     if addresses is not None:
         rows = rows.join(addresses.select("address"), "address", "left_semi")
     return rows.groupBy("address").agg(
@@ -171,15 +173,18 @@ def address_truth(closed: DataFrame, open_stats: DataFrame, addresses: DataFrame
     )
 
 
-def running_diff_address(stats: DataFrame, closed: DataFrame, open_stats: DataFrame, bucket: int | None = None) -> DataFrame:
-    """(address, counter, stored, truth) over all addresses, or those of one bucket as a range of strings."""
+def running_diff_address(stats: DataFrame, *parts: DataFrame, bucket: int | None = None) -> DataFrame:
+    """(address, counter, stored, truth) over all addresses, or those of one bucket as a range of strings.
+
+    parts add up to the truth: closed spans and open rows, in one table or several.
+    """
     def kept(df):
         if bucket is None:
             return df
         low, high = bucket_bounds(bucket)
         return df.where((F.col("address") >= low) & (F.col("address") < high))
 
-    return diff(kept(stats), address_truth(kept(closed), kept(open_stats)), ["address"], list(STAT_COLUMNS))
+    return diff(kept(stats), address_truth(*map(kept, parts)), ["address"], list(STAT_COLUMNS))
 
 
 def rebase_targets(span_addresses: DataFrame, reverted: DataFrame) -> DataFrame:

@@ -31,6 +31,15 @@ class Chain:
         """A few parameter rows (requested keys); not data."""
         return self.spark.createDataFrame(list(rows), schema)
 
+    @cached_property
+    def head(self) -> int:
+        """The greatest block number; what queries take as bounds are shares of it."""
+        return self.blocks.agg(F.max("number")).first()[0]
+
+    @property
+    def late(self) -> int:
+        return self.head * 4 // 5
+
     @cached_property
     def txs(self) -> DataFrame:
         return self.view("f_tx")

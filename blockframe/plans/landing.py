@@ -17,7 +17,7 @@ from ..operators import backfill, daily, decode
 from ..sources import history, raw, versions
 from ..streaming import days, feed, ingest
 from .chain import SPAN, Chain
-from .maintenance import D_ALL, DENSE, L_CHAIN, L_TOKEN, TX_DAY, dense
+from .maintenance import D_ALL, DENSE, L_CHAIN, LATE, L_TOKEN, TX_DAY, dense
 from .queries import ADDRESS, BLOCK_SQL, FRAME_COLUMNS, LOG_SQL, MOVE_COLUMNS, MOVE_SQL, TX, TX_COLUMNS, TX_SQL, query
 
 
@@ -108,8 +108,8 @@ def _deposit_logs(c: Chain) -> DataFrame:
     )
 
 
-query("deposit_logs", "SELECT hash AS tx_hash, block_number FROM f_tx WHERE block_number > 20 AND block_number <= 290")(
-    lambda c: raw.deposit_logs(_deposit_logs(c), "0xportal", "0xdep", 300, 10, after=20).select("tx_hash", "block_number")
+query("deposit_logs", f"SELECT hash AS tx_hash, block_number FROM f_tx WHERE block_number > 20 AND block_number <= {LATE} - 10")(
+    lambda c: raw.deposit_logs(_deposit_logs(c), "0xportal", "0xdep", c.late, 10, after=20).select("tx_hash", "block_number")
 )
 query("deposit_decode", "SELECT hash AS tx_hash, from_address, to_address, CAST(CAST(value AS BIGINT) AS VARCHAR) AS mint, CAST(CAST(value AS BIGINT) AS VARCHAR) AS value, gas_used AS gas_limit, to_address IS NULL AS is_creation, '0xAB' AS payload FROM f_tx")(
     lambda c: decode.deposit_decode(_deposit_logs(c)).withColumns({"mint": u256.to_decimal(F.col("mint")), "value": u256.to_decimal(F.col("value"))}).drop("block_number", "log_index")
@@ -146,6 +146,21 @@ def _ingested(c: Chain) -> DataFrame:
 query("ingest_blocks", f"SELECT {BLOCK_SQL}, hash, parent_hash FROM f_b WHERE number <= (SELECT max(number) FROM f_b) - 12")(_ingested)
 
 
+def _once(c: Chain) -> DataFrame:
+    """Blocks of a stream in which each file comes twice, those of the same height one after the other."""
+    folder = _folder(c)
+    rows = c.blocks.selectExpr("number", "hash", "parent_hash", "timestamp", "gas_used", "transaction_count", "cast(size as long) size", "cast(base_fee_per_gas as long) base_fee_per_gas")
+    for low, high in ((0, 0.5), (0, 0.5), (0.4, 1)):
+        rows.where(F.col("number").between(int(low * c.head), int(high * c.head))).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    stream = c.spark.readStream.schema(schemas.BLOCK_LANDING).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landing")
+    once = ingest.blocks_once(stream, "3650 days")
+    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.parquet(f"{folder}/out").select("number", "hash")
+
+
+query("blocks_once", "SELECT number, hash FROM f_b")(_once)
+
+
 def _balances_streamed(c: Chain) -> DataFrame:
     folder = _folder(c)
     reads = c.history.withColumn("arrival", F.lit(1))
