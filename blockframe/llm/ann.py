@@ -278,8 +278,10 @@ def measure_ratio(lists: Lists, q: np.ndarray, asked: np.ndarray, x: np.ndarray,
     """The least ratio that finds the target's share of the true neighbours x of sampled queries q[asked]."""
     if not len(x):
         return 1.0
-    e = lists.extend(q, query=True)
-    far = np.sqrt(((e[:, None, :] - lists.centroids[None]) ** 2).sum(axis=2))
+    e = lists.extend(q, query=True).astype(np.float64)
+    far = np.empty((len(e), len(lists.centroids)))
+    for i, one in enumerate(e):  # a query at a time: no more than the centroids' own size at once
+        far[i] = np.sqrt(((lists.centroids - one) ** 2).sum(axis=1))
     row, chosen = postings(lists, x)
     query = asked[row]
     need = np.full(len(x), np.inf)
