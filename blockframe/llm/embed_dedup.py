@@ -1,11 +1,12 @@
 """Near-duplicates of embeddings with a navigable small-world graph per shard.
 
-Equal vectors are made one first. The distinct ones are dealt to shards of some `SHARD_ROWS` at most (`SHARDS` at least) by a hash of their id; each shard's
-graph is built in one task and written to the shared checkpoint folder. All vectors, in blocks, are then searched in
-every shard. A task holds one block and one shard: it audits itself first: of a sample of its queries all true links in the shard are computed, and while the search
-misses one the beam is doubled, up to the whole shard. Then all are searched, and those whose whole beam is linked again
-with one twice as wide. Found pairs are verified by their
-cosine in double precision. Only counts and a spanning forest of a task's links leave it, so a group of n near copies
+Equal vectors are made one first. The distinct ones are dealt to shards (`SHARDS` at least) by a hash of their id, so many that
+a shard stays within `SHARD_ROWS` and, with its graph, `SHARD_BYTES`; each shard's graph is built in one task and written to the shared
+checkpoint folder. All vectors, in blocks, are then searched in every shard. Blocks are dealt to lanes of `LANE_BLOCKS` at most;
+a task gets a shard's graph once and the blocks of one lane. It audits itself first: of a sample of its queries, and of more
+that are known to have links, all true links in the shard are computed, and while the search misses one the beam is doubled,
+up to the whole shard. Then all are searched, and those whose whole beam is linked again with one twice as wide. Found pairs
+are verified by their cosine in double precision. Only counts and a spanning forest of a task's links leave it, so a group of n near copies
 costs n rows and not n^2. Components are unioned over all tasks.
 """
 
@@ -26,14 +27,18 @@ from .vectors import cosines, distinct, matrix, pack, unit, vector_type
 THRESHOLD = 0.9
 #: Graphs that every vector is searched in, at least.
 SHARDS = 8
-#: Vectors of a shard, so that one fits a task's memory at any number of rows: 200,000 of 64 components take some 70 MB.
+#: Vectors of a shard, and bytes of them, as doubles, with their links: so one fits a task and a row at any number and length.
 SHARD_ROWS = 200_000
+SHARD_BYTES = 160 * 1024 * 1024
 #: Queries in a block.
 BLOCK = 2048
-#: Tasks that share the work on one shard.
+#: Blocks that a task searches in a shard, at most; lanes of a shard, at least.
+LANE_BLOCKS = 64
 LANES = 4
 BEAM = 32
+#: Queries that are audited at random, and as many of those among POOL that have links.
 AUDITED = 48
+POOL = 4096
 #: Single precision may put a pair on the wrong side of the threshold by less than this.
 _SLACK = 1e-4
 #: Pairs that a task holds at once.
@@ -68,7 +73,7 @@ def _read(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _graphs(shards: DataFrame) -> DataFrame:
-    """The shards with their graphs: layers as bytes, their widths, and the entry node."""
+    """The shards with their graphs: each layer's own nodes and their links as bytes, its width, and the entry node."""
 
     def run(batches):
         for batch in batches:
@@ -78,7 +83,8 @@ def _graphs(shards: DataFrame) -> DataFrame:
                     [
                         row
                         | {
-                            "layers": [x.astype(np.int32).tobytes() for x in graph.layers],
+                            "members": [np.flatnonzero((x >= 0).any(axis=1)).astype(np.int32).tobytes() for x in graph.layers],
+                            "layers": [x[(x >= 0).any(axis=1)].astype(np.int32).tobytes() for x in graph.layers],
                             "widths": [x.shape[1] for x in graph.layers],
                             "entry": graph.entry,
                         }
@@ -88,10 +94,10 @@ def _graphs(shards: DataFrame) -> DataFrame:
 
     schema = pa.schema(
         [("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary()),
-         ("layers", pa.list_(pa.binary())), ("widths", pa.list_(pa.int32())), ("entry", pa.int32())]
+         ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary())), ("widths", pa.list_(pa.int32())), ("entry", pa.int32())]
     )
     return shards.mapInArrow(
-        run, "shard int, dim int, ids binary, counts binary, vectors binary, layers array<binary>, widths array<int>, entry int"
+        run, "shard int, dim int, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>, widths array<int>, entry int"
     )
 
 
@@ -103,24 +109,51 @@ def _dense(q: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndar
         yield r + i, c
 
 
+def _graph(row: dict, vectors: np.ndarray) -> hnsw.Graph:
+    layers = []
+    for members, data, width in zip(row["members"], row["layers"], row["widths"], strict=True):
+        links = np.full((len(vectors) + 1, width), -1, dtype=np.int32)
+        links[np.frombuffer(members, dtype=np.int32)] = np.frombuffer(data, dtype=np.int32).reshape(-1, width)
+        layers.append(links)
+    return hnsw.Graph(unit(vectors), layers, row["entry"])
+
+
+def audit(graph: hnsw.Graph, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED, seed: int = 3) -> tuple[int, int]:
+    """(beam, links): the beam that misses none of the audited queries' true links, and how many links they have.
+
+    A random sample alone would hold few queries with links where links are rare; so as many that a first search finds some
+    for are audited besides, out of a larger sample.
+    """
+    n = len(graph.vectors)
+    drawn = np.random.default_rng(seed).permutation(len(q))[: max(audited, POOL)]
+    linked = drawn[:0]
+    if len(drawn) > audited:
+        _, near = graph.search(q[drawn], beam)
+        linked = drawn[(near >= least).sum(axis=1) > 1][:audited]  # one of them may be the query itself
+    sample = np.unique(np.concatenate([drawn[:audited], linked]))
+    truth = np.zeros(len(sample), np.int64)
+    for rows, _ in _dense(q[sample], graph.vectors, least):
+        np.add.at(truth, rows, 1)
+    own = np.flatnonzero(truth)
+    while beam < n and len(own):
+        _, near = graph.search(q[sample[own]], beam)
+        # a full beam is widened for its own query anyway
+        if (np.minimum(truth[own], beam) <= (near >= least).sum(axis=1)).all():
+            break
+        beam *= 2
+    return beam, int(truth.sum())
+
+
 def range_search(graph: hnsw.Graph, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED, seed: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) of the pairs as near as least that the graph finds, in parts of bounded size.
 
-    First the beam is widened until the audit of a sample of the queries finds no link missing; then all are searched with
-    it, and those whose whole beam is linked again with one twice as wide, until none's is. A beam as wide as the graph
-    is no search any more, and becomes products with all its vectors.
+    First the beam is widened by an audit, unless none are to be audited; then all are searched with it, and those whose whole beam is linked again with
+    one twice as wide, until none's is. A beam as wide as the graph is no search any more, and becomes products with all
+    its vectors.
     """
     n = len(graph.vectors)
-    sample = np.sort(np.random.default_rng(seed).permutation(len(q))[:audited])
-    for part in _dense(q[sample], graph.vectors, least):
-        truth = np.bincount(part[0], minlength=len(sample))
-        while beam < n and (truth > 0).any():
-            own = np.flatnonzero(truth)
-            _, near = graph.search(q[sample[own]], beam)
-            # a full beam is widened for its own query anyway
-            if (np.minimum(truth[own], beam) <= (near >= least).sum(axis=1)).all():
-                break
-            beam *= 2
+    if audited:
+        beam, _ = audit(graph, q, least, beam, audited, seed)
     left = np.arange(len(q))
     while len(left) and beam < n:
         full = []
@@ -158,47 +191,55 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[moved], ends[least[moved]]
 
 
-def _search(pairs: DataFrame, threshold: float) -> DataFrame:
+def _search(graphs: DataFrame, queries: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(id, links, other): a query's number of linked rows in a shard, or (with links null) an edge of a task's forest."""
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, counts, x = _read(row)
-                own, _, q = _read(row, "q_")
-                layers = [
-                    np.frombuffer(data, dtype=np.int32).reshape(-1, width)
-                    for data, width in zip(row["layers"], row["widths"], strict=True)
-                ]
-                graph = hnsw.Graph(unit(x), layers, row["entry"])
-                links = np.zeros(len(own), dtype=np.int64)
-                src = dst = np.empty(0, np.int64)
-                for a, b in range_search(graph, unit(q), threshold - _SLACK):
-                    for i in range(0, len(a), 65536):
-                        u, v = a[i : i + 65536], b[i : i + 65536]
-                        good = (cosines(q[u], x[v]) >= threshold) & (own[u] != ids[v])
-                        np.add.at(links, u[good], counts[v[good]])
-                        # of the links so far a spanning forest is kept, no more rows than vectors
-                        src, dst = _forest(np.concatenate([src, own[u[good]]]), np.concatenate([dst, ids[v[good]]]))
-                some = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own[some], src]), pa.int64()),
-                        pa.concat_arrays([pa.array(links[some], pa.int64()), pa.nulls(len(src), pa.int64())]),
-                        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(dst, pa.int64())]),
-                    ],
-                    names=["id", "links", "other"],
-                )
-
-    return pairs.mapInArrow(run, "id long, links long, other long")
-
-
-def shards_of(count: int) -> int:
-    """The shards that so many distinct vectors are dealt to."""
-    return max(SHARDS, -(-count // SHARD_ROWS))
-
-
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, shards: int | None = None, lanes: int = LANES) -> DataFrame:
+    def visit(shard: pa.Table, blocks: pa.Table) -> pa.Table:
+        found = []
+        if shard.num_rows and blocks.num_rows:
+            row = shard.to_pylist()[0]
+            ids, counts, x = _read(row)
+            graph = _graph(row, x)
+            lane = [_read(block, "q_") for block in blocks.to_pylist()]
+            drawn = np.random.default_rng(7)
+            some = [q[drawn.permutation(len(q))[: -(-POOL // len(lane))]] for _, _, q in lane]
+            beam, _ = audit(graph, unit(np.concatenate(some)), threshold - _SLACK)
+            found = [_links(graph, ids, counts, x, own, q, beam, threshold) for own, _, q in lane]
+        return pa.concat_tables([_EMPTY, *found])
+
+    return graphs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(visit, "id long, links long, other long")
+
+
+_EMPTY = pa.table({c: pa.array([], pa.int64()) for c in ("id", "links", "other")})
+
+
+def _links(graph: hnsw.Graph, ids, counts, x, own, q, beam: int, threshold: float) -> pa.Table:
+    """The links of one block's queries in a shard: their counts, and a spanning forest."""
+    links = np.zeros(len(own), dtype=np.int64)
+    src = dst = np.empty(0, np.int64)
+    for a, b in range_search(graph, unit(q), threshold - _SLACK, beam, audited=0):
+        for i in range(0, len(a), 65536):
+            u, v = a[i : i + 65536], b[i : i + 65536]
+            good = (cosines(q[u], x[v]) >= threshold) & (own[u] != ids[v])
+            np.add.at(links, u[good], counts[v[good]])
+            # of the links so far a spanning forest is kept, no more rows than vectors
+            src, dst = _forest(np.concatenate([src, own[u[good]]]), np.concatenate([dst, ids[v[good]]]))
+    some = np.flatnonzero(links)
+    columns = {
+        "id": pa.array(np.concatenate([own[some], src]), pa.int64()),
+        "links": pa.concat_arrays([pa.array(links[some], pa.int64()), pa.nulls(len(src), pa.int64())]),
+        "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(dst, pa.int64())]),
+    }
+    return pa.table(columns)
+
+
+def shards_of(count: int, dim: int = 64) -> int:
+    """The shards that so many distinct vectors of so many components are dealt to."""
+    rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dim + 16 * hnsw.NEIGHBOURS)))
+    return max(SHARDS, -(-count // rows))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, shards: int | None = None, lanes: int | None = None) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of df.
 
     n_links is the number of other rows linked directly, equal vectors included; component_id is the least id reachable,
@@ -210,22 +251,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     spark = df.sparkSession
     bound_batches(spark)
     nodes = cut(distinct(df, id_col, vector))
-    count = nodes.count()
-    shards = shards or shards_of(count)
+    count, longest = nodes.agg(F.count("*"), F.max("dim")).first()
+    shards = shards or shards_of(count, longest or 1)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     graphs = cut(_graphs(_blocks(nodes.withColumn("shard", shard), "shard").repartition(shards, "shard")))
     n_blocks = max(1, -(-count // BLOCK))
+    lanes = lanes or max(LANES, -(-n_blocks // LANE_BLOCKS))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int")
     queries = _blocks(nodes.withColumn("block", block), "block").select(
         "dim", "block", *(F.col(c).alias(f"q_{c}") for c in ("ids", "counts", "vectors"))
     )
-    # Each block meets each shard. Graphs are copied once per lane, not once per block, and meet the blocks of their
-    # lane in one task; rows here are blocks and graphs, not vectors.
-    keys, parts = ["dim", "shard", "lane"], 2 * shards * lanes
-    sent = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    sent = sent.withColumn("lane", F.col("block") % lanes).repartition(parts, *keys)
-    ready = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")).repartition(parts, *keys)
-    found = cut(_search(sent.join(ready, keys), threshold))
+    # Each block meets each shard. A graph is sent once for each lane, and meets the blocks of the lane in one task.
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = queries.select("*", every(shards).alias("shard")).withColumn("lane", F.col("block") % lanes)
+    found = cut(_search(graphs.select("*", every(lanes).alias("lane")), sent, ["dim", "shard", "lane"], threshold))
     counted = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("other is not null"), "id", "other")
     named = nodes.join(counted, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left").select(

@@ -175,3 +175,30 @@ def test_query_with_planted_links(spark, sf, tmp_path):
     assert links.sum() > 100
     got = {r.vec_id: r for r in op2_embeddings(spark, str(tmp_path)).collect()}
     assert [(got[i].n_links, got[i].component_id) for i in ids] == [(n, ids[g]) for n, g in zip(links, group)]
+
+
+def test_long_vectors_make_smaller_shards():
+    rows = embed_dedup.SHARD_BYTES // (8 * 1536)
+    assert embed_dedup.shards_of(8 * embed_dedup.SHARD_ROWS, 64) == 8
+    assert embed_dedup.shards_of(8 * embed_dedup.SHARD_ROWS, 1536) >= 8 * embed_dedup.SHARD_ROWS // rows
+
+
+def test_an_audit_finds_links_where_they_are_rare():
+    random = np.random.default_rng(6)
+    x = random.normal(size=(6000, 16)).astype(np.float32)
+    x[:40] = x[100:140] + random.normal(size=(40, 16)).astype(np.float32) * 0.05
+    q = np.concatenate([x[40:100], x[200:5900], x[:40]])
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    graph = hnsw.build(unit(x))
+    _, links = embed_dedup.audit(graph, unit(q), 0.95, audited=20)
+    assert links >= 20 + 10  # each query finds itself; and a good part of those with a true link is among the audited
+    assert embed_dedup.audit(graph, unit(q[:0]), 0.95) == (embed_dedup.BEAM, 0)
+
+
+def test_the_ratio_is_measured_a_query_at_a_time(spark):
+    x = clustered()
+    lists = ann.fit(x, len(x), float((x.astype(np.float64) ** 2).sum(axis=1).max()))
+    q = x[:30].astype(np.float64)
+    asked, near = np.repeat(np.arange(30), 5), x[np.argsort(-(q @ x.T), axis=1)[:, :5].ravel()]
+    ratio = ann.measure_ratio(lists, q, asked, near)
+    assert ratio >= 1 and ann.measure_ratio(lists, q, asked[:0], near[:0]) == 1.0
