@@ -249,8 +249,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     number = {y: i for i, y in enumerate(languages)}
     ready = [
-        (number[y], np.append(a, BUCKETS), np.append(x.astype(np.float64) * idf[a] * _SCALE, 1.0)) for y, a, x in sample
+        (number[y], np.append(a, np.int32(BUCKETS)), np.append(x.astype(np.float64) * idf[a] * _SCALE, 1.0)) for y, a, x in sample
     ]
+    del sample
+    pa.default_memory_pool().release_unused()  # the driver goes on without the rows that it was sent
     held = ready[::5] if len(ready) >= 20 else []
     learned = [r for i, r in enumerate(ready) if i % 5] if held else ready
     w, b = _ftrl(learned, len(languages))
