@@ -5,7 +5,7 @@ characters outside links over the number of tags it was made with. Ratios are sm
 Gaussian, and split by a threshold into content and the rest (two clusters, fitted to each page). Content lines vote
 for the elements that hold them; the winning element is the content region (an article element being no more than a prior),
 and all its lines are returned, short ones too, but for those inside menus, headers, footers, sidebars, notices, adverts,
-forms and comments. The work grows with a page's length only, whatever its nesting.
+forms and comments. Names of classes and ids mark those only where they say nothing else, and names of headings never. The work grows with a page's length only, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -39,8 +39,16 @@ MARKS = frozenset(
 )
 #: Those of them that mark what readers wrote; an article among those isn't the page's.
 TALK = frozenset("comment comments disqus respond reply replies".split())
-#: Words that may come before such a word in a name; with others ("has-sidebar", "entry-header") it says something else.
+#: Words that may stand beside such words in a name; with others ("share-price", "related-work") it says something else.
 _PLACES = frozenset("site main primary secondary left right top bottom global".split())
+_SHAPES = frozenset(
+    "area bar block body box button buttons col column container content form group icons inner item items label link "
+    "links list message outer panel post posts row section slot strip text thread title top unit widget wrap wrapper".split()
+)
+#: Elements whose names belong to the text: generated from headings.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can hold a whole text; a paragraph, list or table is a part of one.
+_HOLDS = frozenset("html body div section article main td center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 _CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,14 +59,17 @@ _UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")  # a page cut off inside a tag
 
 
 def marks(names: str) -> set[str]:
-    """The words of MARKS that class and id names are, or clearly begin with: "ad", "cookie-notice", "site-footer"."""
+    """The words of MARKS in class and id names that say nothing else: "ad", "ad-slot-2", "cookie-notice", "site-footer".
+
+    Such a word, after one of place at most, begins the name, and words of shape and numbers may follow.
+    """
     found = set()
     for name in names.lower().split():
-        first, *rest = [x for x in re.split("[-_:]+", name) if x] or [""]
-        if first in _PLACES and len(rest) == 1:
-            first = rest[0]
-        if first in MARKS:
-            found.add(first)
+        words = [x for x in re.split("[-_:]+", name) if x]
+        if len(words) > 1 and words[0] in _PLACES:
+            del words[0]
+        if words and words[0] in MARKS and all(x in MARKS or x in _SHAPES or x.isdecimal() for x in words):
+            found.add(words[0])
     return found
 
 
@@ -76,6 +87,7 @@ class _Lines(HTMLParser):
         self.places: dict[str, list[int]] = {}  # of open elements in the stack, by tag; blocks also under BLOCK
         self.parent = [0]
         self.around = [False]
+        self.holds = [True]  # whether an element can hold a whole text
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -105,6 +117,11 @@ class _Lines(HTMLParser):
         if place > self._last(stop):
             self._close(place)
 
+    @staticmethod
+    def _id_marks(tag: str, name: str) -> set[str]:
+        """What an id marks. A section's is made from its heading, unless it is what readers wrote and nothing else."""
+        return ({name.lower()} & TALK) if tag == "section" else marks(name)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -120,9 +137,12 @@ class _Lines(HTMLParser):
         _, parent, silent, inside = self.stack[-1]
         number = len(self.parent)
         self.parent.append(parent)
+        self.holds.append(tag in _HOLDS)
         said = dict(attrs)
-        names = marks(f"{said.get('class') or ''} {said.get('id') or ''}")
-        if tag in ("article", "main"):
+        names = marks(said.get("class") or "") | self._id_marks(tag, said.get("id") or "")
+        if tag in _HEADINGS:
+            names = set()
+        elif tag in ("article", "main"):
             names &= TALK if tag == "article" else set()
         elif inside:
             names -= {"header"}  # an article's own
@@ -211,13 +231,15 @@ def _below(elements, parent: list[int]) -> list[bool]:
 
 
 def _surrounding(named: dict[int, bool], marked: set[int], parent: list[int], lines: list) -> list[bool]:
-    """Whether each element lies in a named one that does surround: none that holds most of the content characters, or the only article."""
+    """Whether each element lies in a named one that does surround: none that wraps most of the content characters, in blocks
+    of its own, or the only article."""
     talk = _below({e for e, t in named.items() if t}, parent)
-    own = [0] * len(parent)
+    own, blocks = [0] * len(parent), [0] * len(parent)
     for text, _, linked, e in lines:
         own[e] += 0 if talk[e] else len(text) - linked
-    votes = _summed(own, parent)
-    around = {e for e, t in named.items() if t or 2 * votes[e] <= votes[0]}
+        blocks[e] += not talk[e]
+    votes, blocks = _summed(own, parent), _summed(blocks, parent)
+    around = {e for e, t in named.items() if t or 2 * votes[e] <= votes[0] or blocks[e] == 1 < blocks[0]}
     inside = _below(around, parent)
     articles = [e for e in marked if votes[e] > 0]
     if articles and all(inside[parent[e]] for e in articles):
@@ -235,8 +257,8 @@ def content_lines(ratio: np.ndarray) -> np.ndarray:
     return even >= threshold(even)
 
 
-def _region(lines: list, content: np.ndarray, parent: list[int], marked: set[int]) -> int:
-    """The element that content lines elect: the innermost with four fifths of their characters.
+def _region(lines: list, content: np.ndarray, parent: list[int], marked: set[int], holds: list[bool]) -> int:
+    """The element that content lines elect: the innermost that can hold a whole text, with four fifths of their characters.
 
     An article (or the like) is a prior: one around the elected element is taken instead, or one elsewhere that holds half of
     the content, or an eighth of all text (a short article). A smaller one, such as a teaser beside the text, isn't.
@@ -249,6 +271,8 @@ def _region(lines: list, content: np.ndarray, parent: list[int], marked: set[int
     if not votes[0]:
         votes = whole
     region = max(e for e, n in enumerate(votes) if 5 * n >= 4 * votes[0])
+    while not holds[region]:
+        region = parent[region]
     above = region
     while above and above not in marked:
         above = parent[above]
@@ -277,7 +301,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines])
-    region = _region(lines, content_lines(ratio), parser.parent, parser.marked)
+    region = _region(lines, content_lines(ratio), parser.parent, parser.marked, parser.holds)
     inside = _below({region}, parser.parent)
     return "\n".join(text for text, *_, e in lines if not region or inside[e])
 
