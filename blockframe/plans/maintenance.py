@@ -115,7 +115,7 @@ query("watermark_lag", f"SELECT max(number) - {MARK} AS lag, CASE WHEN count(CAS
 # --- gaps and links ------------------------------------------------------------------------------------------------
 
 HOLES = "SELECT number + 1 AS from_block, nx - 1 AS to_block FROM (SELECT number, lead(number) OVER (ORDER BY number) AS nx FROM f_blocks) WHERE nx > number + 1"
-query("missing_ranges", HOLES)(lambda c: gaps.missing_ranges(c.blocks, bucket=256))
+query("missing_ranges", HOLES)(lambda c: gaps.missing_ranges(c.blocks))
 query("coverage", f"SELECT count(*) AS stored, min(number) AS first_block, max(number) AS last_block, (SELECT count(*) FROM ({HOLES})) AS gaps, (SELECT CAST(sum(to_block - from_block + 1) AS BIGINT) FROM ({HOLES})) AS missing FROM f_blocks WHERE number BETWEEN {EARLY} AND {LATE}")(
     lambda c: gaps.coverage(c.blocks, gaps.missing_ranges(c.blocks), c.head // 8, c.late)
 )

@@ -126,6 +126,11 @@ def test_gap_scan_seeded(spark):
     df = spark.createDataFrame([(n,) for n in range(0, 2001) if n not in gone], "number long")
     got = {n for r in gaps.missing_ranges(df, 0, 2010, bucket=50).collect() for n in range(r.from_block, r.to_block + 1)}
     assert got == gone | set(range(2001, 2011))
+    twice = df.unionByName(df.where("number % 3 = 0")).unionByName(spark.createDataFrame([(None,)], "number long"))
+    for bucket in (1, 50, gaps.SCAN_BUCKET):
+        rows = gaps.missing_ranges(twice, 0, 2010, bucket).collect()
+        assert {n for r in rows for n in range(r.from_block, r.to_block + 1)} == gone | set(range(2001, 2011))
+        assert [r.to_block for r in rows] == sorted((r.to_block for r in rows), reverse=True)
 
 
 def test_schema_text_is_readable(spark):
