@@ -118,6 +118,24 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+#: Every anchor against every row, by plain products.
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS own, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+           FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT own AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda p: p["start"].cast("long"))
@@ -139,6 +157,23 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
 
 
+#: The cuts by counting lines; a text that is rebuilt exactly has its own digest.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('7:', doc_id)) AS h FROM documents),
+     l AS (SELECT *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS ls FROM d),
+     g AS (SELECT *, len(ls) AS n, CAST(concat('0x', h[1:8]) AS BIGINT) % (len(ls) + 1) AS h1, CAST(concat('0x', h[9:16]) AS BIGINT) % (len(ls) + 1) AS h2,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                       WHEN CAST(concat('0x', h[25:32]) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+     c AS (SELECT doc_id, t, n, form, coalesce(array_to_string(ls[1:least(h1, h2)], ''), '') AS p,
+                  coalesce(array_to_string(ls[least(h1, h2) + 1:greatest(h1, h2)], ''), '') AS m,
+                  coalesce(array_to_string(ls[greatest(h1, h2) + 1:], ''), '') AS s FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embeddings": op2_embeddings,
@@ -154,4 +189,4 @@ QUERIES = {
     "op12_licenses": op12_licenses,
     "op13_fim": op13_fim,
 }
-ORACLE_SQL = {"op7_mixing": OP7_SQL}
+ORACLE_SQL = {"op7_mixing": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_fim": OP13_SQL}
