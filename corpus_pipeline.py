@@ -42,7 +42,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8: the one with the least id.
 
-    Null and empty texts are one group; ties and repeated rows leave one row. Columns are those of docs.
+    Null and empty texts are one group; ties and repeated rows leave one row. Texts of any length are compared whole.
+    Columns are those of docs. An empty table stays empty.
     """
     return simhash.drop_near_copies(docs)
 
@@ -59,13 +60,18 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated or left out so that sources weigh as the root of their size, in a global shuffle.
 
-    A null source is a source of its own; rows that share an id are drawn alike. Columns are those of docs.
+    A null source is a source of its own; rows that share an id are drawn alike. Texts, null, empty or of any length, are
+    passed on as they are. Columns are those of docs. An empty table stays empty.
     """
     return mixing.replicate(docs, copy=_free(docs, "copy")).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its token ids, their number, and whether they decode to its text. A null text has no ids."""
+    """Each row with its token ids, their number, and whether they decode to its text.
+
+    Null and empty texts have no ids. Texts of any length are encoded whole; repeated rows are each encoded alike. Of the
+    other columns only those of documents are passed on. An empty table stays empty.
+    """
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
