@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each view and its SQL; later ones read earlier ones. `orders` and `lineitem` are the tables.
@@ -85,9 +87,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables in a folder, as a lazy DataFrame."""
     if (sf_dir, name) in _KEPT:
         return _KEPT[sf_dir, name]
-    tables = {"orders": read(spark, sf_dir, "orders"), "lineitem": read(spark, sf_dir, "lineitem")}
-    wanted = [n for n in VIEWS if n == name or n == "f_tx" or (n == "f_lines" and name in ("f_transfers", "f_frames"))]
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
-    for table in tables:
-        ctes = ctes.replace(f"FROM {table}", f"FROM {{{table}}}")
-    return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **{k: v for k, v in tables.items() if f"{{{k}}}" in ctes})
+    # each view is a DataFrame over those that it reads, not a WITH clause: Spark numbers the clauses of a whole query, so that
+    # the same view is another plan at its second place there, and what `keep` has persisted wouldn't be found
+    named = re.findall(r"\b(?:FROM|JOIN) (\w+)", VIEWS[name])
+    inner = {n: view(spark, sf_dir, n) if n in VIEWS else read(spark, sf_dir, n) for n in named}
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", VIEWS[name]), **inner)
