@@ -316,7 +316,7 @@ query("balance_drift", f"SELECT token_address, address, 'balance' AS counter, CA
     lambda c: ledger.balance_drift(c.balances.withColumn("balance", (F.col("balance") + (F.col("address") == ADDRESS).cast("int")).cast("decimal(38,0)")), c.history)
 )
 query("backfill_totals", f"SELECT {STAT_SQL} FROM stats")(
-    lambda c: rollups.address_stats_merge(*(rollups.address_stats(c.contributions.where(w)) for w in (F.col("block_number") < 150, F.col("block_number") >= 150)))
+    lambda c: rollups.address_stats_merge(*(rollups.address_stats(c.dealt.where(w)) for w in (F.col("block_number") < 150, F.col("block_number") >= 150)))
 )
 
 # --- checks, samples, retention ------------------------------------------------------------------------------------
@@ -395,7 +395,7 @@ query("revert_nft", f"""SELECT token_address, token_id, coalesce(was, sender, ow
     (SELECT arg_min(from_address, block_number * 100000 + log_index) FROM f_transfers m WHERE m.token_type = 'ERC721' AND m.token_address = n.token_address AND m.token_id = n.token_id AND block_number >= {CUT}) AS sender FROM nfts n), zero
     WHERE NOT (was IS NULL AND sender IS NOT NULL AND sender = z)""")(lambda c: reorg.revert_nft(c.nfts, c.transfers, CUT, 10**9).select("token_address", "token_id", "owner"))
 query("revert_address_stats", f"SELECT address, count(DISTINCT tx) AS tx_count, CAST(sum(internal) AS BIGINT) AS internal_tx_count, CAST(sum(moved) AS BIGINT) AS token_transfer_count, CAST(sum(sent) AS BIGINT) AS sent_count, min(block_number) AS first_seen, max(block_number) AS last_seen, bool_or(is_contract) AS is_contract FROM contrib WHERE block_number < {CUT} GROUP BY address")(
-    lambda c: reorg.revert_address_stats(c.stats, c.contributions, CUT, 10**9)
+    lambda c: reorg.revert_address_stats(c.stats, c.dealt, CUT, 10**9)
 )
 query("revert_balances", f"SELECT token_address, address, arg_max(balance, block_number) AS balance, max(block_number) AS block_number FROM history WHERE block_number < {CUT} GROUP BY token_address, address")(
     lambda c: reorg.revert_balances(c.history, c.balances, CUT, 10**9)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
-from blockframe.operators import backfill
+from blockframe.operators import backfill, rollups
 from blockframe.plans import landing
 from blockframe.plans.chain import SPAN, Chain
 from blockframe.sources import fixtures, raw
@@ -26,6 +28,19 @@ def test_lines_are_exchanged_once(shuffled, sf):
     assert exchanges(fixtures.view(shuffled, sf, "f_lines")) == 2  # lines and orders
 
 
+def dealt_by(df) -> list[str]:
+    """The keys of each exchange by hash."""
+    return re.findall(r"Exchange hashpartitioning\((.*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_transactions_are_grouped_where_their_block_lies(shuffled, sf):
+    c = Chain(shuffled, sf)
+    assert not [keys for keys in dealt_by(c.stats) if "tx" in keys or "hash" in keys]
+    assert c.stats.exceptAll(rollups.address_stats(c.contributions)).isEmpty() and c.stats.count() == c.contributions.select("address").distinct().count()
+    assert sum("address" in keys for keys in dealt_by(c.span_addresses)) == 2  # creations, and then spans
+    assert len(dealt_by(c.contracts)) == 3  # lines, orders, and the contracts' addresses
+
+
 def test_dump_exchanges_tables_and_no_text(shuffled, sf):
     assert exchanges(landing.bundles(Chain(shuffled, sf))) <= 7
 
