@@ -41,6 +41,14 @@ def test_transactions_are_grouped_where_their_block_lies(shuffled, sf):
     assert len(dealt_by(c.contracts)) == 3  # lines, orders, and the contracts' addresses
 
 
+def test_counting_addresses_looks_for_no_creations(shuffled, sf):
+    c = Chain(shuffled, sf)
+    some = rollups.addresses(c.txs, c.transfers, c.frames)
+    assert some.exceptAll(c.stats.select("address")).isEmpty() and some.count() == c.stats.count()
+    plan = c.counters._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "row_number" not in plan
+
+
 def test_dump_exchanges_tables_and_no_text(shuffled, sf):
     assert exchanges(landing.bundles(Chain(shuffled, sf))) <= 7
 
