@@ -7,7 +7,7 @@ import re
 import pytest
 
 from blockframe.operators import backfill, rollups
-from blockframe.plans import landing
+from blockframe.plans import landing, queries
 from blockframe.plans.chain import SPAN, Chain
 from blockframe.sources import fixtures, raw
 
@@ -49,6 +49,15 @@ def test_counting_addresses_looks_for_no_creations(shuffled, sf):
     assert "posexplode" not in plan and "row_number" not in plan
 
 
+def test_balances_are_added_up_once(shuffled, sf):
+    c = Chain(shuffled, sf)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert text(c.balances).count("HashAggregate(") == 2  # within tasks, and after the exchange
+    last = rollups.current_balances(c.history).select(c.balances.columns)
+    assert c.balances.exceptAll(last).isEmpty() and c.balances.count() == last.count()
+    assert "row_number" not in text(queries.QUERIES["holder_count_wide"](shuffled, sf))  # no place of a log is looked for
+
+
 def test_dump_exchanges_tables_and_no_text(shuffled, sf):
     assert exchanges(landing.bundles(Chain(shuffled, sf))) <= 7
 
