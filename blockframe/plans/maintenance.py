@@ -325,8 +325,16 @@ query("check_blocks_total", f"SELECT count(*) AS stored, max(number) - (SELECT C
     lambda c: checks.check_blocks_total(c.counters, c.blocks, gaps.missing_ranges(c.blocks), 1)
 )
 query("check_supply", f"SELECT token_address, supply AS fact, supply AS stored, true AS ok FROM totals WHERE supply IS NOT NULL UNION ALL SELECT '{UNKNOWN}', 5, NULL, false")(
-    lambda c: checks.check_supply(c.token_totals, c.token_totals.where("supply is not null").select("token_address", F.col("supply").alias("fact")).unionByName(c.rows("token_address string, fact long", (UNKNOWN, 5)).select("token_address", F.col("fact").cast("decimal(38,0)").alias("fact"))))
+    lambda c: _supplies(c, c.stored(c.token_totals))  # a row per token, added up once for both sides
 )
+
+
+def _supplies(c: Chain, totals: DataFrame) -> DataFrame:
+    """The stored totals against supplies from elsewhere: their own, and one of a token that isn't stored."""
+    unknown = c.rows("token_address string, fact long", (UNKNOWN, 5)).select("token_address", F.col("fact").cast("decimal(38,0)").alias("fact"))
+    return checks.check_supply(totals, totals.where("supply is not null").select("token_address", F.col("supply").alias("fact")).unionByName(unknown))
+
+
 query("check_nonces", "SELECT address, sent_count AS fact, sent_count AS stored, true AS ok FROM stats WHERE sent_count > 0")(
     lambda c: checks.check_nonces(c.stats, c.txs.where(F.col("tx_type").isin(*rollups.COUNTED_TYPES)).groupBy(F.col("from_address").alias("address")).agg(F.count("*").alias("fact")))
 )

@@ -58,6 +58,11 @@ def test_balances_are_added_up_once(shuffled, sf):
     assert "row_number" not in text(queries.QUERIES["holder_count_wide"](shuffled, sf))  # no place of a log is looked for
 
 
+def test_supplies_are_added_up_once(shuffled, sf):
+    plan = queries.QUERIES["check_supply"](shuffled, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
+
+
 def test_dump_exchanges_tables_and_no_text(shuffled, sf):
     assert exchanges(landing.bundles(Chain(shuffled, sf))) <= 7
 
