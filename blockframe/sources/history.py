@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chain import ZERO_ADDRESS
@@ -25,8 +25,14 @@ FEED_BLOCKS = 1_000_000
 #: Parts by checksum of the index and of the postings.
 INDEX_PARTS = 256
 ADDRESS_PARTS = 64
-#: Tasks that write the files of an index or a sketch, which are many and small.
+#: Blocks of a range that are one task's at most when rows are dealt.
+PIECE = 1_000
+#: Ranges whose sketches share a file.
+GROUP = 16
+#: Tasks that write the files of an index, which are many and small.
 TASKS = 32
+#: Tables of an append that are written at once: each has its exchange on disk meanwhile.
+AT_ONCE = 3
 #: The block column, the key and the hash column of each table.
 TABLES = {
     "blocks": ("number", ("number",), None),
@@ -35,6 +41,8 @@ TABLES = {
     "transfers": ("block_number", ("block_number", "log_index"), "tx_hash"),
     "frames": ("block_number", ("block_number", "tx_hash", "trace_address"), "tx_hash"),
 }
+#: Keys that are whole numbers.
+NUMBERS = ("number", "block_number", "log_index")
 
 
 def _range(column: str, size: int) -> Column:
@@ -52,9 +60,28 @@ def _part_of(text: str, parts: int) -> int:
 # --- appending -----------------------------------------------------------------------------------------------------
 
 
-def _sketch(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(bucket, print): a 64-bit fingerprint of each key, so that a sketch is as large as its keys are many."""
-    return rows.select("bucket", F.xxhash64(*keys).alias("print"))
+def _piece(column: str, size: int) -> Column:
+    """What rows are dealt by: a range, or some blocks of a wide one, so that it is no single task's."""
+    return F.floor(F.col(column) / min(size, PIECE)).cast("long")
+
+
+def dealt_by(size: int) -> Column:
+    """The expression of block_number by which append deals rows; those that are dealt by it already aren't exchanged."""
+    return _piece("block_number", size)
+
+
+def _mark(keys: tuple[str, ...]) -> Column:
+    """A 32-bit fingerprint of a key, the same for numbers of any type."""
+    return F.hash(*(F.col(k).cast("long") if k in NUMBERS else F.col(k) for k in keys))
+
+
+def _sketch(rows: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    """(bucket, range, mark): a fingerprint of each key, so that a sketch is as large as its keys are many; some ranges share a bucket."""
+    return rows.select(_group(F.col("bucket"), size).alias("bucket"), F.col("bucket").alias("range"), _mark(keys).alias("mark"))
+
+
+def _group(bucket: Column, size: int) -> Column:
+    return F.concat(F.lit("g"), F.floor(bucket / (size * GROUP)).cast("string"))
 
 
 def _keyed(table: str, rows: DataFrame, size: int) -> DataFrame:
@@ -63,61 +90,80 @@ def _keyed(table: str, rows: DataFrame, size: int) -> DataFrame:
     return rows.dropDuplicates(list(keys)).withColumn("bucket", _range(column, size))
 
 
+def _dealt(table: str, rows: DataFrame, size: int) -> DataFrame:
+    """The same, dealt by ranges and sorted in one exchange: rows of the same key follow each other, and the first one stays."""
+    column, keys, _ = TABLES[table]
+    placed = rows.withColumns({"bucket": _range(column, size), "piece_": _piece(column, size)}).repartition("piece_")
+    key = F.struct(*keys)
+    again = F.lag(key).over(Window.partitionBy("bucket", "piece_").orderBy(*keys)).eqNullSafe(key)
+    return placed.withColumn("again_", again).where("not again_").drop("again_", "piece_")
+
+
 def unstored(now: Snapshot, table: str, rows: DataFrame, size: int = BLOCKS) -> DataFrame:
     """rows with their bucket, each key once, without those that are stored.
 
-    A key holds its block, so only ranges that the rows fall into matter. Their sketches pick the rows that may be
-    stored; only for these are stored keys read. If there are none, stored rows are in no part of the plan.
+    A key holds its block, so only ranges that the rows fall into matter. Their sketches pick the ranges in which some row may
+    be stored; only of these are stored keys read. If there are none, stored rows are in no part of the plan.
     """
-    return _without_stored(now, table, _keyed(table, rows, size))
+    column, keys, _ = TABLES[table]
+    fresh = _keyed(table, rows, size)
+    placed = rows.withColumn("bucket", _range(column, size))
+    ranges = [str(r[0]) for r in placed.select("bucket").distinct().collect()] if now.buckets(table) else []  # a batch's ranges
+    met = _met(now, table, placed, ranges, size)
+    return _unheld(now, table, fresh, met) if met else fresh
 
 
-def _without_stored(now: Snapshot, table: str, fresh: DataFrame) -> DataFrame:
-    keys = TABLES[table][1]
-    ranges = sorted(str(r[0]) for r in fresh.select("bucket").distinct().collect()) if now.buckets(table) else []  # a batch's ranges
+def _met(now: Snapshot, table: str, placed: DataFrame, ranges: list[str], size: int) -> list[str]:
+    """Those of the ranges in which some of the placed rows may be stored."""
     ranges = [r for r in ranges if now.parts(table, [r])]
     if not ranges:
-        return fresh
-    bucket = F.regexp_extract(F.col("_metadata.file_path"), r"bucket=([0-9]+)", 1).cast("long")
-    sketch = now.read(f"{table}_sketch", ranges)
-    known = F.col("print") if "print" in sketch.columns else F.lit(None).cast("long")
-    sketch = sketch.select(bucket.alias("bucket"), known.alias("print_"))
-    placed = fresh.select(*keys, "bucket", F.xxhash64(*keys).alias("print_"))
-    # histories written before have bitmaps without fingerprints: in their ranges any row may be stored
-    older = placed.join(sketch.where("print_ is null").select("bucket").distinct(), "bucket", "left_semi")
-    met = placed.join(sketch, ["bucket", "print_"], "left_semi").unionByName(older)
-    maybe = met.select(*keys).distinct().persist()
-    try:
-        if maybe.isEmpty():
-            return fresh
-        held = now.read(table, ranges).select(*keys).join(maybe, list(keys), "left_semi").distinct()
-        return fresh.join(held, list(keys), "left_anti").select(*fresh.columns)
-    finally:
-        maybe.unpersist()
+        return []
+    stored_size = now.facts.get("size", size)
+    groups = {f"g{int(r) // (stored_size * GROUP)}" for r in ranges}
+    sketch = now.read(f"{table}_sketch", sorted({*groups, *ranges}))
+    old = F.regexp_extract(F.col("_metadata.file_path"), r"bucket=([0-9]+)/", 1)
+    held = {c: F.col(c) if c in sketch.columns else F.lit(None) for c in ("range", "mark")}
+    sketch = sketch.select(F.coalesce(held["range"].cast("long"), F.nullif(old, F.lit("")).cast("long")).alias("bucket"), held["mark"].cast("int").alias("mark"))
+    placed = placed.select("bucket", _mark(TABLES[table][1]).alias("mark"))
+    met = placed.join(sketch, ["bucket", "mark"], "left_semi").select("bucket")
+    # histories written before have other sketches: in their ranges any row may be stored
+    met = met.union(sketch.where("mark is null").select("bucket"))
+    found = {str(r[0]) for r in met.distinct().collect()}  # ranges
+    return [r for r in ranges if r in found]
+
+
+def _unheld(now: Snapshot, table: str, rows: DataFrame, ranges: list[str]) -> DataFrame:
+    """rows without those that the ranges hold."""
+    keys = list(TABLES[table][1])
+    return rows.join(now.read(table, ranges).select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def _postings(tables: dict[str, DataFrame]) -> DataFrame | None:
     """(bucket, kind, address, block_number, position, ref): where addresses take part, each place once.
 
     The rows of tables, each key once, hold each place of transfers and frames once; only those of transactions, in which an
-    address may take part in several ways, are looked through for the same one.
+    address may take part in several ways, are looked through for the same one. A frame's place is its ref, others have none.
     """
+    sides = F.array("from_address", "to_address")
+    none = F.lit(None).cast("string")
 
-    def sides(df: DataFrame, kind: str, position: Column, ref: Column) -> DataFrame:
-        rows = df.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array("from_address", "to_address"))).alias("address"), F.col("block_number").cast("long"), position.cast("long").alias("position"), ref.alias("ref"))
+    def posted(df: DataFrame, kind: str, position: Column, addresses: Column, ref: Column = none) -> DataFrame:
+        rows = df.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(addresses)).alias("address"), F.col("block_number").cast("long"), position.cast("long").alias("position"), ref.alias("ref"))
         return rows.where("address is not null")
 
     parts = []
-    if "txs" in tables:
-        sent = sides(tables["txs"], "tx", F.col("tx_index"), F.col("hash"))
-        if "transfers" in tables:  # who takes part through a transfer
-            place = tables["txs"].select(F.col("hash").alias("tx_hash"), "tx_index")
-            sent = sent.unionByName(sides(tables["transfers"].join(place, "tx_hash"), "tx", F.col("tx_index"), F.col("tx_hash"))).distinct()
-        parts.append(sent)
+    if "txs" in tables and "transfers" in tables:  # also who takes part through a transfer
+        block = F.col("block_number").cast("long").alias("block_number")
+        sent = tables["txs"].select(block, "hash", F.col("tx_index").cast("long").alias("position"), sides.alias("sides"))
+        moved = tables["transfers"].select(block, F.col("tx_hash").alias("hash"), F.lit(None).cast("long").alias("position"), sides.alias("sides"))
+        of = sent.unionByName(moved).groupBy("block_number", "hash").agg(F.max("position").alias("position"), F.flatten(F.collect_list("sides")).alias("sides"))  # a transaction's own
+        parts.append(posted(of.where("position is not null"), "tx", F.col("position"), F.col("sides")))
+    elif "txs" in tables:
+        parts.append(posted(tables["txs"], "tx", F.col("tx_index"), sides))
     if "transfers" in tables:
-        parts.append(sides(tables["transfers"], "transfer", F.col("log_index"), F.col("tx_hash")))
+        parts.append(posted(tables["transfers"], "transfer", F.col("log_index"), sides))
     if "frames" in tables:
-        parts.append(sides(tables["frames"], "frame", F.lit(0), F.concat_ws(" ", "tx_hash", "trace_address")))
+        parts.append(posted(tables["frames"], "frame", F.lit(0), sides, F.concat_ws(" ", "tx_hash", "trace_address")))
     if not parts:
         return None
     whole = parts[0]
@@ -131,36 +177,39 @@ def append(now: Snapshot, tables: dict[str, DataFrame], size: int = BLOCKS, toke
     """The version after now with the rows that it lacks, in one commit; the same rows again change nothing.
 
     tables are some of TABLES. Transfers of a block come with its transactions, so that the feed of an address has both.
+    What comes in is computed once, and written where it will stay; only ranges in which some rows are stored already are
+    written anew without these. Sketches, index and postings are made of what was written.
     """
     if token is not None and now.token is not None and token <= now.token:
         return now
-    keyed = {name: _keyed(name, df, size).persist() for name, df in tables.items()}
-
-    def new(name: str) -> DataFrame:
-        """The rows of a table that now lacks, held until they are written: what comes in is computed once."""
-        keyed[name].count()
-        rows = _without_stored(now, name, keyed[name])
-        if rows is not keyed[name]:
-            rows = rows.persist()
-            rows.count()
-        return rows
-
-    fresh = dict(zip(tables, versions.each(now.spark, new, tables), strict=True))
-    changes = []
-    for name, rows in fresh.items():
+
+    def new(name: str) -> list[versions.Written]:
         column, keys, hashed = TABLES[name]
-        changes.append(Change(name, rows, keys=(hashed,) if hashed else (), order=(column,)))
-        changes.append(Change(f"{name}_sketch", _sketch(rows, keys), tasks=TASKS))
-    if "txs" in fresh:
-        index = fresh["txs"].select("hash", "block_number", _part("hash", INDEX_PARTS).alias("bucket"))
-        changes.append(Change("tx_index", index, keys=("hash",), order=("hash",), tasks=TASKS))
-    posted = _postings(fresh)
-    if posted is not None:
-        changes.append(Change("postings", posted, keys=("address",), order=("address", "block_number")))
-    after = versions.commit(now, changes, {"size": size}, token)
-    for rows in (*fresh.values(), *keyed.values()):
-        rows.unpersist()
-    return after
+        kept = (hashed,) if hashed else ()
+        first = versions.write(now, Change(name, _dealt(name, tables[name], size), keys=kept, dealt=True))
+        held = [b for b in first.buckets if now.parts(name, [b])]
+        met = _met(now, name, first.rows(held), held, size) if held else []
+        if not met:
+            return [first]
+        second = versions.write(now, Change(name, _unheld(now, name, first.rows(met), met), keys=kept, order=(column,)))
+        return [first.without(met), second]
+
+    def rows(parts: list[versions.Written]) -> DataFrame:
+        whole = parts[0].rows()
+        return whole.unionByName(parts[1].rows()) if parts[1:] else whole
+
+    with versions.writing(now.spark):
+        written = dict(zip(tables, versions.each(now.spark, new, tables, AT_ONCE), strict=True))
+        fresh = {name: rows(parts) for name, parts in written.items()}
+        changes, posted = [], _postings(fresh)
+        if posted is not None:  # the longest first
+            changes.append(Change("postings", posted, keys=("address",), order=("address", "block_number")))
+        if "txs" in fresh:
+            index = fresh["txs"].select("hash", "block_number", _part("hash", INDEX_PARTS).alias("bucket"))
+            changes.append(Change("tx_index", index, keys=("hash",), order=("hash",), tasks=TASKS))
+        changes += [Change(f"{name}_sketch", _sketch(df, TABLES[name][1], size), order=("range",)) for name, df in fresh.items()]
+        hints = versions.each(now.spark, lambda change: versions.write(now, change), changes, AT_ONCE)
+    return versions.publish(now, [*(p for parts in written.values() for p in parts), *hints], {"size": size}, token)
 
 
 def compact(now: Snapshot, most: int = 8) -> Snapshot:
@@ -242,7 +291,8 @@ def _newest(now: Snapshot, kind: str, address: str, kept: Column, order: list[Co
     while at < len(ranges) and len(found) < n:
         rows = now.read("postings", [f"{part}-{r}" for r in ranges[at : at + step]])
         rows = rows.where((F.col("kind") == kind) & (F.col("address") == address) & kept)
-        found += rows.select("block_number", "position", "ref").distinct().orderBy(*order).limit(n - len(found)).collect()  # a page
+        ref = F.col("ref") if kind == "frame" else F.lit(None).cast("string")  # other places are what they are without it
+        found += rows.select("block_number", "position", ref.alias("ref")).distinct().orderBy(*order).limit(n - len(found)).collect()  # a page
         at, step = at + step, step * 2
     return found
 
