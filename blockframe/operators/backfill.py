@@ -19,20 +19,25 @@ FAMILIES = ("span", "span_token", "address", "token", "day", "pair", "active", "
 #: The families that day_parts reads; each other table reads one.
 DAY_FAMILIES = ("day", "pair", "active")
 COUNTS = tuple(f"c{i}" for i in range(1, 9))
-_FIRST = "struct<block:long,log_index:long,tx:string>"
-_ROW = (
-    "struct<family:string,key1:string,key2:string," + "".join(f"{c}:long," for c in COUNTS) + "price:decimal(38,0),"
-    "amount:struct<hi:{k},mid:{k},lo:{k}>,lo:long,hi:long,flag:boolean,first:" + _FIRST + ">"
-)
+_LIMBS = ("hi", "mid", "lo")
+#: The measures and their types, and those that a family has; all others of it are null.
+MEASURES = dict.fromkeys(COUNTS, "long") | {
+    "price": "decimal(38,0)", "amount": u256.TYPE, "lo": "long", "hi": "long", "flag": "boolean", "first": "struct<block:long,log_index:long,tx:string>",
+}
+_HAS = {
+    "span": ("c1", "c2", "c3"), "span_token": ("c1", "amount", "flag"), "address": ("c1", "c2", "c3", "c4", "lo", "hi", "flag"), "token": ("flag", "first"),
+    "day": (*COUNTS, "price", "lo"), "pair": ("lo", "hi"), "active": (), "balance": ("hi",),
+}
 
 
-def _row_type(df: DataFrame) -> str:
-    kind = df.select(u256.literal(0).alias("a")).schema["a"].dataType.fields[0].dataType.simpleString()
-    return _ROW.replace("{k}", kind)
+def _measures(families: tuple[str, ...]) -> list[str]:
+    """The measures that some of the families have."""
+    return [m for m in MEASURES if any(m in _HAS[f] for f in families)]
 
 
-def _decoded(raw: DataFrame, size: int) -> DataFrame:
-    """A row per block: its fields, transactions, transfers and frames as arrays of what is needed of them."""
+def _decoded(raw: DataFrame, size: int, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """A row per block: its fields, transactions, transfers and frames as arrays of what the families need of them."""
+    valued = "amount" in _measures(families)
     lower = lambda c: F.lower(c)
     none = lambda kind: F.array().cast(kind)
 
@@ -46,7 +51,8 @@ def _decoded(raw: DataFrame, size: int) -> DataFrame:
             nft = F.get(g["topics"], F.lit(3)).isNotNull()
             data = F.when(F.coalesce(g["data"], F.lit("0x")).isin("", "0x"), F.lit("0x0")).otherwise(F.left(g["data"], F.lit(66)))
             sender, receiver = (topic_address(F.lower(F.get(g["topics"], F.lit(i)))) for i in (1, 2))
-            return F.struct(lower(r["transactionHash"]).alias("tx"), lower(g["address"]).alias("token"), sender.alias("a"), receiver.alias("b"), hex_to_long(g["logIndex"]).alias("log_index"), nft.alias("nft"), F.when(nft, u256.literal(1)).otherwise(u256.from_hex(data)).alias("value"))
+            value = [F.when(nft, u256.literal(1)).otherwise(u256.from_hex(data)).alias("value")] if valued else []  # the costliest to read
+            return F.struct(lower(r["transactionHash"]).alias("tx"), lower(g["address"]).alias("token"), sender.alias("a"), receiver.alias("b"), hex_to_long(g["logIndex"]).alias("log_index"), nft.alias("nft"), *value)
 
         return F.transform(F.coalesce(moved, none(raw.schema["receipts"].dataType.elementType["logs"].dataType.simpleString())), one)
 
@@ -57,10 +63,12 @@ def _decoded(raw: DataFrame, size: int) -> DataFrame:
             made = F.lower(text(n, "$.type")).isin("create", "create2") & (F.length(text(n, "$.output")) > 2)
             return F.struct(lower(t["txHash"]).alias("tx"), n["path"].alias("path"), lower(text(n, "$.from")).alias("a"), lower(text(n, "$.to")).alias("b"), F.coalesce(made, F.lit(False)).alias("made"), text(n, "$.error").isNotNull().alias("failed"))
 
-        return F.transform(decode.frame_nodes(F.try_parse_json(t["result"]), root=True), one)
+        return F.transform(decode.frame_nodes(t["frame"], root=True, lists=t["lists"]), one)
 
     receipts = F.coalesce("receipts", none(raw.schema["receipts"].dataType.simpleString()))
-    traces = F.filter(F.coalesce("traces", none(raw.schema["traces"].dataType.simpleString())), lambda t: t["error"].isNull() & F.try_parse_json(t["result"]).isNotNull())
+    whole = F.filter(F.coalesce("traces", none(raw.schema["traces"].dataType.simpleString())), lambda t: t["error"].isNull())
+    traces = F.transform(whole, lambda t: F.struct(t["txHash"].alias("txHash"), F.try_parse_json(t["result"]).alias("frame"), decode.lists_in(t["result"]).alias("lists")))  # each text is parsed once
+    traces = F.filter(traces, lambda t: t["frame"].isNotNull())
     number, time = hex_to_long(F.col("number")), hex_to_long(F.col("timestamp"))
     state = lambda s: F.size(F.filter(receipts, lambda r: hex_to_long(r["status"]) == s)).cast("long")
     return raw.select(
@@ -71,12 +79,12 @@ def _decoded(raw: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _tagged(blocks: DataFrame, row: str, families: tuple[str, ...]) -> DataFrame:
-    """(family, key1, key2, measures) of the families, exploded from each block at once."""
-    no = F.lit(None)
+def _tagged(blocks: DataFrame, families: tuple[str, ...]) -> DataFrame:
+    """(family, key1, key2, measures that they have) of the families, exploded from each block at once."""
+    no, measures = F.lit(None), _measures(families)
 
-    def tag(family: str, key1: Column, key2: Column = no, price: Column = no, amount: Column = no, lo: Column = no, hi: Column = no, flag: Column = no, first: Column = no, **counts: Column) -> Column:
-        return F.struct(F.lit(family), key1, key2, *(counts.get(c, no) for c in COUNTS), price, amount, lo, hi, flag, first).cast(row)
+    def tag(family: str, key1: Column, key2: Column = no, **has: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), key1.alias("key1"), key2.cast("string").alias("key2"), *(has.get(m, no).cast(MEASURES[m]).alias(m) for m in measures))
 
     one, number, span, day = F.lit(1).cast("long"), F.col("number"), F.col("span"), F.col("day")
     txs, moves = F.col("txs"), F.col("transfers")
@@ -96,25 +104,25 @@ def _tagged(blocks: DataFrame, row: str, families: tuple[str, ...]) -> DataFrame
     at = {"lo": number, "hi": number}
     mint = lambda x: F.when(x["a"] == ZERO_ADDRESS, F.when(x["b"] != ZERO_ADDRESS, x["value"])).when(x["b"] == ZERO_ADDRESS, u256.negate(x["value"]))
     place = lambda x: F.struct(number.alias("block"), x["log_index"].alias("log_index"), x["tx"].alias("tx"))
-    rows = {
-        "span": [F.array(tag("span", span, c1=one, c2=size(txs), c3=size(moves)))],
-        "day": [
+    rows = {  # each made only if it is wanted
+        "span": lambda: [F.array(tag("span", span, c1=one, c2=size(txs), c3=size(moves)))],
+        "day": lambda: [
             F.array(tag("day", day, c1=one, c2=F.col("gas_used"), c3=F.col("size"), c4=F.col("size").isNotNull().cast("long"), c5=size(txs), c6=F.col("success"), c7=F.col("failed"), c8=size(moves), price=price, lo=number))
         ],
-        "pair": [F.array(tag("pair", number.cast("string"), lo=F.col("time")), tag("pair", (number + 1).cast("string"), hi=F.col("time")))],
-        "span_token": [F.transform(moves, lambda x: tag("span_token", span, x["token"], c1=one, amount=mint(x), flag=x["nft"]))],
-        "token": [F.transform(moves, lambda x: tag("token", x["token"], flag=x["nft"], first=place(x)))],
-        "balance": [F.flatten(F.transform(moves, lambda x: F.transform(held(x), lambda v: tag("balance", x["token"], v, hi=number))))],
-        "address": [
+        "pair": lambda: [F.array(tag("pair", number.cast("string"), lo=F.col("time")), tag("pair", (number + 1).cast("string"), hi=F.col("time")))],
+        "span_token": lambda: [F.transform(moves, lambda x: tag("span_token", span, x["token"], c1=one, amount=mint(x), flag=x["nft"]))],
+        "token": lambda: [F.transform(moves, lambda x: tag("token", x["token"], flag=x["nft"], first=place(x)))],
+        "balance": lambda: [F.flatten(F.transform(moves, lambda x: F.transform(held(x), lambda v: tag("balance", x["token"], v, hi=number))))],
+        "address": lambda: [
             F.transform(pairs, lambda p: tag("address", F.substring_index(p, " ", 1), c1=one, **at)),
             F.transform(F.filter(txs, lambda t: t["type"].isin(*rollups.COUNTED_TYPES)), lambda t: tag("address", t["a"], c4=one, **at)),
             each(below, lambda _, v: tag("address", v, c2=one, **at)),
             F.flatten(F.transform(moves, lambda x: F.transform(held(x), lambda v: tag("address", v, c3=one, **at)))),
             F.transform(made, lambda f: tag("address", f["b"], flag=F.lit(True), **at)),
         ],
-        "active": [F.transform(F.array_distinct(F.flatten(F.transform(txs, both))), lambda v: tag("active", day, v))],
+        "active": lambda: [F.transform(F.array_distinct(F.flatten(F.transform(txs, both))), lambda v: tag("active", day, v))],
     }
-    wanted = [part for family in FAMILIES if family in families for part in rows[family]]
+    wanted = [part for family in FAMILIES if family in families for part in rows[family]()]
     return blocks.select(F.explode(F.concat(*wanted)).alias("r")).select("r.*")
 
 
@@ -123,12 +131,15 @@ def totals(raw: DataFrame, size: int, families: tuple[str, ...] = FAMILIES) -> D
 
     families are those that are wanted: of the others nothing is decoded, exchanged or kept.
     """
-    tagged = _tagged(_decoded(raw, size), _row_type(raw), families)
-    limbs = F.struct(*(F.sum(F.col("amount")[f]).alias(f) for f in ("hi", "mid", "lo")))
-    return tagged.groupBy("family", "key1", "key2").agg(
-        *(F.sum(c).alias(c) for c in COUNTS), F.sum("price").cast("decimal(38,0)").alias("price"), limbs.alias("amount"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("flag").alias("flag"), F.min("first").alias("first"),
-    )
+    tagged, held = _tagged(_decoded(raw, size, families), families), _measures(families)
+    added = {c: F.sum(c) for c in COUNTS} | {
+        "price": F.sum("price").cast("decimal(38,0)"), "amount": F.struct(*(F.sum(F.col("amount")[f]).alias(f) for f in _LIMBS)),
+        "lo": F.min("lo"), "hi": F.max("hi"), "flag": F.bool_or("flag"), "first": F.min("first"),
+    }
+    unknown = F.lit(None)
+    none = {"amount": F.struct(*(unknown.cast("decimal(36,0)").alias(f) for f in _LIMBS))}  # the type of a sum
+    sums = tagged.groupBy("family", "key1", "key2").agg(*(added[m].alias(m) for m in held)) if held else tagged.select("family", "key1", "key2").distinct()
+    return sums.select("family", "key1", "key2", *(F.col(m) if m in held else none.get(m, unknown.cast(MEASURES[m])).alias(m) for m in MEASURES))
 
 
 def _of(sums: DataFrame, family: str) -> DataFrame:
